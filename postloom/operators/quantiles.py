@@ -39,60 +39,54 @@ def exact_quantiles(
 
 
 def order_statistics(data: DataFrame, ranks: Sequence[int], n: int, limit: int) -> dict[int, float]:
-    """Values at zero-based ranks of column ``v``, by narrowing brackets.
+    """Values at zero-based ranks of column ``v``, by narrowing open brackets.
 
-    ``limit`` bounds the rows that one bracket may hold when its values are
-    finally ordered; a larger bracket is narrowed again.
+    A bracket is ordered once it holds at most ``limit`` rows. Ties at a bracket
+    edge are counted apart, so every round leaves a strictly smaller bracket.
     """
+    v = F.col("v")
     found: dict[int, float] = {}
-    # rank -> (low, high, rows below low, rows inside); None is an open end
-    todo = {r: (None, None, 0, n) for r in ranks}
+    todo = {(None, None, 0, n): sorted(ranks)}  # (low, high, rows below, rows inside) -> ranks
     while todo:
-        groups: dict[tuple, list[int]] = {}
-        for rank, bracket in todo.items():
-            groups.setdefault(bracket, []).append(rank)
-        todo = {}
-        for (low, high, below, inside), members in groups.items():
-            part = data if low is None else data.filter(F.col("v").between(low, high))
-            if inside <= limit:
-                found.update(_pick(part, members, below))
+        (low, high, below, inside), members = todo.popitem()
+        part = data
+        if low is not None:
+            part = part.filter(v > F.lit(low))
+        if high is not None:
+            part = part.filter(v < F.lit(high))
+        if inside <= limit:
+            found.update(_ordered_pick(part, members, below))
+            continue
+        slack = 2.0 / ACCURACY
+        cuts = set()
+        for rank in members:
+            p = (rank - below) / (inside - 1)
+            cuts |= {max(p - slack, 0.0), min(p + slack, 1.0)}
+        edges = sorted(set(part.agg(F.percentile_approx("v", sorted(cuts), ACCURACY)).first()[0]))
+        counts = part.agg(
+            *[F.count_if(v < F.lit(e)) for e in edges], *[F.count_if(v == F.lit(e)) for e in edges]
+        ).first()
+        under, ties = counts[: len(edges)], counts[len(edges) :]
+        for rank in members:
+            i = sum(rank >= below + u for u in under)  # edges with fewer rows below than the rank
+            if i and rank < below + under[i - 1] + ties[i - 1]:
+                found[rank] = edges[i - 1]
                 continue
-            slack = 2.0 / ACCURACY
-            cuts = []
-            for rank in members:
-                p = (rank - below) / max(inside - 1, 1)
-                cuts += [max(p - slack, 0.0), min(p + slack, 1.0)]
-            edges = part.agg(F.percentile_approx("v", cuts, ACCURACY)).first()[0]
-            pairs = list(zip(edges[0::2], edges[1::2]))
-            counts = part.agg(
-                *[F.count_if(F.col("v") < lo) for lo, _ in pairs],
-                *[F.count_if(F.col("v").between(lo, hi)) for lo, hi in pairs],
-            ).first()
-            for i, (rank, (lo, hi)) in enumerate(zip(members, pairs)):
-                under, within = below + counts[i], counts[i + len(pairs)]
-                if not under <= rank < under + within:
-                    # outside the sketch's guaranteed error: order what is left exactly
-                    found.update(_pick(part, [rank], below))
-                elif lo == hi:
-                    found[rank] = lo
-                elif within == inside:
-                    # no progress: a few values hold every row of the bracket
-                    found.update(_pick(part, [rank], below))
-                else:
-                    todo[rank] = (lo, hi, under, within)
+            start = below + (under[i - 1] + ties[i - 1] if i else 0)
+            stop = below + (under[i] if i < len(edges) else inside)
+            bracket = (edges[i - 1] if i else low, edges[i] if i < len(edges) else high, start, stop - start)
+            todo.setdefault(bracket, []).append(rank)
     return found
 
 
-def _pick(part: DataFrame, ranks: Sequence[int], below: int) -> dict[int, float]:
-    """Order statistics of a bracket from its distinct values and their counts."""
+def _ordered_pick(part: DataFrame, ranks: Sequence[int], below: int) -> dict[int, float]:
+    """Order statistics of a bracket already known to hold few rows."""
     values = part.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v")
     out, wanted, seen = {}, sorted(ranks), below
     for row in values.toLocalIterator():
-        while wanted and wanted[0] < seen + row.n:
-            out[wanted.pop(0)] = row.v
         seen += row.n
-        if not wanted:
-            break
+        while wanted and wanted[0] < seen:
+            out[wanted.pop(0)] = row.v
     return out
 
 
