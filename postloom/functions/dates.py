@@ -22,7 +22,7 @@ def relative_date(text: Column, reference: dt.date = REFERENCE_DAY, year: int =
     days = F.regexp_extract(text, r"^\s*(\d+)\s*d\s*$", 1)
     spelled = F.concat(F.trim(text), F.lit(f", {year}"))
     return (
-        F.when(text.rlike("Yester?day|Yesteray"), F.date_sub(today, 1))
+        F.when(text.rlike("Yesterday|Yesteray"), F.date_sub(today, 1))
         .when(days != "", F.date_sub(today, days.try_cast("int")))
         .when(text.rlike(r"^\s*\d+\s*[hm]\s*$"), today)
         .when(

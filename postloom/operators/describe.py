@@ -202,3 +202,9 @@ def split_sizes(df: DataFrame) -> DataFrame:
 def repeated_share(df: DataFrame, group: str, key: str, bound: float) -> DataFrame:
     """Rows of groups that hold at most ``bound`` of all rows."""
     return group_share(df, group, key).filter(F.col("pct_activity") <= bound)
+
+
+def most_common(df: DataFrame, column: str) -> DataFrame:
+    """The most frequent value and its count; ties go to the smallest value."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "value").limit(1)
