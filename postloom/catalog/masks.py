@@ -223,12 +223,13 @@ def _level_steps():
                 steps.append((rf"\b{fixed.LEVEL_LEADS}\s*{x}\b", "[ICLEVEL]"))
                 if len(x) > 2:
                     steps.append((rf"\b{x}\b", "[ICLEVEL]"))
-    return [*steps, (fixed.BARE_SENIORITY, "[ICLEVEL]")]
+    # a bare name also matches inside an earlier token; the sequence ends by collapsing brackets
+    return [*steps, (fixed.BARE_SENIORITY, "[ICLEVEL]"), (r"\[+", "["), (r"\]+", "]")]
 
 
 @BOOK.add(_sequence_sql(_level_steps()))
 def masked_levels(spark, d):
-    return _shown(_turns(spark, d), masking.mask_levels(F.col("text")))
+    return _shown(_turns(spark, d), masking.single_brackets(masking.mask_levels(F.col("text"))))
 
 
 _industries = "|".join(rf"\b{t}\b" for t in [*fixed.INDUSTRIES, *[t + "," for t in fixed.INDUSTRIES]])

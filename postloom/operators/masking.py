@@ -10,6 +10,7 @@ priority first, and the text is rebuilt from its pieces.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,11 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def _grams(lowered: Column, lengths: Sequence[int]) -> Column:
-    """Runs of pieces with their place and their neighbours."""
+def _grams(lowered: Column, lengths: Sequence[int], firsts: Sequence[str] | None) -> Column:
+    """Runs of pieces with their place and their neighbours.
+
+    When the first pieces of all phrases are few, runs start only there.
+    """
 
     def at(p: Column, i: Column) -> Column:
         return F.get(p, i)
@@ -48,15 +52,26 @@ def _grams(lowered: Column, lengths: Sequence[int]) -> Column:
                 )
                 for n in lengths
             ]
-            return F.when(~x.startswith(" "), F.filter(F.array(*runs), lambda g: g["gram"].isNotNull()))
+            begins = ~x.startswith(" ") if firsts is None else x.isin(list(firsts))
+            return F.when(begins, F.filter(F.array(*runs), lambda g: g["gram"].isNotNull()))
 
         return F.flatten(F.filter(F.transform(p, from_place), lambda g: g.isNotNull()))
 
     return let(pieces(lowered), build)
 
 
-def _prepared(lexicon: DataFrame) -> tuple[DataFrame, list[int], bool]:
-    """Lexicon by lower-case phrase, the phrase lengths in pieces, and whether it is small."""
+class _Lexicon(NamedTuple):
+    table: DataFrame
+    lengths: list[int]  # in pieces
+    firsts: list[str] | None  # first pieces, when few
+    small: bool
+
+
+MAX_FIRSTS = 2_000
+
+
+def _prepared(lexicon: DataFrame) -> _Lexicon:
+    """Lexicon by lower-case phrase, written out and measured."""
     table = (
         lexicon.withColumn("gram", F.lower("phrase"))
         .groupBy("gram")
@@ -70,8 +85,10 @@ def _prepared(lexicon: DataFrame) -> tuple[DataFrame, list[int], bool]:
         )
     )
     table = settle(table, "lexicon")
-    lengths = table.select(F.size(pieces(F.col("gram"))).alias("n")).agg(F.collect_set("n")).first()[0]
-    return table, sorted(lengths), fits_broadcast(table)
+    cut = table.select(pieces(F.col("gram")).alias("p"))
+    lengths = cut.agg(F.collect_set(F.size("p"))).first()[0]
+    firsts = [r[0] for r in cut.select(F.col("p")[0]).distinct().limit(MAX_FIRSTS + 1).collect()]
+    return _Lexicon(table, sorted(lengths), firsts if len(firsts) <= MAX_FIRSTS else None, fits_broadcast(table))
 
 
 def _edges_hold() -> Column:
@@ -83,20 +100,20 @@ def _edges_hold() -> Column:
 
 def phrase_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Every place of every text where a lexicon phrase stands, overlaps included."""
-    table, lengths, small = _prepared(lexicon)
-    return _matches(docs, key, text, table, lengths, small).select(
+    return _matches(docs, key, text, _prepared(lexicon)).select(
         key, "start", "len", F.col("gram").alias("phrase"), "tag", "priority"
     )
 
 
-def _matches(docs: DataFrame, key: str, text: str, table: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    grams = docs.select(key, F.explode(_grams(F.lower(text_or_empty(F.col(text))), lengths)).alias("g")).select(key, "g.*")
-    if small:
-        met = grams.join(F.broadcast(table), "gram")
+def _matches(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
+    runs = _grams(F.lower(text_or_empty(F.col(text))), lex.lengths, lex.firsts)
+    grams = docs.select(key, F.explode(runs).alias("g")).select(key, "g.*")
+    if lex.small:
+        met = grams.join(F.broadcast(lex.table), "gram")
     else:
         salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS))
         copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        met = grams.withColumn("_salt", salt).join(table.withColumn("_salt", copies), ["gram", "_salt"])
+        met = grams.withColumn("_salt", salt).join(lex.table.withColumn("_salt", copies), ["gram", "_salt"])
     return met.filter(_edges_hold())
 
 
@@ -142,11 +159,11 @@ def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
     ``key``. With a large lexicon the grams are joined on the phrase with a
     salt, and the input is written out first so that it is not computed twice.
     """
-    table, lengths, small = _prepared(lexicon)
-    if not lengths:
+    lex = _prepared(lexicon)
+    if not lex.lengths:
         return docs.select(key, text_or_empty(F.col(text)).alias(text))
     span = F.struct("start", "priority", "len", "tag")
-    if small:
+    if lex.small:
         whole = F.array(
             F.struct(
                 F.lit(None).cast("int").alias("start"),
@@ -158,7 +175,7 @@ def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
             )
         )
         grams = F.transform(
-            _grams(F.lower(text_or_empty(F.col(text))), lengths),
+            _grams(F.lower(text_or_empty(F.col(text))), lex.lengths, lex.firsts),
             lambda g: F.struct(
                 g["start"].alias("start"),
                 g["len"].alias("len"),
@@ -169,13 +186,13 @@ def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
             ),
         )
         rows = docs.select(key, F.explode(F.concat(whole, grams)).alias("g")).select(key, "g.*")
-        met = rows.join(F.broadcast(table), "gram", "left").filter(
+        met = rows.join(F.broadcast(lex.table), "gram", "left").filter(
             F.col("body").isNotNull() | (F.col("tag").isNotNull() & _edges_hold())
         )
         found = met.select(key, "body", F.when(F.col("tag").isNotNull(), span).alias("span"))
     else:
         docs = settle(docs.select(key, text), "unmasked")
-        spans = _matches(docs, key, text, table, lengths, small).select(
+        spans = _matches(docs, key, text, lex).select(
             key, F.lit(None).cast("string").alias("body"), span.alias("span")
         )
         found = docs.select(key, text_or_empty(F.col(text)).alias("body"), F.lit(None).alias("span")).unionByName(spans)
@@ -245,37 +262,60 @@ def mask_scores(text: Column, terms: Sequence[str] = fixed.SCORE_TERMS) -> Colum
     return rewrite_in_order(text, passes, "[LEETCODE]", _needs(terms))
 
 
+def _alternations(names: Sequence[str]) -> list[str]:
+    """Names in as few alternations as keep the effect of replacing them one by one.
+
+    Names followed by digits can only overlap where one is the tail of another.
+    An alternation takes the leftmost, so a name that ends in an earlier one
+    starts a new alternation.
+    """
+    groups: list[list[str]] = [[]]
+    for name in names:
+        tails = [n for n in groups[-1] if name.lower().endswith(n.lower()) and not name[: -len(n)][-1:].isalnum()]
+        if tails:
+            groups.append([])
+        groups[-1].append(name)
+    return [rf"\b(?:{'|'.join(g)})" for g in groups]
+
+
 def mask_levels(text: Column) -> Column:
-    """Job levels written with a decimal, an integer or a roman number, then bare level names."""
-    managers = _with_commas(fixed.MANAGER_LEVELS)
-    ladder = _with_commas(
-        [rf"{s} level\s?" for s in fixed.SENIORITIES]
-        + [rf"{s}-level\s?" for s in fixed.SENIORITIES]
-        + fixed.LEVEL_NAMES
+    """Job levels written with a decimal, an integer or a roman number, then bare level names.
+
+    The result is that of replacing every name in turn, up to doubled brackets,
+    which the masking sequence collapses.
+    """
+    ladder = (
+        [rf"{s} level\s?" for s in fixed.SENIORITIES] + [rf"{s}-level\s?" for s in fixed.SENIORITIES] + fixed.LEVEL_NAMES
     )
-    named = rf"\b(?:{'|'.join(fixed.MANAGER_LEVELS + fixed.SENIORITIES + fixed.LEVEL_NAMES)})"
-    guards = (rf"(?s)\A(?=.*\d\.\d)(?=.*{named})", rf"(?s)\A(?=.*\d)(?=.*{named})", named)
-    for number, needed in zip(fixed.LEVEL_NUMBERS, guards):
-        roman = needed is named
-        passes = []
-        for name in managers:
-            passes += [rf"\b{name}{number}\b"] + ([rf"\b{name}\b"] if roman else [])
-        text = rewrite_in_order(text, passes, "[MANAGER]", needed)
-        passes = []
-        for name in ladder:
-            passes.append(rf"\b{name}{number}\b")
-            if roman:
-                passes.append(rf"\b{fixed.LEVEL_LEADS}\s*{name}\b")
-                if len(name) > 2:
-                    passes.append(rf"\b{name}\b")
+    managers = "|".join(_with_commas(fixed.MANAGER_LEVELS))
+    decimal, integer, roman = fixed.LEVEL_NUMBERS
+    names = "|".join(fixed.MANAGER_LEVELS + fixed.SENIORITIES + fixed.LEVEL_NAMES)
+    for number, first in ((decimal, r"\d+\.\d"), (integer, r"\d")):
+        needed = rf"\b(?:{names})(?: level| ?-level)?\s?,?\s*{first}"
+        text = rewrite_in_order(text, [rf"\b(?:{managers}){number}\b"], "[MANAGER]", needed)
+        passes = [f"{group}{number}" + r"\b" for group in _alternations(_with_commas(ladder))]
         text = rewrite_in_order(text, passes, "[ICLEVEL]", needed)
+    # a manager name takes its numeral if it has one and is masked without it too
+    either = "|".join(rf"{m}{roman}\b|{m}\b" for m in fixed.MANAGER_LEVELS)
+    text = rewrite_in_order(text, [rf"\b(?:{either})"], "[MANAGER]")
+    passes = []
+    # a name longer than two letters is masked bare, so its comma spelling cannot occur afterwards
+    for name in [*ladder, *[f"{n}," for n in ladder if len(n) <= 2]]:
+        passes.append(rf"\b{name}{roman}\b")
+        passes.append(rf"\b{fixed.LEVEL_LEADS}\s*{name}\b")
+        if len(name) > 2:
+            passes.append(rf"\b{name}\b")
+    longer = "|".join(n for n in [*ladder, "IC,"] if len(n) > 2)
+    steps = "|".join(ladder)
+    needed = rf"\b(?:(?:{steps}),?{roman}\b|{fixed.LEVEL_LEADS}\s*(?:{steps})|(?:{longer})\b)"
+    text = rewrite_in_order(text, passes, "[ICLEVEL]", needed)
     return rewrite_in_order(text, [fixed.BARE_SENIORITY], "[ICLEVEL]")
 
 
 def mask_terms(text: Column, terms: Sequence[str], tag: str) -> Column:
     """A short list of terms as one alternation, earlier terms first."""
-    bounded = any_pattern([rf"\b{_literal(t)}\b" for t in terms])
-    return F.regexp_replace(text, UNICODE_NOCASE + bounded, tag)
+    bounded = "|".join(_literal(t) for t in terms)
+    return F.regexp_replace(text, UNICODE_NOCASE + rf"\b(?:{bounded})\b", tag)
 
 
 def mask_industries(text: Column, terms: Sequence[str] = fixed.INDUSTRIES) -> Column:
@@ -333,7 +373,9 @@ def mask_posts(
     compat: bool = False,
 ) -> DataFrame:
     """The whole masking sequence: titles, numbers and terms, organisations, places."""
-    docs = posts.select(key, sentence_case(F.col(text)).alias(out))
+    # one shuffle by key serves all phrase masks; a fixed number keeps small texts spread
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = posts.select(key, text).repartition(parts, key).select(key, sentence_case(F.col(text)).alias(out))
     docs = mask_phrases(docs, key, out, roles)
     docs = docs.withColumn(out, mask_numbers_and_terms(F.col(out), compat))
     docs = mask_phrases(docs, key, out, companies).withColumn(out, single_brackets(F.col(out)))
