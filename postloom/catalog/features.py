@@ -1 +1,271 @@
-BOOK = {}
+"""Feature preparation, TF-IDF, encoders, classifiers and coefficients."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from postloom.catalog.common import PLAIN_DOCUMENTS, Book, plain_documents, r, sql_text, table
+from postloom.functions.vectors import l2_norm
+from postloom.operators.coefficients import first_and_last, nonzero_coefficients, wald_table
+from postloom.operators.evaluate import performance
+from postloom.operators.features import assemble, balanced_weights, encode_text, one_hot, prepare_features, standard_scale
+from postloom.operators.models import (
+    Registry,
+    fit_l1_logit,
+    fit_plain_logit,
+    random_baseline,
+    score,
+    score_table,
+    search_l1_penalty,
+    train_grid,
+)
+from postloom.operators.similarity import most_similar
+from postloom.operators.tfidf import fit_vocabulary, term_counts, tfidf_vectors, tfidf_weights
+from postloom.session import scratch_path, settle, spread
+
+BOOK = Book()
+
+
+# --- scaling, encoding, weights -----------------------------------------------
+
+
+@BOOK.add(
+    """WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, avg(o_custkey) AS m2, stddev_pop(o_custkey) AS s2
+         FROM orders WHERE o_orderstatus = 'F')
+       SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice, round((o_custkey - m2) / s2, 6) AS o_custkey FROM orders, s"""
+)
+def scaled_columns(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", (F.col("o_orderstatus") == "F").alias("train"))
+    out = standard_scale(rows, ["o_totalprice", "o_custkey"])
+    return out.select("o_orderkey", r("o_totalprice").alias("o_totalprice"), r("o_custkey").alias("o_custkey"))
+
+
+@BOOK.add(
+    """WITH c AS (SELECT o_orderpriority AS p, count(*) FILTER (o_orderstatus = 'F') AS n_train, count(*) AS n FROM orders GROUP BY 1),
+       m AS (SELECT p FROM c ORDER BY n_train DESC, p LIMIT 1)
+       SELECT 'o_orderpriority_' || p AS name, n AS n_rows FROM c WHERE n_train > 0 AND p NOT IN (SELECT p FROM m)"""
+)
+def one_hot_columns(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").alias("train"))
+    out = one_hot(rows, "o_orderpriority")
+    names = [c for c in out.columns if c.startswith("o_orderpriority_")]
+    sums = out.agg(*[F.sum(F.col(f"`{c}`").cast("long")).alias(c) for c in names])
+    return sums.unpivot([], [F.col(f"`{c}`") for c in names], "name", "n_rows")
+
+
+@BOOK.add(
+    """WITH n AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT quality) AS k FROM labels), c AS (SELECT quality, count(*) AS nc FROM labels GROUP BY 1)
+       SELECT doc_id, labels.quality, round(n / (k * nc), 6) AS w FROM labels JOIN c USING (quality), n"""
+)
+def class_weights(spark, d):
+    out = balanced_weights(table(spark, d, "labels").select("doc_id", "quality"), "quality")
+    return out.select("doc_id", "quality", r("w").alias("w"))
+
+
+def _labelled(spark, d):
+    """Labelled documents with a split by language."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "source")
+    both = docs.join(table(spark, d, "labels"), "doc_id")
+    return both.select(
+        F.col("doc_id").alias("post_id"), (F.col("lang") == "en").alias("train"), (F.col("lang") != "en").alias("test"),
+        F.col("quality").alias("class_offers"),
+    )
+
+
+@BOOK.add(
+    """WITH b AS (SELECT d.doc_id AS post_id, lang = 'en' AS train, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+       f AS (SELECT doc_id AS post_id, n_chars::DOUBLE AS n_chars, length(text)::DOUBLE AS size, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+       j AS (SELECT b.post_id, train, quality, n_chars, size, toxic FROM b LEFT JOIN f USING (post_id)),
+       s AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(size) AS m2, stddev_pop(size) AS s2 FROM j WHERE train)
+       SELECT post_id, train, quality AS class_offers, round((n_chars - m1) / s1, 6) AS n_chars, round((size - m2) / s2, 6) AS size, toxic FROM j, s"""
+)
+def prepared_features(spark, d):
+    feats = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
+        F.col("doc_id").alias("post_id"), F.col("n_chars").cast("double").alias("n_chars"),
+        F.length("text").cast("double").alias("size"), "toxic",
+    )
+    out, _ = prepare_features(_labelled(spark, d), feats, nums=["n_chars", "size"])
+    return out.select("post_id", "train", "class_offers", r("n_chars").alias("n_chars"), r("size").alias("size"), "toxic")
+
+
+@BOOK.add(
+    """WITH j AS (SELECT vec_id, embedding::DOUBLE[] AS v, n_chars, lang, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+       s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM j WHERE label < 7)
+       SELECT vec_id, round(v[1], 5) AS first, round((n_chars - m) / s, 5) AS scaled, 65 AS size FROM j, s"""
+)
+def mixed_vectors(spark, d):
+    """Vectors together with a scaled feature, as one ML vector."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("n_chars").cast("double").alias("n_chars"))
+    rows = table(spark, d, "embeddings").withColumn("train", F.col("label") < 7)
+    both = standard_scale(rows.join(docs, "vec_id", "left"), ["n_chars"])
+    out = assemble(both, ["embedding", "n_chars"]).select("vec_id", vector_to_array("features").alias("x"))
+    return out.select("vec_id", F.round(F.col("x")[0], 5).alias("first"), F.round(F.col("x")[64], 5).alias("scaled"), F.size("x").alias("size"))
+
+
+@BOOK.add(
+    """SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents"""
+)
+def encoded_texts(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return encode_text(docs, "doc_id", "text").select("doc_id", F.round(l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+@BOOK.add(
+    """WITH n AS (SELECT doc_id, length(text)::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b FROM documents)
+       SELECT doc_id, round(CASE WHEN a * a + b * b > 0 THEN a / sqrt(a * a + b * b) ELSE 0 END, 5) AS first FROM n"""
+)
+def batch_encoded_texts(spark, d):
+    """A user-supplied encoder on Arrow batches."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    out = encode_text(docs, "doc_id", "text", encoder=lambda texts: [[len(t), len(t.split(" "))] for t in texts])
+    return out.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+# --- TF-IDF -------------------------------------------------------------------
+
+_STOPS = ["the", "of", "and", "in", "to", "de", "la", "der", "les", "que"]
+_STOP_SQL = "[" + ", ".join(sql_text(s) for s in _STOPS) + "]"
+
+_TERMS = rf"""toks AS (SELECT post_id, list_filter(regexp_extract_all(text, '\b\w\w+\b|\[[A-Z]+\]'), lambda t: NOT list_contains({_STOP_SQL}, t)) AS t FROM docs),
+ grams AS (SELECT post_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks),
+ tf AS (SELECT post_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+ fit AS (SELECT doc_id AS post_id FROM documents WHERE lang = 'en'),
+ vocab AS (SELECT term, count(*) AS df FROM tf WHERE post_id IN (SELECT post_id FROM fit) GROUP BY 1
+   HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM fit))"""
+
+
+def _counts(spark, d):
+    return term_counts(plain_documents(spark, d), "post_id", "text", _STOPS)
+
+
+def _fitted(spark, d, counts, indexed=False):
+    fit = table(spark, d, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("post_id"))
+    return fit_vocabulary(counts.join(fit, "post_id", "left_semi"), fit.count(), indexed=indexed)
+
+
+@BOOK.add(
+    f"""WITH {PLAIN_DOCUMENTS}, {_TERMS}, raw AS (SELECT post_id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM fit)) / (1 + df)) + 1) AS r FROM tf JOIN vocab USING (term))
+        SELECT post_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY post_id)), 6) AS weight FROM raw"""
+)
+def tfidf_table(spark, d):
+    counts = settle(_counts(spark, d), "term-counts")
+    out = tfidf_weights(counts, _fitted(spark, d, counts), "post_id")
+    return out.select("post_id", "term", r("weight").alias("weight"))
+
+
+@BOOK.add(f"WITH {PLAIN_DOCUMENTS}, {_TERMS} SELECT term, df, (SELECT count(*) FROM vocab) AS vocabulary FROM vocab ORDER BY df DESC, term LIMIT 20")
+def frequent_terms(spark, d):
+    vocabulary = _fitted(spark, d, _counts(spark, d))
+    return vocabulary.most_frequent(20).select("term", "df", F.lit(vocabulary.size()).cast("long").alias("vocabulary"))
+
+
+@BOOK.add(
+    f"""WITH {PLAIN_DOCUMENTS}, {_TERMS} SELECT post_id, count(*)::INTEGER AS n_terms, (SELECT count(*) FROM vocab)::INTEGER AS size FROM tf JOIN vocab USING (term) GROUP BY 1"""
+)
+def tfidf_sparse_vectors(spark, d):
+    """Sparse ML vectors: entries per text and dimension."""
+    counts = settle(_counts(spark, d), "term-counts")
+    vocabulary = _fitted(spark, d, counts, indexed=True)
+    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id")
+    filled = vectors.select("post_id", vector_to_array("features").alias("x"))
+    return filled.select("post_id", F.size(F.filter("x", lambda v: v != 0)).alias("n_terms"), F.size("x").alias("size"))
+
+
+# --- classifiers --------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    """Labelled vectors: the label is the lower half of the groups, the split a digest of the id."""
+    rows = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("post_id"), "embedding", (F.col("label") < 5).cast("int").alias("class_offers"),
+        (F.md5(F.col("vec_id").cast("string")) < "cc").alias("train"),
+    ).withColumn("test", ~F.col("train"))
+    return assemble(rows, ["embedding"]).drop("embedding")
+
+
+def _scored(model, rows):
+    split = F.when(F.col("train"), "train").otherwise("test")
+    return score(model, rows.withColumn("split", split), ["post_id", "split", F.col("class_offers").alias("y")])
+
+
+@BOOK.add()
+def plain_logit_scores(spark, d):
+    rows = _vectors(spark, d)
+    return _scored(fit_plain_logit(rows.filter("train").cache(), "class_offers"), rows)
+
+
+@BOOK.add()
+def l1_logit_scores(spark, d):
+    rows = _vectors(spark, d)
+    return _scored(fit_l1_logit(rows.filter("train").cache(), "class_offers", c=1.0), rows)
+
+
+@BOOK.add()
+def penalty_search(spark, d):
+    rows = _vectors(spark, d).filter("train").cache()
+    best, scores = search_l1_penalty(rows, "class_offers", "post_id", grid=[0.01, 0.1, 1.0, 10.0], folds=5, max_iter=50)
+    return scores.withColumn("chosen", F.col("c") == F.lit(best))
+
+
+@BOOK.add()
+def model_grid_metrics(spark, d):
+    """Both classifiers on two feature sets, saved, loaded again and evaluated on both splits."""
+    registry = Registry(spark, scratch_path(spark, "models"))
+    rows = _vectors(spark, d)
+    short = table(spark, d, "embeddings").select(F.col("vec_id").alias("post_id"), F.slice("embedding", 1, 8).alias("e"))
+    small = assemble(rows.drop("features").join(short, "post_id"), ["e"]).drop("e")
+    names = train_grid(
+        registry, {"vectors": rows, "short_vectors": small}, "class_offers", ["logit", "xgb"], xgb={"trees": 10}
+    )
+    return performance(score_table(registry, names, "post_id", "class_offers"))
+
+
+@BOOK.add(
+    """WITH b AS (SELECT doc_id, quality, lang = 'en' AS train FROM documents JOIN labels USING (doc_id)), p AS (SELECT avg(quality) AS r FROM b WHERE train)
+       SELECT doc_id, quality, (('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < r)::INTEGER AS prediction FROM b, p"""
+)
+def random_baseline_rows(spark, d):
+    rows = _labelled(spark, d).select(F.col("post_id").alias("doc_id"), "train", F.col("class_offers").alias("quality"))
+    return random_baseline(rows, "doc_id", "quality").select("doc_id", "quality", "prediction")
+
+
+@BOOK.add()
+def wald_coefficients(spark, d):
+    rows = balanced_weights(_vectors(spark, d).filter("train"), "class_offers").cache()
+    model = fit_plain_logit(rows.drop("w"), "class_offers")
+    return wald_table(rows, model, [f"enc{i + 1}" for i in range(64)])
+
+
+@BOOK.add()
+def ranked_term_coefficients(spark, d):
+    """Non-zero terms of an L1 model on TF-IDF vectors, largest and smallest."""
+    counts = settle(_counts(spark, d), "term-counts")
+    vocabulary = _fitted(spark, d, counts, indexed=True)
+    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id")
+    rows = _labelled(spark, d).join(vectors, "post_id").cache()
+    model = fit_l1_logit(rows, "class_offers", c=5.0, max_iter=50)
+    names = vocabulary.table.select("idx", F.col("term").alias("names"))
+    top, bottom = first_and_last(nonzero_coefficients(model, names), "coefs")
+    return top.withColumn("end", F.lit("top")).unionByName(bottom.withColumn("end", F.lit("bottom")))
+
+
+# --- similar posts ------------------------------------------------------------
+
+
+@BOOK.add(
+    """WITH i AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+       m AS (SELECT label, i, avg(x) AS x FROM i GROUP BY 1, 2), q AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1),
+       s AS (SELECT q.label AS query_id, vec_id, list_cosine_similarity(v, embedding::DOUBLE[]) AS cosine FROM q, embeddings)
+       SELECT query_id, vec_id, round(cosine, 5) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rank
+       FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5"""
+)
+def similar_vectors(spark, d):
+    """The five vectors closest to the mean vector of each label."""
+    rows = table(spark, d, "embeddings")
+    entries = rows.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = entries.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    queries = means.groupBy(F.col("label").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e"))
+    queries = queries.select("query_id", F.col("e.x").alias("embedding"))
+    out = most_similar(queries, rows.select("vec_id", "embedding"), 5, key="vec_id")
+    return out.select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"), "rank")
