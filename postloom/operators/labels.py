@@ -12,6 +12,7 @@ from postloom.functions.columns import remove_prefix_marker, text_or_empty
 from postloom.functions.dates import day_name, micros
 from postloom.functions.rules import offer_flag, offer_label, referral_flag, request_flag
 from postloom.functions.text import hashtag_count
+from postloom.operators.features import category_counts
 from postloom.operators.joins import lookup_join
 from postloom.operators.quantiles import exact_quantiles, quantile_class
 from postloom.session import settle
@@ -178,30 +179,40 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
 
 
+SLICE_ROWS = 100_000
+
+
 def stratified_split(
-    df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 95, prefix: int = 3
+    df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 95, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Exact ``share`` of every label class in a reproducible random order, as boolean ``fit``.
 
-    Digests are uniform, so their first characters cut every class into equal
-    slices. Only the slice that holds the cut is ordered; all other rows are
-    decided by comparing their digest with the cut.
+    Digests are uniform, so their leading characters cut every class into equal
+    slices. Slices are counted until the one that holds the cut is small, and
+    only that one is ordered; every other row is decided by comparing its digest
+    with the cut. The table itself is never shuffled.
     """
     order = hash_order(F.col(key), seed)
-    rows = df.select(F.col(label).alias("c"), order.alias("h")).withColumn("s", F.substring("h", 1, prefix))
-    slices = rows.groupBy("c", "s").agg(F.count(F.lit(1)).alias("n"))
-    per_class: dict = {}
-    for r in slices.orderBy("c", "s").toLocalIterator():
-        per_class.setdefault(r.c, []).append((r.s, r.n))
+    rows = df.select(F.col(label).alias("c"), order.alias("h"))
+    sizes = category_counts(df, label)
     cut = F.lit(None).cast("string")
-    for c, counts in per_class.items():
-        need = round(share * sum(n for _, n in counts))
-        seen = 0
-        for s, n in counts:
-            if seen + n >= need:
-                break
-            seen += n
-        inside = rows.filter((F.col("c") == F.lit(c)) & (F.col("s") == F.lit(s)))
-        last = inside.orderBy("h").limit(need - seen).agg(F.max("h")).first()[0] if need > seen else ""
+    for c, n in sizes:
+        need = round(share * n)
+        last = _digest_at(rows.filter(F.col("c") == F.lit(c)), need, n, slice_rows) if need else ""
         cut = F.when(F.col(label) == F.lit(c), F.lit(last)).otherwise(cut)
     return df.withColumn("fit", order <= cut)
+
+
+def _digest_at(rows: DataFrame, need: int, n: int, slice_rows: int) -> str:
+    """The ``need``-th smallest digest, found by lengthening the prefix of its slice."""
+    start, step = "", 3
+    while n > slice_rows:
+        width = len(start) + step
+        counts = rows.groupBy(F.substring("h", 1, width).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(counts.collect()):  # at most 16 ** 3 slices
+            if need <= r.n:
+                start, n = r.s, r.n
+                break
+            need -= r.n
+        rows = rows.filter(F.col("h").startswith(start))
+    return rows.orderBy("h").limit(need).agg(F.max("h")).first()[0]

@@ -62,14 +62,12 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer input splits than cores one partition per core.
+    """Give a freshly read table with fewer input splits than cores one partition per core.
 
-    A table large enough to fill the cluster is returned as it is, so the
-    shuffle is only ever paid for inputs that are small.
+    A split is at most one file block, so a table with few splits is small. A
+    table large enough to fill the cluster is returned as it is.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
