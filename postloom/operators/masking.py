@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import UNICODE, UNICODE_NOCASE, any_pattern, contains, let, text_or_empty, words
 from postloom.functions.text import sentence_case
-from postloom.operators.joins import SALTS, fits_broadcast, lookup_join
+from postloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, lookup_join
 from postloom.operators.lexicons import lexicon_of, without_phrases
 from postloom.session import settle
 
@@ -85,10 +85,15 @@ def _prepared(lexicon: DataFrame) -> _Lexicon:
         )
     )
     table = settle(table, "lexicon")
-    cut = table.select(pieces(F.col("gram")).alias("p"))
-    lengths = cut.agg(F.collect_set(F.size("p"))).first()[0]
-    firsts = [r[0] for r in cut.select(F.col("p")[0]).distinct().limit(MAX_FIRSTS + 1).collect()]
-    return _Lexicon(table, sorted(lengths), firsts if len(firsts) <= MAX_FIRSTS else None, fits_broadcast(table))
+    cut = table.select("*", pieces(F.col("gram")).alias("p"))
+    lengths, starts, rows, size = cut.agg(
+        F.collect_set(F.size("p")), F.countDistinct(F.col("p")[0]), F.count(F.lit(1)), F.sum(F.length("gram") + F.length("tag") + 32)
+    ).first()
+    firsts = None
+    if starts <= MAX_FIRSTS:
+        firsts = [r[0] for r in cut.select(F.col("p")[0]).distinct().collect()]
+    small = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return _Lexicon(table, sorted(lengths), firsts, small)
 
 
 def _edges_hold() -> Column:
@@ -222,6 +227,26 @@ def rewrite_in_order(text: Column, patterns: Sequence[str], tag: str, guard: str
     return let(text, lambda t: F.when(t.rlike(UNICODE_NOCASE + guard), chain(t)).otherwise(t))
 
 
+def rewrite_where(text: Column, passes: Sequence[tuple[str, str]], tag: str, guards: dict[str, str]) -> Column:
+    """Replace in turn the matches of the patterns whose kind can occur in the text.
+
+    Passes are (kind, pattern); ``guards`` holds one necessary condition per kind.
+    """
+    rules = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(UNICODE_NOCASE + p).alias("pattern")) for k, p in passes])
+
+    def chain(t: Column) -> Column:
+        present = F.array(*[F.when(t.rlike(UNICODE_NOCASE + g), F.lit(k)) for k, g in guards.items()])
+        chosen = let(present, lambda kinds: F.filter(rules, lambda r: F.array_contains(kinds, r["kind"])))
+        return F.aggregate(chosen, t, lambda acc, r: F.regexp_replace(acc, r["pattern"], F.lit(tag)))
+
+    return let(text, chain)
+
+
+def _from_letter(names: Sequence[str]) -> str:
+    """A word boundary before one of the first letters; testing the letter first is cheaper."""
+    return f"(?=[{''.join(sorted({n[0].lower() for n in names}))}])" + r"\b"
+
+
 def _literal(term: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
 
@@ -275,7 +300,7 @@ def _alternations(names: Sequence[str]) -> list[str]:
         if tails:
             groups.append([])
         groups[-1].append(name)
-    return [rf"\b(?:{'|'.join(g)})" for g in groups]
+    return [rf"{_from_letter(g)}(?:{'|'.join(g)})" for g in groups]
 
 
 def mask_levels(text: Column) -> Column:
@@ -287,35 +312,41 @@ def mask_levels(text: Column) -> Column:
     ladder = (
         [rf"{s} level\s?" for s in fixed.SENIORITIES] + [rf"{s}-level\s?" for s in fixed.SENIORITIES] + fixed.LEVEL_NAMES
     )
-    managers = "|".join(_with_commas(fixed.MANAGER_LEVELS))
+    managers = _from_letter(fixed.MANAGER_LEVELS) + f"(?:{'|'.join(_with_commas(fixed.MANAGER_LEVELS))})"
     decimal, integer, roman = fixed.LEVEL_NUMBERS
-    names = "|".join(fixed.MANAGER_LEVELS + fixed.SENIORITIES + fixed.LEVEL_NAMES)
+    every = fixed.MANAGER_LEVELS + fixed.SENIORITIES + fixed.LEVEL_NAMES
+    named = _from_letter(every) + f"(?:{'|'.join(every)})"
     for number, first in ((decimal, r"\d+\.\d"), (integer, r"\d")):
-        needed = rf"\b(?:{names})(?: level| ?-level)?\s?,?\s*{first}"
-        text = rewrite_in_order(text, [rf"\b(?:{managers}){number}\b"], "[MANAGER]", needed)
+        needed = rf"{named}(?: level| ?-level)?\s?,?\s*{first}"
+        text = rewrite_in_order(text, [rf"{managers}{number}\b"], "[MANAGER]", needed)
         passes = [f"{group}{number}" + r"\b" for group in _alternations(_with_commas(ladder))]
         text = rewrite_in_order(text, passes, "[ICLEVEL]", needed)
     # a manager name takes its numeral if it has one and is masked without it too
     either = "|".join(rf"{m}{roman}\b|{m}\b" for m in fixed.MANAGER_LEVELS)
-    text = rewrite_in_order(text, [rf"\b(?:{either})"], "[MANAGER]")
+    text = rewrite_in_order(text, [rf"{_from_letter(fixed.MANAGER_LEVELS)}(?:{either})"], "[MANAGER]")
     passes = []
     # a name longer than two letters is masked bare, so its comma spelling cannot occur afterwards
     for name in [*ladder, *[f"{n}," for n in ladder if len(n) <= 2]]:
-        passes.append(rf"\b{name}{roman}\b")
-        passes.append(rf"\b{fixed.LEVEL_LEADS}\s*{name}\b")
+        first = _from_letter([name])
+        passes.append(("numbered", rf"{first}{name}{roman}\b"))
+        passes.append(("led", rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*{name}\b"))
         if len(name) > 2:
-            passes.append(rf"\b{name}\b")
-    longer = "|".join(n for n in [*ladder, "IC,"] if len(n) > 2)
-    steps = "|".join(ladder)
-    needed = rf"\b(?:(?:{steps}),?{roman}\b|{fixed.LEVEL_LEADS}\s*(?:{steps})|(?:{longer})\b)"
-    text = rewrite_in_order(text, passes, "[ICLEVEL]", needed)
+            passes.append(("bare", rf"{first}{name}\b"))
+    longer, steps = "|".join(n for n in [*ladder, "IC,"] if len(n) > 2), "|".join(ladder)
+    # a replacement starts and ends at word boundaries, so it never makes room for a kind that was absent
+    guards = {
+        "numbered": _from_letter(ladder) + rf"(?:{steps}),?{roman}\b",
+        "led": rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*(?:{steps})",
+        "bare": _from_letter(ladder) + rf"(?:{longer})\b",
+    }
+    text = rewrite_where(text, passes, "[ICLEVEL]", guards)
     return rewrite_in_order(text, [fixed.BARE_SENIORITY], "[ICLEVEL]")
 
 
 def mask_terms(text: Column, terms: Sequence[str], tag: str) -> Column:
     """A short list of terms as one alternation, earlier terms first."""
     bounded = "|".join(_literal(t) for t in terms)
-    return F.regexp_replace(text, UNICODE_NOCASE + rf"\b(?:{bounded})\b", tag)
+    return F.regexp_replace(text, UNICODE_NOCASE + rf"{_from_letter(terms)}(?:{bounded})\b", tag)
 
 
 def mask_industries(text: Column, terms: Sequence[str] = fixed.INDUSTRIES) -> Column:

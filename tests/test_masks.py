@@ -30,7 +30,7 @@ TEXTS = [
 def test_phrase_mask_is_the_alternation(spark, monkeypatch, limit):
     """Small and large lexicons give what one ordered alternation gives."""
     if limit is not None:
-        monkeypatch.setattr(masking, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(masking, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(masking, "MAX_FIRSTS", 0)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "post_id int, t string").repartition(3)
     out = masking.mask_phrases(docs, "post_id", "t", lexicons.ordered_lexicon(spark, PHRASES, "[X]"))
