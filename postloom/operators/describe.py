@@ -14,7 +14,7 @@ from postloom.functions.dates import week_start
 from postloom.operators.joins import lookup_join
 from postloom.operators.labels import group_share
 from postloom.operators.quantiles import exact_quantiles
-from postloom.session import settle
+from postloom.session import local_table, settle
 
 
 def capped(df: DataFrame, caps: dict[str, int] = fixed.DISPLAY_CAPS) -> DataFrame:
@@ -141,8 +141,8 @@ def five_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         quartiles = exact_quantiles(df, c, [0.25, 0.5, 0.75]) or [None] * 3
         rows.append((c, *[basics[f"{n}_{c}"] for n in ("count", "mean", "std", "min")], *quartiles, basics[f"max_{c}"]))
-    return spark.createDataFrame(
-        rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return local_table(
+        spark, rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.columns import floor_to
 from postloom.operators.quantiles import bin_edges, grouped_quantiles
+from postloom.session import local_table
 
 CONFUSION = ["tp", "fp", "fn", "tn"]
 
@@ -126,7 +127,7 @@ def calibration(scores: DataFrame, by: Sequence[str] = ("model", "split"), bins:
     rows = [tuple(r[c] for c in by) + (bin_edges(r.edges),) for r in edges]
     kinds = dict(scores.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", inner array<double>"
-    table = scores.sparkSession.createDataFrame(rows, schema)
+    table = local_table(scores.sparkSession, rows, schema)
     index = F.size(F.filter("inner", lambda e: e < F.col("p").cast("double")))
     return (
         scores.join(F.broadcast(table), list(by))

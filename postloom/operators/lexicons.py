@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import remove_prefix_marker, without_accents, words
+from postloom.session import local_table
 
 
 def long_first(phrase: Column) -> Column:
@@ -24,15 +25,14 @@ def lexicon_of(df: DataFrame, phrase: str, tag: str) -> DataFrame:
 
 
 def phrase_table(spark: SparkSession, phrases: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    return local_table(spark, [(p,) for p in phrases], "phrase string")
 
 
 def ordered_lexicon(spark: SparkSession, phrases: Iterable[str], tag: str) -> DataFrame:
     """A lexicon from a list: more words win, then the earlier entry."""
     ordered = sorted(dict.fromkeys(p.lower() for p in phrases), key=lambda p: -len(p.split()))
-    return spark.createDataFrame(
-        [(p, tag, i) for i, p in enumerate(ordered)], "phrase string, tag string, priority long"
-    )
+    rows = [(p, tag, i) for i, p in enumerate(ordered)]
+    return local_table(spark, rows, "phrase string, tag string, priority long")
 
 
 def company_lexicon(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import hash_unit, log_grid
 from postloom.operators.features import balanced_weights
+from postloom.session import local_table
 
 
 def _logit(label: str, max_iter: int, **params) -> LogisticRegression:
@@ -84,7 +85,7 @@ def search_l1_penalty(
         parallelism=parallelism,
     ).fit(rows)
     scored = [(float(c), float(s)) for c, s in zip(values, search.avgMetrics)]
-    table = train.sparkSession.createDataFrame(scored, "c double, auroc double")
+    table = local_table(train.sparkSession, scored, "c double, auroc double")
     return max(scored, key=lambda x: x[1])[0], table
 
 
@@ -134,7 +135,7 @@ class Registry:
 
     def save_model(self, name: str, feature_set: str, model: PipelineModel) -> None:
         model.write().overwrite().save(self._at("models", name))
-        entry = self.spark.createDataFrame([(name, feature_set)], "model string, feature_set string")
+        entry = local_table(self.spark, [(name, feature_set)], "model string, feature_set string")
         entry.write.mode("overwrite").parquet(self._at("index", f"model={name}"))
 
     def index(self) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Applied by ``build_session``; a cluster's own submit configuration wins for
 # everything that is not listed here.
@@ -61,6 +64,16 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A small driver-side list as a table, through Arrow, so that no Python worker starts for it."""
+    import pyarrow as pa
+
+    fields = T.StructType.fromDDL(schema).fields
+    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(fields)}
+    held = spark.createDataFrame(pa.table(columns))
+    return held.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a freshly read table with fewer input splits than cores one partition per core.
 
