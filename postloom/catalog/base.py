@@ -84,33 +84,45 @@ def page_link_list(spark, d):
     return out.withColumn("position", F.col("position").cast("long"))
 
 
+def _article(link, firm, user, when, title, text, counts):
+    """One listed post in the markup of a page."""
+    buttons = [
+        F.concat(F.lit(f'<button aria-label="{label}" data-count="'), n.cast("string"), F.lit('">x</button>'))
+        for label, n in counts.items()
+    ]
+    return F.concat(
+        F.lit('<article><div><a href="https://forum.example/post/'), link,
+        F.lit('">x</a></div><div class="h-full items-center text-xs"><a>'), firm, F.lit("</a><span>"), user,
+        F.lit("</span><i>"), when, F.lit('</i></div><h2 class="big pointer-events-none">'), title,
+        F.lit('</h2><p class="pointer-events-none">'), text, F.lit("</p><div>"), *buttons, F.lit("</div></article>"),
+    )
+
+
 def _html_pages(spark, d):
-    """Conversations written as listing pages, one article per turn."""
-    turns = table(spark, d, "conversations")
+    """A listing page per conversation turn: the turn, and a pinned post about it."""
     text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     when = F.when(F.col("role") == "user", "Yesterday").when(F.col("role") == "assistant", "3d").otherwise("Oct 14")
-    article = F.concat(
-        F.lit('<article><div><a href="https://forum.example/post/p'), F.col("conv_id"), F.lit("-"), F.col("turn"),
-        F.lit('">x</a></div><div class="h-full items-center text-xs"><a>'), F.col("role"),
-        F.lit("</a><span>user"), F.col("turn"), F.lit("</span><i>"), when,
-        F.lit('</i></div><h2 class="big pointer-events-none">Turn '), F.col("turn"),
-        F.lit('</h2><p class="pointer-events-none">'), text,
-        F.lit('</p><div><button aria-label="Like this" data-count="'), F.col("turn"),
-        F.lit('">l</button><button aria-label="Comment on this">c</button><button aria-label="Views" data-count="'),
-        F.length("text"), F.lit('">v</button></div></article>'),
+    name = F.concat_ws("-", "conv_id", "turn")
+    turn = _article(
+        F.concat(F.lit("p"), name), F.col("role"), F.concat(F.lit("user"), F.col("turn")), when,
+        F.concat(F.lit("Turn "), F.col("turn")), text,
+        {"Like this": F.col("turn"), "Views": F.length("text")},
     )
-    return (
-        turns.groupBy(F.col("conv_id").alias("page_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("turn", article.alias("a")))).alias("articles"))
-        .select("page_id", F.concat(F.lit("<html><body>"), F.array_join("articles.a", ""), F.lit("</body></html>")).alias("html"))
+    pinned = _article(
+        F.concat(F.lit("q"), name), F.lit("ex-mod"), F.lit("mod"), F.lit("5h"), F.lit("Pinned"), F.lit("about <b>it</b> again"),
+        {"Like this": F.lit(1), "Comment on this": F.col("turn")},
     )
+    page = F.concat(F.lit("<html><body>"), turn, pinned, F.lit("</body></html>"))
+    return table(spark, d, "conversations").select(name.alias("page_id"), page.alias("html"))
 
 
 @BOOK.add(
-    """SELECT conv_id AS page_id, 'p' || conv_id || '-' || turn AS post_id, 'user' || turn AS user_name, role AS user_firm,
+    """SELECT conv_id || '-' || turn AS page_id, 'p' || conv_id || '-' || turn AS post_id, 'user' || turn AS user_name, role AS user_firm,
        CASE role WHEN 'user' THEN '2024-11-16' WHEN 'assistant' THEN '2024-11-14' ELSE '2024-10-14' END AS date,
        '2024-11-17' AS scrape_date, turn::INTEGER AS num_likes, 0 AS num_comments, length(text)::INTEGER AS num_views,
-       'Turn ' || turn AS title, text AS post_preview FROM conversations"""
+       'Turn ' || turn AS title, text AS post_preview FROM conversations
+       UNION ALL SELECT conv_id || '-' || turn, 'q' || conv_id || '-' || turn, 'mod', 'ex-mod', '2024-11-17', '2024-11-17', 1, turn::INTEGER, 0,
+       'Pinned', 'about ' FROM conversations"""
 )
 def page_posts(spark, d):
     posts = page_source.extract_posts(_html_pages(spark, d), "https://forum.example", "2024-11-17")
@@ -506,9 +518,7 @@ def lexicon_difference(spark, d):
        SELECT phrase, (-(len(string_split_regex(trim(phrase), '\\s+')) * 100000 + length(phrase)))::BIGINT AS priority FROM p"""
 )
 def lexicon_priority(spark, d):
-    named = table(spark, d, "supplier").join(
-        F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
-    )
+    named = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     phrases = named.select(F.concat_ws(" ", "s_name", "n_name").alias("p"))
     return lexicon_of(phrases, "p", "[GPE]").select("phrase", F.col("priority").cast("long").alias("priority"))
 

@@ -118,11 +118,11 @@ _BOOT = f"""seeds AS MATERIALIZED (SELECT *, ('0x' || substr(md5(post_id::VARCHA
   x2 AS MATERIALIZED (SELECT * REPLACE ({_mixed(f"xor(x, x >> 27)::UHUGEINT * {evaluate.MIX_B}::UHUGEINT")} AS x) FROM x1),
   x3 AS MATERIALIZED (SELECT * REPLACE (xor(x, x >> 31) AS x) FROM x2),
   w AS MATERIALIZED (SELECT model, split, y, pred, p, rep, len(list_filter({_CDF}, lambda c: c <= (x >> 11)::DOUBLE / 9007199254740992.0::DOUBLE)) AS w FROM x3),
-  cell AS (SELECT model, split, rep, sum(w) FILTER (y = 1 AND pred = 1)::DOUBLE AS tp, coalesce(sum(w) FILTER (y <> 1 AND pred = 1), 0)::DOUBLE AS fp,
+  cell AS (SELECT model, split, rep, coalesce(sum(w) FILTER (y = 1 AND pred = 1), 0)::DOUBLE AS tp, coalesce(sum(w) FILTER (y <> 1 AND pred = 1), 0)::DOUBLE AS fp,
     coalesce(sum(w) FILTER (y = 1 AND pred <> 1), 0)::DOUBLE AS fn, coalesce(sum(w) FILTER (y <> 1 AND pred <> 1), 0)::DOUBLE AS tn FROM w GROUP BY 1, 2, 3),
   tie AS (SELECT model, split, rep, p, coalesce(sum(w) FILTER (y = 1), 0)::DOUBLE AS pos, coalesce(sum(w) FILTER (y <> 1), 0)::DOUBLE AS neg FROM w GROUP BY 1, 2, 3, 4),
   cum AS (SELECT *, sum(neg) OVER (PARTITION BY model, split, rep ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM tie),
-  area AS (SELECT model, split, rep, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS a FROM cum GROUP BY 1, 2, 3),
+  area AS (SELECT model, split, rep, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS a FROM cum GROUP BY 1, 2, 3),
   m AS (SELECT c.model, c.split, c.rep, round_even((tp + tn) / (tp + fp + fn + tn), 3) AS accuracy, round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 3) AS precision,
     round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 3) AS recall,
     round_even((CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END * (tp + fn)

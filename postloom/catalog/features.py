@@ -92,7 +92,7 @@ def prepared_features(spark, d):
 @BOOK.add(
     """WITH j AS (SELECT vec_id, embedding::DOUBLE[] AS v, n_chars, lang, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
        s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM j WHERE label < 7)
-       SELECT vec_id, round(v[1], 5) AS first, round((n_chars - m) / s, 5) AS scaled, 65 AS size FROM j, s"""
+       SELECT vec_id, round(v[1], 5) AS first, coalesce(round((n_chars - m) / s, 5), 0) AS scaled, 65 AS size FROM j, s"""
 )
 def mixed_vectors(spark, d):
     """Vectors together with a scaled feature, as one ML vector."""

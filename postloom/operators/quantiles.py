@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from postloom.session import settle
+
 DISTINCT_LIMIT = 200_000
 ACCURACY = 1_000
 
@@ -100,6 +102,8 @@ def grouped_quantiles(
     if all(r.d <= distinct_limit for r in names):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), wanted).alias("edges")).collect()
+    # one folder per group, so that each search reads only its own group
+    df = settle(df.select(*by, value), "grouped", partition_by=by)
     out = []
     for r in names:
         part = df

@@ -24,14 +24,15 @@ class _Fields(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # [tag, kind, text parts]
+        self.open: list[list] = []  # [tag, kind, text parts, whether a child was seen]
         self.links, self.titles, self.previews, self.posters, self.counts = [], [], [], [], []
         self.pending: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         cls, kind = attrs.get("class") or "", None
-        parents = [t for t, _, _ in self.open[-2:]]
+        parents = [entry[0] for entry in self.open[-2:]]
+        self._seal()
         if tag == "a" and parents == ["article", "div"] and attrs.get("href") is not None:
             self.links.append(attrs["href"])
         elif tag == "h2" and TITLE_CLASS in cls:
@@ -50,20 +51,28 @@ class _Fields(HTMLParser):
         if tag == "div":
             self.pending.append({})
         if tag not in VOID_TAGS:
-            self.open.append([tag, kind, []])
+            self.open.append([tag, kind, [], False])
+
+    def _seal(self):
+        """Only the text before the first child counts for titles and previews."""
+        if self.open:
+            self.open[-1][3] = True
+
+    def handle_comment(self, data):
+        self._seal()
 
     def handle_data(self, data):
-        for _, kind, parts in self.open:
+        for _, kind, parts, _ in self.open:
             if kind == "poster":
                 parts.append(data)
-        if self.open and self.open[-1][1] in ("title", "preview"):
+        if self.open and self.open[-1][1] in ("title", "preview") and not self.open[-1][3]:
             self.open[-1][2].append(data)
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _, _ in self.open):
+        if not any(entry[0] == tag for entry in self.open):
             return
         while True:
-            name, kind, parts = self.open.pop()
+            name, kind, parts, _ = self.open.pop()
             if kind == "title":
                 self.titles.append("".join(parts))
             elif kind == "preview":

@@ -23,7 +23,7 @@ PAGE = """<html><body>
 <button aria-label="Views" data-count="150">v</button></div></article>
 <article><div><a href="/post/second-2">x</a></div>
 <div class="h-full items-center text-xs"><a>ex-Meta</a><span>bob</span><i>Oct 14</i></div>
-<h2 class="pointer-events-none">Hello</h2><p class="pointer-events-none">Second preview</p>
+<h2 class="pointer-events-none">Hello</h2><p class="pointer-events-none">Second preview<br>and more</p>
 <div><button aria-label="Like this" disabled>no</button></div>
 <div><button aria-label="Like this">l</button><button aria-label="Views" data-count="9">v</button></div></article>
 </body></html>"""
