@@ -1,11 +1,11 @@
 """Exact quantiles and quantile classes at any table size.
 
-The built-in exact ``percentile`` keeps one counter per distinct value in a
-single buffer, so it is used only while the number of distinct values is known
-to be bounded. Beyond that the order statistics are found by narrowing: each
-round brackets every wanted rank with an approximate quantile of guaranteed
-rank error, counts what lies below and inside each bracket, and repeats inside
-the brackets. The driver only ever holds a few numbers per probability.
+While the number of distinct values is known to be bounded, order statistics
+are read off the cumulative counts of the distinct values. Beyond that they are
+found by narrowing: each round brackets every wanted rank with an approximate
+quantile of guaranteed rank error, counts what lies below and inside each
+bracket, and repeats inside the brackets. The driver only ever holds a few
+numbers per probability.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom.session import settle
@@ -32,12 +33,46 @@ def exact_quantiles(
     if n == 0:
         return None
     if distinct <= distinct_limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return list(data.agg(F.percentile("v", wanted)).first()[0])
+        return _from_counts(data, [], "v", probs)[()]
     spots = [(n - 1) * p for p in probs]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
     found = order_statistics(data, ranks, n, distinct_limit)
-    return [found[math.floor(s)] + (found[math.ceil(s)] - found[math.floor(s)]) * (s - math.floor(s)) for s in spots]
+    return [_between(found[math.floor(s)], found[math.ceil(s)], s - math.floor(s)) for s in spots]
+
+
+def _between(low: float, high: float, t: float) -> float:
+    """Linear interpolation, from the nearer end: equal ends give exactly that value."""
+    return high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t
+
+
+def _from_counts(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> dict[tuple, list[float]]:
+    """Quantiles per group from cumulative counts of a bounded number of distinct values."""
+    by = list(by)
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy(*by)
+    up_to = group.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(group))
+
+    def holds(p: Column) -> Column:
+        """Whether a wanted rank falls on this value."""
+        spot = (F.col("total") - 1) * p
+        first = F.col("upto") - F.col("n")
+        inside = lambda rank: (rank >= first) & (rank < F.col("upto"))
+        return inside(F.floor(spot)) | inside(F.ceil(spot))
+
+    wanted = F.array(*[F.lit(float(p)) for p in sorted(set(probs))])
+    ends = (
+        ranked.select(*by, "v", "total", F.explode(F.filter(wanted, holds)).alias("p"))
+        .groupBy(*by, "p")
+        .agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("total").alias("total"))
+        .collect()
+    )
+    found: dict[tuple, dict[float, float]] = {}
+    for r in ends:
+        spot = (r.total - 1) * r.p
+        found.setdefault(tuple(r[c] for c in by), {})[r.p] = _between(r.low, r.high, spot - math.floor(spot))
+    return {key: [at[float(p)] for p in probs] for key, at in found.items()}
 
 
 def order_statistics(data: DataFrame, ranks: Sequence[int], n: int, limit: int) -> dict[int, float]:
@@ -100,8 +135,8 @@ def grouped_quantiles(
     if len(names) > 10_000:
         raise ValueError("grouped_quantiles is for report groups, not for row keys")
     if all(r.d <= distinct_limit for r in names):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), wanted).alias("edges")).collect()
+        found = _from_counts(df, by, value, probs)
+        return [Row(**dict(zip(by, key)), edges=edges) for key, edges in found.items()]
     # one folder per group, so that each search reads only its own group
     df = settle(df.select(*by, value), "grouped", partition_by=by)
     out = []

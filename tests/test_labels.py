@@ -35,6 +35,16 @@ def test_exact_quantiles(spark, name, limit):
     assert got == pytest.approx(list(np.quantile(values, probs)))
 
 
+@pytest.mark.parametrize("n", [6, 21, 41, 1001])
+def test_edges_on_values_stay_on_them(spark, n):
+    """A quantile that falls on a value is that value to the last bit."""
+    values = np.cumsum(np.random.default_rng(n).random(n) + 0.1)
+    probs = [i / 20 for i in range(21)]
+    for limit in (200_000, 3):
+        got = quantiles.exact_quantiles(frame(spark, values), "v", probs, distinct_limit=limit)
+        assert got == np.quantile(values, probs).tolist()
+
+
 def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(frame(spark, [None, None]), "v", [0.5]) is None
 
