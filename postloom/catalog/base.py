@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.catalog.common import (
-    ASCII,
     COMMENTS,
     CUE_FLAG,
     CUES,
     PLAIN_DOCUMENTS,
     SCORES,
     Book,
-    ascii_text,
     comments_table,
     plain_documents,
     r,

@@ -46,7 +46,8 @@ PLAIN_DOCUMENTS = f"docs AS (SELECT doc_id AS post_id, {ASCII.format('text')} AS
 
 def comments_table(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as comments of the post that has the conversation's number."""
-    return table(spark, folder, "conversations").select(
+    turns = spread(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return turns.select(
         F.col("conv_id").alias("post_id"),
         F.concat_ws("-", "conv_id", "turn").alias("comment_id"),
         ascii_text(F.col("text")).alias("text"),

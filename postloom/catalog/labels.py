@@ -42,7 +42,7 @@ from postloom.operators.labels import (
     target_encoding,
 )
 from postloom.operators.quantiles import quantile_class
-from postloom.session import scratch_path, settle
+from postloom.session import scratch_path, settle, spread
 from postloom.streaming.labels import write_stream
 
 BOOK = Book()
@@ -122,7 +122,7 @@ def _cued_sql(column: str) -> str:
         SELECT conv_id, turn, {_offer} AS referral_offer, {_mention} AS is_referral, {_request} AS is_request FROM t"""
 )
 def fixed_rule_flags(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", _cued(ascii_text(F.col("text"))).alias("text"))
+    turns = spread(table(spark, d, "conversations")).select("conv_id", "turn", _cued(ascii_text(F.col("text"))).alias("text"))
     return turns.select(
         "conv_id", "turn", offer_flag(F.col("text")).alias("referral_offer"),
         referral_flag(F.col("text")).alias("is_referral"), request_flag(F.col("text")).alias("is_request"),
@@ -242,7 +242,7 @@ def basic_table(spark, d):
     """The labelled table from documents and conversations, with cue words as rules."""
     from postloom.functions.columns import contains
 
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     text = ascii_text(F.col("text"))
     posts = docs.select(
         F.col("doc_id").alias("post_id"),

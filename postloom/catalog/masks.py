@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from postloom.catalog.common import ASCII, PLAIN_DOCUMENTS, Book, ascii_text, plain_documents, sql_text, table
 from postloom.functions import fixed_values as fixed
-from postloom.functions.text import sentence_case
 from postloom.operators import masking
 from postloom.operators.lexicons import (
     company_lexicon,
@@ -15,7 +14,6 @@ from postloom.operators.lexicons import (
     ordered_lexicon,
     role_lexicon,
     role_phrases,
-    stopwords,
     without_phrases,
 )
 from postloom.session import spread
