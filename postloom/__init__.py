@@ -1 +1,9 @@
 """Post and comment analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need
+# not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

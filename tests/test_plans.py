@@ -163,3 +163,19 @@ def test_shared_dir_is_read_from_the_session(spark):
     from postloom.session import scratch_path
 
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    """Functions for Python workers load in a process that cannot import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from postloom.operators.evaluate import _partial_sums
+    from postloom.sources.pages import _page_rows
+
+    body = cloudpickle.dumps((_partial_sums(["m"], 2), _page_rows))
+    code = "import pickle, sys; f, g = pickle.loads(sys.stdin.buffer.read()); list(f(iter([]))); print(len(g(sys.argv[1])))"
+    out = subprocess.run([sys.executable, "-c", code, PAGE], input=body, cwd=tmp_path, capture_output=True, env={}, timeout=120)
+    assert out.stdout.strip() == b"2", out.stderr.decode()[-500:]
