@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ END = 0xE000  # added to the last character of a word, in place of the mark for
 NEVER = 1 << 60
 
 # White space of the tokenizer's patterns.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
@@ -193,25 +193,28 @@ def _encode(text: str, spec, known_pieces: int):
                 out.append(got)
                 counts.append(len(got) // 4)
             ids = pa.array(np.frombuffer(b"".join(out), np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("key"), ragged(ids, np.array(counts))], ["key", "ids"])
+            held_columns = [n for n in part.schema.names if n != text]
+            arrays = [part.column(n) for n in held_columns] + [ragged(ids, np.array(counts))]
+            yield pa.RecordBatch.from_arrays(arrays, [*held_columns, "ids"])
 
     return run
 
 
 def encoded(
-    docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", known_pieces: int = KNOWN_PIECES
+    docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), known_pieces: int = KNOWN_PIECES
 ) -> DataFrame:
-    """``(key, ids)`` of every document, as the tokenizer at the path ``vocabulary`` gives them without special tokens around.
+    """``(key, kept columns, ids)`` of every document, as the tokenizer at the path ``vocabulary`` gives them without special tokens around.
 
     Special tokens that stand in a text get their own id. Null and empty texts
     have no ids. Repeated rows, null keys and an empty table are kept as they
     are; further columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = rows.mapInArrow(_encode("text", spec, known_pieces), f"key {kind}, ids array<int>")
-    return out.withColumnRenamed("key", key)
+    names = [key, *keep]
+    rows = docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(names))
+    out = rows.mapInArrow(_encode("text", spec, known_pieces), f"{kinds}ids array<int>")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "ids")
 
 
 def _decode(names):

@@ -79,10 +79,11 @@ class Hashes:
 class Block:
     """Texts of one block: their bytes, and where words begin and end.
 
-    ``doc`` is the text of each word, ``first`` the number of words before each text.
+    ``doc`` is the text of each word, ``first`` the number of words before each
+    text. ``kept`` names other word bytes than those that are no white space.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, kept: np.ndarray | None = None):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -90,7 +91,7 @@ class Block:
         if lower:
             data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
         self.data = data
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
+        gap = (data == 32) | ((data >= 9) & (data <= 13)) if kept is None else ~kept[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
         word = ~gap
