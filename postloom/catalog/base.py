@@ -82,45 +82,55 @@ def page_link_list(spark, d):
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-def _article(link, firm, user, when, title, text, counts):
-    """One listed post in the markup of a page."""
-    buttons = [
-        F.concat(F.lit(f'<button aria-label="{label}" data-count="'), n.cast("string"), F.lit('">x</button>'))
-        for label, n in counts.items()
-    ]
-    return F.concat(
-        F.lit('<article><div><a href="https://forum.example/post/'), link,
-        F.lit('">x</a></div><div class="h-full items-center text-xs"><a>'), firm, F.lit("</a><span>"), user,
-        F.lit("</span><i>"), when, F.lit('</i></div><h2 class="big pointer-events-none">'), title,
-        F.lit('</h2><p class="pointer-events-none">'), text, F.lit("</p><div>"), *buttons, F.lit("</div></article>"),
-    )
+def _article(link, firm=None, user=None, when=None, title=None, text=None, counts=None):
+    """One listed post in the markup of a page; parts that are not given are left out."""
+    parts = [F.lit('<article><div><a href="https://forum.example/post/'), link, F.lit('">x</a></div>')]
+    if firm is not None:
+        parts += [F.lit('<div class="h-full items-center text-xs"><a>'), firm, F.lit("</a><span>"), user, F.lit("</span><i>"), when, F.lit("</i></div>")]
+    if title is not None:
+        parts += [F.lit('<h2 class="big pointer-events-none">'), title, F.lit("</h2>")]
+    if text is not None:
+        parts += [F.lit('<p class="pointer-events-none">'), text, F.lit("</p>")]
+    if counts is not None:
+        buttons = [
+            F.concat(F.lit(f'<button aria-label="{label}" data-count="'), n.cast("string"), F.lit('">x</button>'))
+            for label, n in counts.items()
+        ]
+        parts += [F.lit("<div>"), *buttons, F.lit("</div>")]
+    return F.concat(*parts, F.lit("</article>"))
 
 
 def _html_pages(spark, d):
-    """A listing page per conversation turn: the turn, and a pinned post about it."""
+    """A listing page per conversation turn: a bare link, the turn, posts that lack one part, and a pinned post about it."""
     text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     when = F.when(F.col("role") == "user", "Yesterday").when(F.col("role") == "assistant", "3d").otherwise("Oct 14")
     name = F.concat_ws("-", "conv_id", "turn")
+    likes = {"Like this": F.col("turn"), "Views": F.length("text")}
     turn = _article(
         F.concat(F.lit("p"), name), F.col("role"), F.concat(F.lit("user"), F.col("turn")), when,
-        F.concat(F.lit("Turn "), F.col("turn")), text,
-        {"Like this": F.col("turn"), "Views": F.length("text")},
+        F.concat(F.lit("Turn "), F.col("turn")), text, likes,
     )
+    untitled = _article(F.concat(F.lit("t"), name), F.lit("f"), F.lit("u"), F.lit("2m"), None, F.lit("only text"), likes)
+    no_poster = _article(F.concat(F.lit("n"), name), title=F.lit("Only title"), counts=likes)
     pinned = _article(
         F.concat(F.lit("q"), name), F.lit("ex-mod"), F.lit("mod"), F.lit("5h"), F.lit("Pinned"), F.lit("about <b>it</b> again"),
         {"Like this": F.lit(1), "Comment on this": F.col("turn")},
     )
-    page = F.concat(F.lit("<html><body>"), turn, pinned, F.lit("</body></html>"))
+    bare = _article(F.concat(F.lit("b"), name))
+    page = F.concat(F.lit("<html><body><h2 class='pointer-events-none'>Site</h2>"), bare, turn, untitled, no_poster, pinned, F.lit("</body></html>"))
     return table(spark, d, "conversations").select(name.alias("page_id"), page.alias("html"))
 
 
 @BOOK.add(
-    """SELECT conv_id || '-' || turn AS page_id, 'p' || conv_id || '-' || turn AS post_id, 'user' || turn AS user_name, role AS user_firm,
+    """WITH c AS (SELECT conv_id || '-' || turn AS page_id, turn, role, text, turn::INTEGER AS likes, length(text)::INTEGER AS views FROM conversations)
+       SELECT page_id, 'p' || page_id AS post_id, 'user' || turn AS user_name, role AS user_firm,
        CASE role WHEN 'user' THEN '2024-11-16' WHEN 'assistant' THEN '2024-11-14' ELSE '2024-10-14' END AS date,
-       '2024-11-17' AS scrape_date, turn::INTEGER AS num_likes, 0 AS num_comments, length(text)::INTEGER AS num_views,
-       'Turn ' || turn AS title, text AS post_preview FROM conversations
-       UNION ALL SELECT conv_id || '-' || turn, 'q' || conv_id || '-' || turn, 'mod', 'ex-mod', '2024-11-17', '2024-11-17', 1, turn::INTEGER, 0,
-       'Pinned', 'about ' FROM conversations"""
+       '2024-11-17' AS scrape_date, likes AS num_likes, 0 AS num_comments, views AS num_views,
+       'Turn ' || turn AS title, text AS post_preview, 0 AS parts_missing FROM c
+       UNION ALL SELECT page_id, 'q' || page_id, 'mod', 'ex-mod', '2024-11-17', '2024-11-17', 1, likes, 0, 'Pinned', 'about ', 0 FROM c
+       UNION ALL SELECT page_id, 't' || page_id, 'u', 'f', '2024-11-17', '2024-11-17', likes, 0, views, NULL, 'only text', 1 FROM c
+       UNION ALL SELECT page_id, 'n' || page_id, NULL, NULL, NULL, '2024-11-17', likes, 0, views, 'Only title', NULL, 2 FROM c
+       UNION ALL SELECT page_id, 'b' || page_id, NULL, NULL, NULL, '2024-11-17', 0, 0, 0, NULL, NULL, 4 FROM c"""
 )
 def page_posts(spark, d):
     posts = page_source.extract_posts(_html_pages(spark, d), "https://forum.example", "2024-11-17")

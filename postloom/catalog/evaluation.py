@@ -93,16 +93,16 @@ def calibration_axis(spark, d):
 
 
 @BOOK.add(
-    f"""WITH {SCORES}, s AS (SELECT * FROM scores WHERE p > 0), l AS (SELECT model, split, y, pred, -ln(CASE WHEN y = 1 THEN p ELSE 1 - p END) AS loss FROM s)
+    f"""WITH {SCORES}, l AS (SELECT model, split, y, pred, -ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 2.220446049250313e-16::DOUBLE)) AS loss FROM scores)
         SELECT model, split, round(coalesce(avg(loss) FILTER (y = 1), 0) / 2 + coalesce(avg(loss) FILTER (y = 0), 0) / 2, 6) AS entropy,
           round(avg(y), 6) AS true_pos_rate, round(avg(pred), 6) AS pred_pos_rate FROM l GROUP BY 1, 2"""
 )
 def monitoring_metrics(spark, d):
-    out = evaluate.monitoring(score_rows(spark, d).filter("p > 0"))
+    out = evaluate.monitoring(score_rows(spark, d))
     return out.select(*BY, *[r(c).alias(c) for c in out.columns[2:]])
 
 
-REPLICATES = 40
+REPLICATES = 1000
 _CDF = "[" + ", ".join(repr(c) for c in evaluate.POISSON_CDF) + "]::DOUBLE[]"
 _M = "18446744073709551616::UHUGEINT"
 

@@ -92,7 +92,7 @@ def prepared_features(spark, d):
 @BOOK.add(
     """WITH j AS (SELECT vec_id, embedding::DOUBLE[] AS v, n_chars, lang, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
        s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM j WHERE label < 7)
-       SELECT vec_id, round(v[1], 5) AS first, coalesce(round((n_chars - m) / s, 5), 0) AS scaled, 65 AS size FROM j, s"""
+       SELECT vec_id, list_append(list_transform(v, lambda x: round(x, 5)), coalesce(round((n_chars - m) / s, 5), 0)) AS features FROM j, s"""
 )
 def mixed_vectors(spark, d):
     """Vectors together with a scaled feature, as one ML vector."""
@@ -100,7 +100,7 @@ def mixed_vectors(spark, d):
     rows = table(spark, d, "embeddings").withColumn("train", F.col("label") < 7)
     both = standard_scale(rows.join(docs, "vec_id", "left"), ["n_chars"])
     out = assemble(both, ["embedding", "n_chars"]).select("vec_id", vector_to_array("features").alias("x"))
-    return out.select("vec_id", F.round(F.col("x")[0], 5).alias("first"), F.round(F.col("x")[64], 5).alias("scaled"), F.size("x").alias("size"))
+    return out.select("vec_id", F.transform("x", lambda v: F.round(v, 5)).alias("features"))
 
 
 @BOOK.add(
@@ -113,13 +113,15 @@ def encoded_texts(spark, d):
 
 @BOOK.add(
     """WITH n AS (SELECT doc_id, length(text)::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b FROM documents)
-       SELECT doc_id, round(CASE WHEN a * a + b * b > 0 THEN a / sqrt(a * a + b * b) ELSE 0 END, 5) AS first FROM n"""
+       SELECT doc_id, round(CASE WHEN a * a + b * b > 0 THEN a / sqrt(a * a + b * b) ELSE 0 END, 5) AS first,
+         round(CASE WHEN a * a + b * b > 0 THEN b / sqrt(a * a + b * b) ELSE 0 END, 5) AS second FROM n"""
 )
 def batch_encoded_texts(spark, d):
     """A user-supplied encoder on Arrow batches."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     out = encode_text(docs, "doc_id", "text", encoder=lambda texts: [[len(t), len(t.split(" "))] for t in texts])
-    return out.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+    at = lambda i: F.round(F.col("embedding")[i].cast("double"), 5)
+    return out.select("doc_id", at(0).alias("first"), at(1).alias("second"))
 
 
 # --- TF-IDF -------------------------------------------------------------------
@@ -161,15 +163,25 @@ def frequent_terms(spark, d):
 
 
 @BOOK.add(
-    f"""WITH {PLAIN_DOCUMENTS}, {_TERMS} SELECT post_id, count(*)::INTEGER AS n_terms, (SELECT count(*) FROM vocab)::INTEGER AS size FROM tf JOIN vocab USING (term) GROUP BY 1"""
+    f"""WITH {PLAIN_DOCUMENTS}, {_TERMS}, raw AS (SELECT post_id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM fit)) / (1 + df)) + 1) AS r FROM tf JOIN vocab USING (term)),
+         n AS (SELECT term, row_number() OVER (ORDER BY md5(term), term) - 1 AS idx FROM vocab),
+         w AS (SELECT post_id, idx, r / sqrt(sum(r * r) OVER (PARTITION BY post_id)) AS v FROM raw JOIN n USING (term)),
+         e AS (SELECT post_id, list(idx::INTEGER ORDER BY idx) AS indices, list(round(v, 6) ORDER BY idx) AS weights FROM w GROUP BY 1)
+        SELECT post_id, coalesce(array_to_string(indices, ','), '') AS indices, coalesce(weights, []) AS weights,
+          (SELECT count(*) FROM vocab)::INTEGER AS size FROM docs LEFT JOIN e USING (post_id)"""
 )
 def tfidf_sparse_vectors(spark, d):
-    """Sparse ML vectors: entries per text and dimension."""
+    """Sparse ML vectors: places and weights of the entries of every text, and the dimension."""
     counts = settle(_counts(spark, d), "term-counts")
     vocabulary = _fitted(spark, d, counts, indexed=True)
-    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id")
+    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id", plain_documents(spark, d))
     filled = vectors.select("post_id", vector_to_array("features").alias("x"))
-    return filled.select("post_id", F.size(F.filter("x", lambda v: v != 0)).alias("n_terms"), F.size("x").alias("size"))
+    entries = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
+    filled = filled.select("post_id", entries.alias("e"), F.size("x").alias("size"))
+    return filled.select(
+        "post_id", F.array_join(F.col("e.i").cast("array<string>"), ",").alias("indices"),
+        F.transform("e.v", lambda v: F.round(v, 6)).alias("weights"), "size",
+    )
 
 
 # --- classifiers --------------------------------------------------------------
@@ -242,9 +254,9 @@ def ranked_term_coefficients(spark, d):
     """Non-zero terms of an L1 model on TF-IDF vectors, largest and smallest."""
     counts = settle(_counts(spark, d), "term-counts")
     vocabulary = _fitted(spark, d, counts, indexed=True)
-    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id")
+    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id", plain_documents(spark, d))
     rows = _labelled(spark, d).join(vectors, "post_id").cache()
-    model = fit_l1_logit(rows, "class_offers", c=5.0, max_iter=50)
+    model = fit_l1_logit(rows, "class_offers", c=5.0)
     names = vocabulary.table.select("idx", F.col("term").alias("names"))
     top, bottom = first_and_last(nonzero_coefficients(model, names), "coefs")
     return top.withColumn("end", F.lit("top")).unionByName(bottom.withColumn("end", F.lit("bottom")))

@@ -204,28 +204,39 @@ def masked_scores(spark, d):
     return _shown(_turns(spark, d), masking.mask_scores(F.col("text")))
 
 
-def _level_steps():
-    commas = lambda xs: [*xs, *[x + "," for x in xs]]
-    ladder = commas(
-        [x + r" level\s?" for x in fixed.SENIORITIES] + [x + r"-level\s?" for x in fixed.SENIORITIES] + fixed.LEVEL_NAMES
-    )
-    steps = []
-    for i, number in enumerate(fixed.LEVEL_NUMBERS):
-        for x in commas(fixed.MANAGER_LEVELS):
-            steps.append((rf"\b{x}{number}\b", "[MANAGER]"))
-            if i == 2:
-                steps.append((rf"\b{x}\b", "[MANAGER]"))
-        for x in ladder:
-            steps.append((rf"\b{x}{number}\b", "[ICLEVEL]"))
-            if i == 2:
-                steps.append((rf"\b{fixed.LEVEL_LEADS}\s*{x}\b", "[ICLEVEL]"))
-                if len(x) > 2:
-                    steps.append((rf"\b{x}\b", "[ICLEVEL]"))
-    # a bare name also matches inside an earlier token; the sequence ends by collapsing brackets
-    return [*steps, (fixed.BARE_SENIORITY, "[ICLEVEL]"), (r"\[+", "["), (r"\]+", "]")]
-
-
-@BOOK.add(_sequence_sql(_level_steps()))
+# The written rule for levels as a table: the form of the number, whose names are meant, and the shapes in which
+# such a name is masked, in this order. N is the name, # the number, + a word that leads to a level; shapes marked
+# "long" hold for names of three letters and more.
+LEVEL_RULE = [
+    ("decimal", "manager", ["N#"]),
+    ("decimal", "ladder", ["N#"]),
+    ("integer", "manager", ["N#"]),
+    ("integer", "ladder", ["N#"]),
+    ("roman", "manager", ["N#", "N"]),
+    ("roman", "ladder", ["N#", "+N", "long N"]),
+]
+LEVEL_TAGS = {"manager": "[MANAGER]", "ladder": "[ICLEVEL]"}
+AFTER_LEVELS = [(fixed.BARE_SENIORITY, "[ICLEVEL]"), (r"\[+", "["), (r"\]+", "]")]
+
+
+def level_passes() -> list[tuple[str, str]]:
+    """(pattern, tag) of every single replacement, in order; bare seniorities and doubled brackets come last."""
+    spelled = [f"{s}{joint}level" + r"\s?" for joint in (" ", "-") for s in fixed.SENIORITIES]
+    names = {"manager": fixed.MANAGER_LEVELS, "ladder": [*spelled, *fixed.LEVEL_NAMES]}
+    numbers = dict(zip(("decimal", "integer", "roman"), fixed.LEVEL_NUMBERS))
+    table = [
+        (shape, name + comma, numbers[form], LEVEL_TAGS[group])
+        for form, group, shapes in LEVEL_RULE
+        for comma in ("", ",")
+        for name in names[group]
+        for shape in shapes
+    ]
+    fill = {"N#": "{n}{number}", "N": "{n}", "long N": "{n}", "+N": fixed.LEVEL_LEADS.replace("{", "{{").replace("}", "}}") + r"\s*{n}"}
+    kept = [row for row in table if row[0] != "long N" or len(row[1]) > 2]
+    return [(r"\b" + fill[shape].format(n=n, number=number) + r"\b", tag) for shape, n, number, tag in kept] + AFTER_LEVELS
+
+
+@BOOK.add(_sequence_sql(level_passes()))
 def masked_levels(spark, d):
     return _shown(_turns(spark, d), masking.single_brackets(masking.mask_levels(F.col("text"))))
 

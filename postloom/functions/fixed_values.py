@@ -237,7 +237,10 @@ LITERATURE_CUES = [
 ]
 
 # Jargon left out of the count of unknown words.
-JARGON = "iclevel leetcode url org gpe yrs tc dm pip pm swe ds sde de us eu rif aws gcp".split()
+JARGON = [
+    "iclevel", "leetcode", "url", "org", "gpe", "yrs", "tc", "dm", "pip", "pm", "swe", "ds", "sde", "de", "us", "eu",
+    "rif", "aws", "gcp",
+]
 
 # Firm names added to those found in the data, and names that
 # are also common words.
@@ -261,7 +264,9 @@ EXTRA_FIRMS = [
     'Merkle', 'Veradigm', 'Captech', 'Bose', 'Hubell', 'Pinnaclegroup', 'Pinnaclegroupinc', 'Donux', 'Koent', 'Kong',
     'Mightyhive',
 ]
-FIRM_EXCEPTIONS = 'new here january visa match tableu tableau outreach chief mongodb'.split()
+FIRM_EXCEPTIONS = [
+    "new", "here", "january", "visa", "match", "tableu", "tableau", "outreach", "chief", "mongodb",
+]
 
 # Place names added to a gazetteer, and words never masked as places.
 EXTRA_PLACES = [
@@ -274,10 +279,11 @@ EXTRA_PLACES = [
     'remote europe', 'remote us', 'west coast', 'east coast', 'eastern europe', 'western europe', 'bay area',
     'midwest', 'mid west', 'south', 'seattle', 'mission bay', 'manhattan', 'brooklyn', 'bayarea',
 ]
-STATE_CODES = (
-    'al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or '
-    'pa ri sc sd tn tx ut vt va wa wv wi wy'
-).split()
+STATE_CODES = [
+    "al", "ak", "az", "ar", "ca", "co", "ct", "de", "fl", "ga", "hi", "id", "il", "in", "ia", "ks", "ky", "la", "me",
+    "md", "ma", "mi", "mn", "ms", "mo", "mt", "ne", "nv", "nh", "nj", "nm", "ny", "nc", "nd", "oh", "ok", "or", "pa",
+    "ri", "sc", "sd", "tn", "tx", "ut", "vt", "va", "wa", "wv", "wi", "wy",
+]
 PLACE_CODES = [
     'eu', 'usa', 'uk', 'uae', 'nyc', 'sf', '/us', '-us', 'the us', 'in us', 'u.s', 'u.s.', 'the u.s.', 'the u.s',
     'across us', 'sfo', 'lax', 'lga', 'sea', '(us)', 'oc', 'us/', 'us based', 'outside us', '/can', 'can.',
@@ -355,17 +361,21 @@ INDUSTRIES = [
 
 # Names never taken for organisations by a model, and
 # abbreviations written in capitals.
-ORG_EXCEPTIONS = 'partner product sde tc yoe swe pm phd kindest ’m lookout wedding'.split() + [f'{i}k' for i in range(10)]
+ORG_EXCEPTIONS = [
+    "partner", "product", "sde", "tc", "yoe", "swe", "pm", "phd", "kindest", "’m", "lookout", "wedding",
+] + [f'{i}k' for i in range(10)]
 CAPITAL_TERMS = ['i', 'tc', 'yoe', 'col']
 
 # Stop-words that carry meaning here and are kept.
-KEPT_STOPWORDS = (
-    "rather nothing anyone first mostly please during someone serious whoever only because except anything again "
-    "since something whenever everyone nobody across upon within while really several give get many whatever where "
-    "down perhaps anywhere toward became somewhere somehow nowhere should wherever everywhere elsewhere seemed even "
-    "everything least towards use full about enough sometime after made along haven't throughout might how never "
-    "although beforehand become anyway off"
-).split()
+KEPT_STOPWORDS = [
+    "rather", "nothing", "anyone", "first", "mostly", "please", "during", "someone", "serious", "whoever", "only",
+    "because", "except", "anything", "again", "since", "something", "whenever", "everyone", "nobody", "across",
+    "upon", "within", "while", "really", "several", "give", "get", "many", "whatever", "where", "down", "perhaps",
+    "anywhere", "toward", "became", "somewhere", "somehow", "nowhere", "should", "wherever", "everywhere",
+    "elsewhere", "seemed", "even", "everything", "least", "towards", "use", "full", "about", "enough", "sometime",
+    "after", "made", "along", "haven't", "throughout", "might", "how", "never", "although", "beforehand", "become",
+    "anyway", "off",
+]
 
 # Display caps of the engagement counts.
 DISPLAY_CAPS = {"num_views": 500, "num_likes": 6, "num_comments": 20}

@@ -121,10 +121,14 @@ def class_report(scores: DataFrame, by: Sequence[str] = ("model", "split")) -> D
 
 
 def calibration(scores: DataFrame, by: Sequence[str] = ("model", "split"), bins: int = 20) -> DataFrame:
-    """Mean probability and mean label per equal-frequency bin of the probability."""
+    """Mean probability and mean label per equal-frequency bin of the probability.
+
+    Rows whose probability is NaN or null are in no bin; a group of them alone has no row.
+    """
+    scores = scores.filter(F.col("p").isNotNull() & ~F.isnan("p"))
     edges = grouped_quantiles(scores, by, "p", [i / bins for i in range(bins + 1)])
     # one row per report group, as counted by grouped_quantiles
-    rows = [tuple(r[c] for c in by) + (bin_edges(r.edges),) for r in edges]
+    rows = [tuple(r[c] for c in by) + (bin_edges(r.edges),) for r in edges if r.edges]
     kinds = dict(scores.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", inner array<double>"
     table = local_table(scores.sparkSession, rows, schema)
@@ -145,9 +149,19 @@ def calibration_range(curve: DataFrame, by: Sequence[str] = ("model", "split"))
     )
 
 
+# Probabilities closer to 0 or 1 than the spacing of doubles count as that far from them.
+LEAST_PROBABILITY = 2.0**-52
+
+
 def monitoring(scores: DataFrame, by: Sequence[str] = ("model", "split")) -> DataFrame:
-    """Cross entropy with balanced class weights, and true and predicted positive rates."""
-    loss = -F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    """Cross entropy with balanced class weights, and true and predicted positive rates.
+
+    Every row with a probability counts: one that gives its own class 0 has the
+    loss of ``LEAST_PROBABILITY``. NaN and null probabilities have no loss.
+    """
+    own = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
+    own = F.when(F.col("p").isNotNull() & ~F.isnan("p"), F.least(F.greatest(own, F.lit(LEAST_PROBABILITY)), F.lit(1.0)))
+    loss = -F.log(own)
     return scores.groupBy(*by).agg(
         (
             F.coalesce(F.avg(F.when(F.col("y") == 1, loss)), F.lit(0.0)) / 2
@@ -336,10 +350,17 @@ def confidence_intervals(
 def evaluate_all(
     scores: DataFrame, key: str, by: Sequence[str] = ("model", "split"), replicates: int | None = 1000
 ) -> DataFrame:
-    """Metrics of all models and splits with their intervals, one row per metric."""
+    """Metrics of all models and splits with their intervals, one row per metric.
+
+    A model without probabilities has intervals too; its AUROC is null.
+    """
     measures = ["accuracy", "precision", "recall", "f1_weighted", "roc_auc"]
     table = performance(scores, by).unpivot(list(by), measures, "metric", "value")
     if not replicates:
         return table
-    bounds = confidence_intervals(scores.filter(F.col("p").isNotNull()), key, by, replicates)
+    # rows without a probability share one score, so they cannot change another group's ranks
+    guessed = F.max(F.col("p").isNull().cast("int")).alias("_none")
+    bounds = confidence_intervals(scores.withColumn("p", F.coalesce("p", F.lit(0.5))), key, by, replicates)
+    groups = scores.groupBy(*by).agg(guessed)
+    bounds = bounds.join(groups, list(by)).filter("_none = 0 or metric <> 'roc_auc'").drop("_none")
     return table.join(bounds, [*by, "metric"], "left")

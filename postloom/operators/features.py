@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from postloom.functions.columns import words
 from postloom.functions.vectors import unit
+from postloom.operators.joins import lookup_join
+from postloom.session import settle
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], train: str = "train") -> DataFrame:
@@ -30,11 +32,9 @@ def standard_scale(df: DataFrame, columns: Sequence[str], train: str = "train")
     return df.withColumns({c: scaled(c) for c in columns})
 
 
-def category_counts(df: DataFrame, column: str, limit: int = 1_000) -> list[tuple[str, int]]:
-    """Categories with counts, most frequent first; only for low-dimensional columns."""
-    rows = df.filter(F.col(column).isNotNull()).groupBy(column).count().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
+def category_counts(df: DataFrame, column: str) -> list[tuple[str, int]]:
+    """Categories with counts, most frequent first; for columns that are to become one column per category."""
+    rows = df.filter(F.col(column).isNotNull()).groupBy(column).count().collect()
     return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -47,12 +47,11 @@ def one_hot(df: DataFrame, column: str, train: str = "train") -> DataFrame:
 
 def balanced_weights(df: DataFrame, label: str, name: str = "w") -> DataFrame:
     """Row weights ``n / (k * n_class)``; they sum to the number of rows."""
-    counts = category_counts(df, label)
-    n, k = sum(c for _, c in counts), len(counts)
-    weight = F.lit(None).cast("double")
-    for value, count in counts:
-        weight = F.when(F.col(label) == F.lit(value), F.lit(n / (k * count))).otherwise(weight)
-    return df.withColumn(name, weight)
+    counts = settle(df.filter(F.col(label).isNotNull()).groupBy(label).count(), "class-sizes")
+    n, k = counts.agg(F.sum("count"), F.count(F.lit(1))).first()
+    weights = counts.select(label, (F.lit(float(n or 0)) / (F.col("count") * F.lit(float(k)))).alias(name))
+    columns = df.columns
+    return lookup_join(df, weights, label, "left", materialise=False).select(*columns, name)
 
 
 def prepare_features(
@@ -74,14 +73,19 @@ def prepare_features(
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    """Feature columns as one ML vector; missing values become 0, arrays become vectors."""
+    """Feature columns as one ML vector; missing values become 0, arrays become vectors.
+
+    A missing array becomes zeros of the length of the others.
+    """
     from pyspark.ml.functions import array_to_vector
 
     ready, filled = [], {}
     for c in columns:
         kind = dict(df.dtypes)[c]
         if kind.startswith("array"):
-            filled[f"_v_{c}"] = array_to_vector(F.transform(F.col(c), lambda x: x.cast("double")))
+            size = df.agg(F.coalesce(F.max(F.size(c)), F.lit(0)).alias("n")).first().n
+            held = F.transform(F.col(c), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+            filled[f"_v_{c}"] = array_to_vector(F.coalesce(held, F.array_repeat(F.lit(0.0), max(size, 0))))
             ready.append(f"_v_{c}")
         elif kind == "boolean":
             filled[f"_v_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))

@@ -17,10 +17,10 @@ SALTS = 32
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a lookup side: both its rows and its serialised bytes must be bounded.
 
-    Reads at most ``max_rows + 1`` rows.
+    One parallel aggregate; a task hands on two numbers.
     """
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 

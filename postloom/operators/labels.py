@@ -12,7 +12,6 @@ from postloom.functions.columns import remove_prefix_marker, text_or_empty
 from postloom.functions.dates import day_name, micros
 from postloom.functions.rules import offer_flag, offer_label, referral_flag, request_flag
 from postloom.functions.text import hashtag_count
-from postloom.operators.features import category_counts
 from postloom.operators.joins import lookup_join
 from postloom.operators.quantiles import exact_quantiles, quantile_class
 from postloom.session import settle
@@ -190,16 +189,15 @@ def stratified_split(
     Digests are uniform, so their leading characters cut every class into equal
     slices. Slices are counted until the one that holds the cut is small, and
     only that one is ordered; every other row is decided by comparing its digest
-    with the cut. The table itself is never shuffled.
+    with the cut. The table itself is never shuffled. Null is a class of its own.
     """
     order = hash_order(F.col(key), seed)
     rows = df.select(F.col(label).alias("c"), order.alias("h"))
-    sizes = category_counts(df, label)
     cut = F.lit(None).cast("string")
-    for c, n in sizes:
+    for c, n in rows.groupBy("c").count().collect():
         need = round(share * n)
-        last = _digest_at(rows.filter(F.col("c") == F.lit(c)), need, n, slice_rows) if need else ""
-        cut = F.when(F.col(label) == F.lit(c), F.lit(last)).otherwise(cut)
+        last = _digest_at(rows.filter(F.col("c").eqNullSafe(F.lit(c))), need, n, slice_rows) if need else ""
+        cut = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(last)).otherwise(cut)
     return df.withColumn("fit", order <= cut)
 
 

@@ -18,9 +18,14 @@ def long_first(phrase: Column) -> Column:
     return -(F.size(words(phrase)).cast("long") * F.lit(100_000) + F.length(phrase))
 
 
+def trimmed(phrase: Column) -> Column:
+    """A phrase without white space around it."""
+    return F.regexp_replace(phrase, r"^\s+|\s+$", "")
+
+
 def lexicon_of(df: DataFrame, phrase: str, tag: str) -> DataFrame:
     """A lexicon from a table of phrases; long phrases win."""
-    kept = df.select(F.lower(F.col(phrase)).alias("phrase")).filter("phrase is not null and trim(phrase) <> ''")
+    kept = df.select(trimmed(F.lower(F.col(phrase))).alias("phrase")).filter("phrase is not null and phrase <> ''")
     return kept.distinct().select("phrase", F.lit(tag).alias("tag"), long_first(F.col("phrase")).alias("priority"))
 
 
@@ -30,7 +35,7 @@ def phrase_table(spark: SparkSession, phrases: Iterable[str]) -> DataFrame:
 
 def ordered_lexicon(spark: SparkSession, phrases: Iterable[str], tag: str) -> DataFrame:
     """A lexicon from a list: more words win, then the earlier entry."""
-    ordered = sorted(dict.fromkeys(p.lower() for p in phrases), key=lambda p: -len(p.split()))
+    ordered = sorted(dict.fromkeys(q for p in phrases if (q := p.lower().strip())), key=lambda p: -len(p.split()))
     rows = [(p, tag, i) for i, p in enumerate(ordered)]
     return local_table(spark, rows, "phrase string, tag string, priority long")
 

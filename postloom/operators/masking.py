@@ -19,7 +19,7 @@ from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import UNICODE, UNICODE_NOCASE, any_pattern, contains, let, text_or_empty, words
 from postloom.functions.text import sentence_case
 from postloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, lookup_join
-from postloom.operators.lexicons import lexicon_of, without_phrases
+from postloom.operators.lexicons import lexicon_of, trimmed, without_phrases
 from postloom.session import settle
 
 PIECE = r"(?U)\w+|\s+|[^\w\s]"
@@ -52,7 +52,8 @@ def _grams(lowered: Column, lengths: Sequence[int], firsts: Sequence[str] | None
                 )
                 for n in lengths
             ]
-            begins = ~x.startswith(" ") if firsts is None else x.isin(list(firsts))
+            # phrases are trimmed, so none starts with a blank either way
+            begins = ~x.rlike(r"^\s") if firsts is None else x.isin(list(firsts))
             return F.when(begins, F.filter(F.array(*runs), lambda g: g["gram"].isNotNull()))
 
         return F.flatten(F.filter(F.transform(p, from_place), lambda g: g.isNotNull()))
@@ -73,7 +74,8 @@ MAX_FIRSTS = 2_000
 def _prepared(lexicon: DataFrame) -> _Lexicon:
     """Lexicon by lower-case phrase, written out and measured."""
     table = (
-        lexicon.withColumn("gram", F.lower("phrase"))
+        lexicon.withColumn("gram", trimmed(F.lower("phrase")))
+        .filter("gram <> ''")
         .groupBy("gram")
         .agg(F.min(F.struct("priority", "tag")).alias("best"))
         .select(

@@ -20,18 +20,27 @@ from postloom.operators.features import balanced_weights
 from postloom.session import local_table
 
 
+MAX_ITER = 5_000  # the fits stop before by their tolerance
+
+
+def iterations(model: PipelineModel) -> int | None:
+    """Iterations a fit has used; None for trees and for models read back from disk."""
+    last = model.stages[-1]
+    return last.summary.totalIterations if getattr(last, "hasSummary", False) else None
+
+
 def _logit(label: str, max_iter: int, **params) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="w", standardization=False, maxIter=max_iter, **params
     )
 
 
-def fit_plain_logit(train: DataFrame, label: str, max_iter: int = 200) -> PipelineModel:
+def fit_plain_logit(train: DataFrame, label: str, max_iter: int = MAX_ITER) -> PipelineModel:
     """Balanced logistic regression without a penalty."""
     return _as_pipeline(_logit(label, max_iter, regParam=0.0).fit(_weighted(train, label)))
 
 
-def fit_l1_logit(train: DataFrame, label: str, c: float = 1.0, max_iter: int = 200) -> PipelineModel:
+def fit_l1_logit(train: DataFrame, label: str, c: float = 1.0, max_iter: int = MAX_ITER) -> PipelineModel:
     """Balanced logistic regression with an L1 penalty of inverse strength ``c``.
 
     The objective here averages over rows where ``c`` refers to a sum, and the
@@ -71,7 +80,7 @@ def search_l1_penalty(
     grid: Sequence[float] | None = None,
     folds: int = 5,
     parallelism: int = 4,
-    max_iter: int = 100,
+    max_iter: int = MAX_ITER,
 ) -> tuple[float, DataFrame]:
     """Best inverse penalty by mean AUROC over the folds, and the score of each value."""
     values = list(grid) if grid is not None else log_grid(*fixed.C_GRID)

@@ -130,10 +130,13 @@ def _ordered_pick(part: DataFrame, ranks: Sequence[int], below: int) -> dict[int
 def grouped_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], distinct_limit: int = DISTINCT_LIMIT
 ) -> list[Row]:
-    """Rows of ``by`` plus ``edges`` for a small number of groups (models, splits)."""
-    names = df.groupBy(*by).agg(F.approx_count_distinct(value, 0.02).alias("d")).limit(10_001).collect()
-    if len(names) > 10_000:
-        raise ValueError("grouped_quantiles is for report groups, not for row keys")
+    """Rows of ``by`` plus ``edges`` for report groups (models, splits).
+
+    NaN and null are left aside at any size; a group without other values has no row.
+    """
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    df = df.filter(usable)
+    names = df.groupBy(*by).agg(F.approx_count_distinct(value, 0.02).alias("d")).collect()
     if all(r.d <= distinct_limit for r in names):
         found = _from_counts(df, by, value, probs)
         return [Row(**dict(zip(by, key)), edges=edges) for key, edges in found.items()]

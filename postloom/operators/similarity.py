@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postloom.operators.joins import fits_broadcast
 from postloom.operators.quantiles import bin_edges, bin_index, exact_quantiles
 
 QUERY_BLOCK = 4_096
@@ -16,46 +15,74 @@ QUERY_BLOCK = 4_096
 
 def most_similar(
     queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "post_id",
-    vector: str = "embedding",
+    vector: str = "embedding", block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The ``k`` corpus rows of highest cosine with each query, exact.
 
-    Queries are a handful of drafts, checked to fit a broadcast. The corpus is
-    scanned once and never shuffled: a batch of vectors meets all queries in
-    one matrix product and hands on only its own best ``k`` per query.
+    Queries come in blocks of ``block``, each broadcast and met by one scan of the
+    corpus, which is never shuffled. A task keeps the best ``k`` per query over
+    all its batches and hands them on once; the best of the tasks are merged as
+    bounded lists, before and after the shuffle.
     """
-    if not fits_broadcast(queries, max_rows=QUERY_BLOCK):
-        raise ValueError(f"at most {QUERY_BLOCK} queries at a time; call once per block of queries")
-    import numpy as np
-
-    held = queries.select(query_key, vector).collect()
-    names = [r[0] for r in held]
-    matrix = np.array([r[1] for r in held], dtype=np.float64)
-    shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    spark = queries.sparkSession
     kinds = {**dict(queries.dtypes), **{f"c_{c}": t for c, t in corpus.dtypes}}
+    schema = f"{query_key} {kinds[query_key]}, {key} {kinds['c_' + key]}, cosine double"
+    rows = corpus.filter(F.col(vector).isNotNull()).select(key, vector)
+    found = None
+    held: list = []
+
+    def meet(part: list) -> DataFrame:
+        return rows.mapInPandas(_best_of_task(spark.sparkContext.broadcast(part), k, query_key, key, vector), schema)
+
+    for r in queries.filter(F.col(vector).isNotNull()).select(query_key, vector).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            found = meet(held) if found is None else found.unionByName(meet(held))
+            held = []
+    if held or found is None:
+        found = meet(held) if found is None else found.unionByName(meet(held))
+    # the hash of the row deals each query over some groups first, so no task gets more than its share of the tasks' lists
+    spread_over = F.pmod(F.xxhash64(key), F.lit(16)).alias("_part")
+    parts = found.select("*", spread_over)
+    first = F.row_number().over(W.partitionBy(query_key, "_part").orderBy(F.desc("cosine"), key))
+    parts = parts.withColumn("rank", first).filter(F.col("rank") <= k).drop("rank", "_part")
+    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("cosine"), key))
+    return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
+def _best_of_task(shared, k: int, query_key: str, key: str, vector: str):
     def best(batches: Iterator):
+        import numpy as np
         import pandas as pd
 
-        names, matrix = shared.value
+        if not shared.value:
+            return
+        names = [n for n, _ in shared.value]
+        matrix = np.array([v for _, v in shared.value], dtype=np.float64)
         scale = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = np.divide(matrix, scale, out=np.zeros_like(matrix), where=scale > 0)
+        top_ids = top_cosines = None
         for batch in batches:
-            rows = np.vstack(batch[vector].to_numpy()).astype(np.float64) if len(batch) else None
-            if rows is None or not names:
-                continue
-            norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            cosine = unit @ np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0).T
-            ids = batch[key].to_numpy()
-            # order by cosine, then by id, so that ties do not depend on the batches
-            order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
-            for q, picked in enumerate(order):
-                yield pd.DataFrame({query_key: names[q], key: ids[picked], "cosine": cosine[q, picked]})
-
-    schema = f"{query_key} {kinds[query_key]}, {key} {kinds['c_' + key]}, cosine double"
-    found = corpus.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, schema)
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("cosine"), key))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                rows = np.vstack(part[vector].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                cosines = unit @ np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0).T
+                ids = np.broadcast_to(part[key].to_numpy(), cosines.shape)
+                if top_ids is not None:
+                    ids, cosines = np.hstack([top_ids, ids]), np.hstack([top_cosines, cosines])
+                # by cosine, then by id, so that ties do not depend on the batches
+                order = np.lexsort((ids, -cosines), axis=1)[:, :k]
+                top_ids, top_cosines = np.take_along_axis(ids, order, 1), np.take_along_axis(cosines, order, 1)
+        if top_ids is not None:
+            n = top_ids.shape[1]
+            for q in range(0, len(names), 1024):
+                block = slice(q, q + 1024)
+                yield pd.DataFrame(
+                    {query_key: np.repeat(names[block], n), key: top_ids[block].ravel(), "cosine": top_cosines[block].ravel()}
+                )
+
+    return best
 
 
 def relate_probabilities(wide: DataFrame, first: str, second: str, bins: int = 20) -> tuple[DataFrame, DataFrame]:

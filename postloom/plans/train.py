@@ -32,8 +32,8 @@ def ngram_features(requests: DataFrame, tokens: DataFrame, text: str = "combined
     vocabulary = fit_vocabulary(
         counts.join(train_ids, "post_id", "left_semi"), train_ids.count(), min_df=min_df, indexed=True
     )
-    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id")
-    # a post without any known term has no vector and carries no evidence
+    # a post without any known term keeps its row, with a vector of zeros
+    vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id", requests)
     return requests.select("post_id", *KEEP).join(vectors, "post_id"), vocabulary
 
 

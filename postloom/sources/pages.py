@@ -20,21 +20,30 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 
 
 class _Fields(HTMLParser):
-    """Collects the fields of all posts of one page in page order."""
+    """Collects the fields of every article of one page, in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[list] = []  # [tag, kind, text parts, whether a child was seen]
-        self.links, self.titles, self.previews, self.posters, self.counts = [], [], [], [], []
+        self.posts: list[dict] = []
+        self.inside: list[dict] = []  # open articles
         self.pending: list[dict] = []
 
+    def _keep(self, field, value):
+        """The first value of a field belongs to the innermost open article."""
+        if self.inside:
+            self.inside[-1].setdefault(field, value)
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         cls, kind = attrs.get("class") or "", None
         parents = [entry[0] for entry in self.open[-2:]]
         self._seal()
+        if tag == "article":
+            self.posts.append({})
+            self.inside.append(self.posts[-1])
         if tag == "a" and parents == ["article", "div"] and attrs.get("href") is not None:
-            self.links.append(attrs["href"])
+            self._keep("link", attrs["href"])
         elif tag == "h2" and TITLE_CLASS in cls:
             kind = "title"
         elif tag == "p" and PREVIEW_CLASS in cls:
@@ -74,22 +83,24 @@ class _Fields(HTMLParser):
         while True:
             name, kind, parts, _ = self.open.pop()
             if kind == "title":
-                self.titles.append("".join(parts))
+                self._keep("title", "".join(parts))
             elif kind == "preview":
-                self.previews.append("".join(parts))
+                self._keep("preview", "".join(parts))
             elif kind == "poster":
-                self.posters.append(parts)
+                self._keep("poster", parts)
             if name == "div":
                 found = self.pending.pop()
                 if found.pop("_liked", False):
-                    self.counts.append(found)
+                    self._keep("counts", found)
+            if name == "article":
+                self.inside.pop()
             if name == tag:
                 return
 
 
 POST_FIELDS = (
     "position int, link string, title string, post_preview string, user_firm string, user_name string, "
-    "date_text string, likes_text string, comments_text string, views_text string"
+    "date_text string, likes_text string, comments_text string, views_text string, parts_missing int"
 )
 
 
@@ -98,25 +109,23 @@ def _page_rows(html: str) -> list[tuple]:
     page.feed(html or "")
     page.close()
     rows = []
-    for i, link in enumerate(page.links):
-        poster = page.posters[i] if i < len(page.posters) else []
-        counts = page.counts[i] if i < len(page.counts) else {}
-        firm, user, date = (poster + [None] * 3)[:3]
+    for i, post in enumerate(p for p in page.posts if "link" in p):
+        firm, user, date = (post.get("poster", []) + [None] * 3)[:3]
+        counts = post.get("counts", {})
+        missing = sum(part not in post for part in ("title", "preview", "poster", "counts"))
         rows.append(
-            (
-                i, link, page.titles[i] if i < len(page.titles) else None,
-                page.previews[i] if i < len(page.previews) else None, firm, user, date,
-                *[counts.get(name) for name in COUNT_LABELS],
-            )
+            (i, post["link"], post.get("title"), post.get("preview"), firm, user, date, *[counts.get(name) for name in COUNT_LABELS], missing)
         )
     return rows
 
 
 def extract_posts(pages: DataFrame, base_url: str, scrape_date: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per post of every page; a missing count is 0.
+    """One row per post of every page; a missing count is 0, another missing part null.
 
-    Nested markup needs a parser, which runs on Arrow batches; everything after
-    it, links, counts and dates, is columns.
+    A post is an article with a link, and its parts are those inside the article;
+    ``parts_missing`` tells how many of title, preview, poster and counts it
+    lacks. Nested markup needs a parser, which runs on Arrow batches and sees the
+    articles only; everything after it, links, counts and dates, is columns.
     """
     columns = [f.split()[0] for f in POST_FIELDS.split(", ")]
 
@@ -124,10 +133,14 @@ def extract_posts(pages: DataFrame, base_url: str, scrape_date: str, key: str =
         import pandas as pd
 
         for batch in batches:
-            rows = [(k, *r) for k, h in zip(batch[key], batch[html]) for r in _page_rows(h)]
-            yield pd.DataFrame(rows, columns=[key, *columns])
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                rows = [(k, *r) for k, h in zip(part[key], part[html]) for r in _page_rows(h)]
+                yield pd.DataFrame(rows, columns=[key, *columns])
 
-    raw = pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, {POST_FIELDS}")
+    # from the first article to the end of the last one
+    cut = F.regexp_extract(F.col(html), r"(?is)<article\b.*</article\s*>", 0).alias(html)
+    raw = pages.select(key, cut).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, {POST_FIELDS}")
 
     def count(c: str) -> Column:
         return F.coalesce(F.col(c).try_cast("int"), F.lit(0))
@@ -145,6 +158,7 @@ def extract_posts(pages: DataFrame, base_url: str, scrape_date: str, key: str =
         count("views_text").alias("num_views"),
         "title",
         "post_preview",
+        "parts_missing",
     )
 
 

@@ -1,11 +1,14 @@
 """Metrics, calibration, bootstrap and reports."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import describe, evaluate, similarity
+from postloom.operators.quantiles import grouped_quantiles
 
 
 def scores(spark, rows, model="m", split="test"):
@@ -165,5 +168,34 @@ def test_most_similar_is_exact(spark):
     got = {(r.query_id, r["rank"]): r.post_id for r in similarity.most_similar(q, c, 5).collect()}
     cosine = (drafts / np.linalg.norm(drafts, axis=1, keepdims=True)) @ (corpus / np.linalg.norm(corpus, axis=1, keepdims=True)).T
     assert got == {(i, k + 1): int(j) for i in range(4) for k, j in enumerate(np.argsort(-cosine[i])[:5])}
-    with pytest.raises(ValueError):
-        similarity.most_similar(spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding")), c)
+    blocks = {(r.query_id, r["rank"]): r.post_id for r in similarity.most_similar(q, c, 5, block=3).collect()}
+    assert blocks == got
+    assert similarity.most_similar(q.limit(0), c, 5).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 200_000])
+def test_quantiles_of_groups_do_not_hang_on_size(spark, limit):
+    """NaN and null are left aside, and groups of them alone have no row, at any size."""
+    rows = [("a", float(i % 7)) for i in range(50)] + [("a", math.nan), ("a", None), ("b", None), ("c", math.nan), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, p double")
+    found = {r.g: r.edges for r in grouped_quantiles(df, ["g"], "p", [0.0, 0.5, 1.0], distinct_limit=limit)}
+    assert found == {"a": [0.0, 3.0, 6.0], None: [2.0, 3.0, 4.0]}
+
+
+def test_the_worst_losses_count(spark):
+    rows = [(1, "m", "s", 1, 1, 0.5), (2, "m", "s", 0, 0, 0.5), (3, "m", "s", 1, 0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, model string, split string, y int, pred int, p double")
+    least = -math.log(2.0**-52)
+    found = evaluate.monitoring(df).first()
+    assert math.isclose(found.entropy, (math.log(2) + least) / 4 + math.log(2) / 2)
+    assert math.isclose(found.true_pos_rate, 2 / 3)
+
+
+def test_models_without_probabilities_have_intervals(spark):
+    rows = [(i, m, "s", i % 2, (i // 3) % 2, None if m == "guess" else (i % 10) / 10) for i in range(200) for m in ("guess", "other")]
+    df = spark.createDataFrame(rows, "k int, model string, split string, y int, pred int, p double")
+    found = {(r.model, r.metric): (r.value, r.low, r.high) for r in evaluate.evaluate_all(df, "k", replicates=50).collect()}
+    value, low, high = found[("guess", "accuracy")]
+    assert low <= value <= high
+    assert found[("guess", "roc_auc")] == (None, None, None)
+    assert found[("other", "roc_auc")][1] is not None

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from postloom.catalog.masks import level_passes
 from postloom.functions import fixed_values as fixed
 from postloom.operators import lexicons, masking
 
@@ -77,22 +78,10 @@ def test_number_and_term_masks(spark, fn, value, result):
 
 
 def levels_one_by_one(text):
-    """Every level name replaced in turn."""
-    commas = lambda xs: [*xs, *[x + "," for x in xs]]
-    ladder = commas([s + r" level\s?" for s in fixed.SENIORITIES] + [s + r"-level\s?" for s in fixed.SENIORITIES] + fixed.LEVEL_NAMES)
-    for i, number in enumerate(fixed.LEVEL_NUMBERS):
-        for name in commas(fixed.MANAGER_LEVELS):
-            text = re.sub(rf"\b{name}{number}\b", "[MANAGER]", text, flags=re.I)
-            if i == 2:
-                text = re.sub(rf"\b{name}\b", "[MANAGER]", text, flags=re.I)
-        for name in ladder:
-            text = re.sub(rf"\b{name}{number}\b", "[ICLEVEL]", text, flags=re.I)
-            if i == 2:
-                text = re.sub(rf"\b{fixed.LEVEL_LEADS}\s*{name}\b", "[ICLEVEL]", text, flags=re.I)
-                if len(name) > 2:
-                    text = re.sub(rf"\b{name}\b", "[ICLEVEL]", text, flags=re.I)
-    text = re.sub(fixed.BARE_SENIORITY, "[ICLEVEL]", text, flags=re.I)
-    return re.sub(r"\]+", "]", re.sub(r"\[+", "[", text))
+    """Every row of the level table applied in turn."""
+    for pattern, tag in level_passes():
+        text = re.sub(pattern, tag, text, flags=re.I)
+    return text
 
 
 def test_merged_level_passes_equal_single_passes(spark):
