@@ -1,15 +1,17 @@
 """Masking of phrases and numbers.
 
-Phrases are matched by a join, not by one regex over the whole lexicon: a text
-is cut into pieces, every run of pieces that is as long as some phrase becomes
-a row, and the rows meet the lexicon on equality. The cost grows with the text
-and not with the lexicon. Overlaps are resolved per text from the left, best
-priority first, and the text is rebuilt from its pieces.
+Phrases are not matched by one regex over the whole lexicon: a text is cut into
+pieces, and runs of pieces meet the lexicon on equality, so the cost grows with
+the text and not with the lexicon. A lexicon that fits a broadcast is looked up
+inside the row, in Arrow batches, without a shuffle. A larger one is joined: runs
+become rows. Overlaps are resolved per text from the left, best priority first,
+and the text is rebuilt from its pieces, in time linear in the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -107,108 +109,153 @@ def _edges_hold() -> Column:
 
 def phrase_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Every place of every text where a lexicon phrase stands, overlaps included."""
-    return _matches(docs, key, text, _prepared(lexicon)).select(
-        key, "start", "len", F.col("gram").alias("phrase"), "tag", "priority"
-    )
+    lex = _prepared(lexicon)
+    kind = docs.schema[key].dataType.simpleString()
+    if not lex.small:
+        return _matches(docs, key, text, lex).select(key, "start", "len", F.col("gram").alias("phrase"), "tag", "priority")
+    fields = f"key {kind}, start int, len int, phrase string, tag string, priority bigint"
+    lowered = docs.select(F.col(key).alias("key"), pieces(F.lower(text_or_empty(F.col(text)))).alias("p"))
+    return lowered.mapInArrow(_found_rows(_shared_phrases(docs, lex)), fields).withColumnRenamed("key", key)
 
 
 def _matches(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
+    """Matches with a lexicon of any size: runs of pieces joined with the phrases, with a salt."""
     runs = _grams(F.lower(text_or_empty(F.col(text))), lex.lengths, lex.firsts)
     grams = docs.select(key, F.explode(runs).alias("g")).select(key, "g.*")
-    if lex.small:
-        met = grams.join(F.broadcast(lex.table), "gram")
-    else:
-        salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS))
-        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        met = grams.withColumn("_salt", salt).join(lex.table.withColumn("_salt", copies), ["gram", "_salt"])
+    salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    met = grams.withColumn("_salt", salt).join(lex.table.withColumn("_salt", copies), ["gram", "_salt"])
     return met.filter(_edges_hold())
 
 
-def _leftmost(spans: Column) -> Column:
-    """Non-overlapping matches: leftmost first, best priority first."""
-    empty = F.expr("cast(array() as array<struct<start:int,len:int,tag:string>>)")
-
-    def step(acc: Column, s: Column) -> Column:
-        taken = F.struct(
-            (s["start"] + s["len"]).alias("stop"),
-            F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["len"].alias("len"), s["tag"].alias("tag")))).alias("out"),
-        )
-        return F.when(s["start"] >= acc["stop"], taken).otherwise(acc)
-
-    start = F.struct(F.lit(0).alias("stop"), empty.alias("out"))
-    return F.aggregate(F.sort_array(spans), start, step, lambda acc: acc["out"])
-
-
-def _rebuild(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced by their tags, in time linear in the text."""
-
-    def body(s: Column) -> Column:
-        def stretch(x: Column, j: Column) -> Column:
-            last = F.when(j > 0, F.get(s, j - 1))
-            gap = x["start"] - F.coalesce(last["start"] + last["len"], F.lit(0))
-            nothing = F.lit(None).cast("string")
-            return F.concat(
-                F.array_repeat(nothing, gap), F.array(x["tag"]), F.array_repeat(F.lit(""), x["len"] - 1)
-            )
-
-        marks = F.flatten(F.transform(s, stretch))
-        return let(marks, lambda m: F.array_join(F.transform(pieces(text), lambda p, i: F.coalesce(F.get(m, i), p)), ""))
-
-    return F.when(F.size(spans) > 0, let(spans, body)).otherwise(text)
-
-
 def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``docs(key, text)`` with lexicon phrases replaced by their tags; ``key`` is unique.
 
-    With a small lexicon the text travels once: it rides on one row of its own
-    grams, the lexicon is broadcast, and one aggregation by key brings the text
-    and its matches together. A chain of masks therefore stays partitioned by
-    ``key``. With a large lexicon the grams are joined on the phrase with a
+    A lexicon that fits a broadcast is looked up inside each row, so nothing is
+    shuffled. With a larger one the runs of pieces are joined on the phrase with a
     salt, and the input is written out first so that it is not computed twice.
     """
     lex = _prepared(lexicon)
+    body = text_or_empty(F.col(text))
     if not lex.lengths:
-        return docs.select(key, text_or_empty(F.col(text)).alias(text))
-    span = F.struct("start", "priority", "len", "tag")
+        return docs.select(key, body.alias(text))
+    kind = docs.schema[key].dataType.simpleString()
     if lex.small:
-        whole = F.array(
-            F.struct(
-                F.lit(None).cast("int").alias("start"),
-                F.lit(None).cast("int").alias("len"),
-                F.lit(None).cast("string").alias("gram"),
-                F.lit(None).cast("string").alias("before"),
-                F.lit(None).cast("string").alias("after"),
-                text_or_empty(F.col(text)).alias("body"),
-            )
-        )
-        grams = F.transform(
-            _grams(F.lower(text_or_empty(F.col(text))), lex.lengths, lex.firsts),
-            lambda g: F.struct(
-                g["start"].alias("start"),
-                g["len"].alias("len"),
-                g["gram"].alias("gram"),
-                g["before"].alias("before"),
-                g["after"].alias("after"),
-                F.lit(None).cast("string").alias("body"),
-            ),
-        )
-        rows = docs.select(key, F.explode(F.concat(whole, grams)).alias("g")).select(key, "g.*")
-        met = rows.join(F.broadcast(lex.table), "gram", "left").filter(
-            F.col("body").isNotNull() | (F.col("tag").isNotNull() & _edges_hold())
-        )
-        found = met.select(key, "body", F.when(F.col("tag").isNotNull(), span).alias("span"))
+        rows = docs.select(F.col(key).alias("key"), pieces(body).alias("own"), pieces(F.lower(body)).alias("p"))
+        out = rows.mapInArrow(_masked_rows(_shared_phrases(docs, lex)), f"key {kind}, body string")
     else:
         docs = settle(docs.select(key, text), "unmasked")
-        spans = _matches(docs, key, text, lex).select(
-            key, F.lit(None).cast("string").alias("body"), span.alias("span")
-        )
-        found = docs.select(key, text_or_empty(F.col(text)).alias("body"), F.lit(None).alias("span")).unionByName(spans)
-    grouped = found.groupBy(key).agg(
-        F.first("body", ignorenulls=True).alias("body"), F.collect_list("span").alias("spans")
-    )
-    return grouped.select(key, "body", _leftmost(F.col("spans")).alias("spans")).select(
-        key, _rebuild(F.col("body"), F.col("spans")).alias(text)
-    )
+        span = F.struct("start", "priority", "len", "tag")
+        spans = _matches(docs, key, text, lex).groupBy(key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        rows = docs.join(spans, key, "left").select(F.col(key).alias("key"), pieces(body).alias("own"), "spans")
+        out = rows.mapInArrow(_spanned_rows, f"key {kind}, body string")
+    return out.select(F.col("key").alias(key), F.col("body").alias(text))
+
+
+# --- matching inside a row ----------------------------------------------------
+
+
+def _shared_phrases(docs: DataFrame, lex: _Lexicon):
+    """A small lexicon for the tasks: phrases, and the lengths of those that begin with a piece."""
+    columns = ["gram", "tag", "priority", "word_first", "word_last", F.get(pieces(F.col("gram")), 0).alias("first"), F.size(pieces(F.col("gram"))).alias("n")]
+    phrases, lengths = {}, {}
+    for r in lex.table.select(*columns).collect():  # measured: at most BROADCAST_ROWS and BROADCAST_BYTES
+        phrases[r.gram] = (r.priority, r.n, r.tag, r.word_first, r.word_last)
+        lengths.setdefault(r["first"], set()).add(r.n)
+    return docs.sparkSession.sparkContext.broadcast((phrases, {k: sorted(v) for k, v in lengths.items()}))
+
+
+def _is_word(piece: str | None, seen: dict[str, bool]) -> bool:
+    """Whether a piece is a run of word characters, by the rules of the patterns that cut it."""
+    if not piece or piece.isspace():
+        return False
+    if len(piece) > 1:
+        return True
+    if piece not in seen:
+        code, kind = ord(piece), unicodedata.category(piece)
+        circled = 0x24B6 <= code <= 0x24E9 or 0x1F130 <= code <= 0x1F149 or 0x1F150 <= code <= 0x1F169 or 0x1F170 <= code <= 0x1F189
+        seen[piece] = kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or code in (0x200C, 0x200D) or circled
+    return seen[piece]
+
+
+def _at_place(p: list[str], i: int, phrases: dict, lengths: dict, seen: dict[str, bool]) -> Iterator[tuple]:
+    """Phrases that stand at one place: (priority, length, tag, phrase)."""
+    for n in lengths.get(p[i], ()):
+        if i + n > len(p):
+            break
+        gram = p[i] if n == 1 else "".join(p[i : i + n])
+        found = phrases.get(gram)
+        if found is None:
+            continue
+        priority, _, tag, word_first, word_last = found
+        before, after = p[i - 1] if i else None, p[i + n] if i + n < len(p) else None
+        if (word_first or _is_word(before, seen)) and (word_last or _is_word(after, seen)):
+            yield priority, n, tag, gram
+
+
+def _masked_rows(shared):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        phrases, lengths = shared.value
+        seen: dict[str, bool] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for own, p in zip(part.column("own").to_pylist(), part.column("p").to_pylist(), strict=True):
+                    stop = 0
+                    for i, piece in enumerate(p):
+                        if i < stop or piece not in lengths:
+                            continue
+                        best = min(_at_place(p, i, phrases, lengths, seen), default=None)
+                        if best:
+                            stop = i + best[1]
+                            own[i:stop] = [best[2]] + [""] * (len(own[i:stop]) - 1)
+                    out.append("".join(own))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "body"])
+
+    return run
+
+
+def _found_rows(shared):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        phrases, lengths = shared.value
+        seen: dict[str, bool] = {}
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, row, out = batch.slice(at, 256), [], []
+                for k, p in enumerate(part.column("p").to_pylist()):
+                    for i, piece in enumerate(p):
+                        if piece in lengths:
+                            for priority, n, tag, gram in _at_place(p, i, phrases, lengths, seen):
+                                row.append(k)
+                                out.append((i, n, gram, tag, priority))
+                columns = zip(*out, strict=True) if out else [()] * 5
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                keys = part.column("key").take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *arrays], ["key", "start", "len", "phrase", "tag", "priority"])
+
+    return run
+
+
+def _spanned_rows(batches: Iterator) -> Iterator:
+    """Texts with their sorted spans resolved: leftmost first, best priority first."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, out = batch.slice(at, 256), []
+            for own, spans in zip(part.column("own").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                stop = 0
+                for s in spans or ():
+                    if s["start"] >= stop:
+                        stop = s["start"] + s["len"]
+                        own[s["start"] : stop] = [s["tag"]] + [""] * (len(own[s["start"] : stop]) - 1)
+                out.append("".join(own))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "body"])
 
 
 # --- ordered rewrites -------------------------------------------------------
@@ -406,9 +453,7 @@ def mask_posts(
     compat: bool = False,
 ) -> DataFrame:
     """The whole masking sequence: titles, numbers and terms, organisations, places."""
-    # one shuffle by key serves all phrase masks; a fixed number keeps small texts spread
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = posts.select(key, text).repartition(parts, key).select(key, sentence_case(F.col(text)).alias(out))
+    docs = posts.select(key, text).select(key, sentence_case(F.col(text)).alias(out))
     docs = mask_phrases(docs, key, out, roles)
     docs = docs.withColumn(out, mask_numbers_and_terms(F.col(out), compat))
     docs = mask_phrases(docs, key, out, companies).withColumn(out, single_brackets(F.col(out)))
@@ -438,8 +483,8 @@ def plural_root(token: Column) -> Column:
 
 def kept_words(text: Column, stop: Sequence[str], lower: bool = False) -> Column:
     """Words outside the stop list; compared with case unless ``lower``."""
-    stops = F.lit(list(stop))
-    return F.filter(words(text), lambda w: ~F.array_contains(stops, F.lower(w) if lower else w))
+    stops = list(stop)
+    return F.filter(words(text), lambda w: ~(F.lower(w) if lower else w).isin(stops))
 
 
 def token_list(text: Column, stop: Sequence[str], lower: bool = False) -> Column:
