@@ -6,7 +6,8 @@ model gives the expected grade and the probability of the upper grades.
 
 Features are the different words of a text (runs of letters), and marks for its
 length, share of different words, symbols, capitals and digits, each counted
-once. The fit reads at most about ``TRAIN_ROWS`` graded rows, drawn by key hash.
+once. Only features of ``MIN_ROWS`` sample rows and more get a weight. The fit
+reads at most about ``TRAIN_ROWS`` graded rows, drawn by key hash.
 Each epoch is one Spark job: every partition runs gradient steps from the shared
 weights, and the weights are averaged.
 """
@@ -25,12 +26,14 @@ from postloom.llm.words import Block, Hashes, blocks, ragged
 from postloom.session import settle
 
 TRAIN_ROWS = 20_000
-BITS = 16
+BITS = 20
+MIN_ROWS = 10
 EPOCHS = 6
 PARTS = 6
 BATCH = 32
 RATE = 0.3
 DECAY = 1e-4
+START = 0.1
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -101,7 +104,11 @@ def thresholds(free: np.ndarray) -> np.ndarray:
 def _epoch(weights: np.ndarray, free: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, epoch: int) -> tuple[np.ndarray, np.ndarray]:
     """One pass of gradient steps over the rows of a partition, in an order drawn from the epoch."""
     w, free = weights.copy(), free.copy()
-    seen, seen_free = np.full(len(w), 1e-8), np.full(len(free), 1e-8)
+    # a start value keeps the steps of features that are met once or twice small
+    seen, seen_free = np.full(len(w), float(START)), np.full(len(free), float(START))
+    sizes = np.bincount(grades, minlength=len(free) + 1)
+    # rare grades weigh more, by the root of what would make all grades equal
+    balance = np.sqrt(len(grades) / (np.count_nonzero(sizes) * np.maximum(1, sizes)))
     order = np.random.default_rng(epoch).permutation(len(rows))
     for at in range(0, len(order), BATCH):
         take = order[at : at + BATCH]
@@ -112,38 +119,49 @@ def _epoch(weights: np.ndarray, free: np.ndarray, rows: list[np.ndarray], grades
         g = grades[take]
         upper, lower = sigmoid(cuts[g + 1] - score), sigmoid(cuts[g] - score)
         p = np.maximum(upper - lower, 1e-9)
-        slope = 1 - upper - lower  # of the loss in the score
+        slope = (1 - upper - lower) * balance[g]  # of the loss in the score
         grad = np.bincount(at_bucket, weights=slope[of], minlength=len(w)) / len(take)
         touched = np.unique(at_bucket)
         grad[touched] += DECAY * w[touched]
         seen[touched] += grad[touched] ** 2
-        w[touched] -= RATE * grad[touched] / np.sqrt(seen[touched]) / 4
+        w[touched] -= RATE * grad[touched] / np.sqrt(seen[touched])
         cut_grad = np.zeros(len(free))
-        np.add.at(cut_grad, g[g < len(free)], (-upper * (1 - upper) / p)[g < len(free)])
-        np.add.at(cut_grad, g[g > 0] - 1, (lower * (1 - lower) / p)[g > 0])
+        np.add.at(cut_grad, g[g < len(free)], (-upper * (1 - upper) / p * balance[g])[g < len(free)])
+        np.add.at(cut_grad, g[g > 0] - 1, (lower * (1 - lower) / p * balance[g])[g > 0])
         # all later thresholds move with a gap
         moved = np.cumsum(cut_grad[::-1])[::-1] / len(take)
         moved[1:] *= sigmoid(free[1:])
         seen_free += moved**2
-        free -= RATE * moved / np.sqrt(seen_free) / 4
+        free -= RATE * moved / np.sqrt(seen_free)
     return w, free
 
 
-def _train(state, n_cuts: int, epoch: int):
+def _train(state, epoch: int):
+    """``state``: weights and free thresholds, and the buckets that have a weight, sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, free, kept = state.value
         rows, grades = [], []
         for batch in batches:
             lists = batch.column("buckets")
             flat, begin = lists.values.to_numpy(), lists.offsets.to_numpy()
-            rows += [flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            rows += [placed(flat[a:b], kept) for a, b in zip(begin[:-1], begin[1:], strict=True)]
             grades += batch.column("grade").to_pylist()
         if rows:
-            w, free = _epoch(*state.value, rows, np.array(grades), epoch)
+            w, free = _epoch(weights, free, rows, np.array(grades), epoch)
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([np.concatenate([free, w]).tobytes()])], ["n", "state"])
 
     return run
 
 
+def placed(buckets: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Places of the buckets that have a weight."""
+    if not len(kept):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(kept, buckets), len(kept) - 1)
+    return at[kept[at] == buckets]
+
+
 def fit(graded: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text", grade: str = "grade", train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from at most about ``train_rows`` of the graded rows.
 
@@ -159,17 +177,21 @@ def fit(graded: DataFrame, n_grades: int, key: str = "doc_id", text: str = "text
     sample = settle(rows.select("text", "grade").mapInArrow(_featured(BITS), "grade int, buckets array<int>").repartition(PARTS, "buckets"), "features")
     free = np.zeros(n_grades - 1)
     free[0] = -np.log(n_grades - 1.0)
-    weights = np.zeros(1 << BITS)
+    often = sample.select(F.explode("buckets").alias("b")).groupBy("b").count().filter(F.col("count") >= MIN_ROWS)
+    kept = np.sort(often.select("b").toArrow()["b"].to_numpy())  # at most 2 ** BITS
+    weights = np.zeros(len(kept))
     for epoch in range(EPOCHS):
-        state = spark.sparkContext.broadcast((weights, free))
-        parts = sample.mapInArrow(_train(state, n_grades - 1, epoch), "n bigint, state binary").collect()
+        state = spark.sparkContext.broadcast((weights, free, kept))
+        parts = sample.mapInArrow(_train(state, epoch), "n bigint, state binary").collect()
         if not parts:
             break
         total = sum(p.n for p in parts)
         mean = sum(np.frombuffer(p.state) * (p.n / total) for p in parts)
         free, weights = mean[: n_grades - 1].copy(), mean[n_grades - 1 :].copy()
         state.unpersist()
-    return weights, thresholds(free)
+    dense = np.zeros(1 << BITS)
+    dense[kept] = weights
+    return dense, thresholds(free)
 
 
 def _scored(model, select_from: int):

@@ -64,7 +64,8 @@ class TextEncoder:
 
     def _learn(self, store: dict[str, bytes], pieces: set[str], lead: str) -> None:
         if len(store) + len(pieces) > self.limit:
-            store.clear()
+            for old in list(store)[: len(store) // 2 + 1]:  # the half that was learnt first
+                del store[old]
         new = list(pieces)
         store.update(zip(new, self._raw([lead + p for p in new]), strict=True))
 
@@ -92,11 +93,13 @@ class TextEncoder:
         return [self.first[parts[0]] + b"".join([known[p] for p in parts[1:]]) if parts else next(whole) for parts in cut]
 
 
-def _write(tokenizer: str, end: int, folder: str, dictionary: bytes, level: int):
+def _write(tools, tokenizer: str, end: int, folder: str, dictionary: bytes, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = TextEncoder(tokenizer)
+        encoder = tools.value.get("encoder")  # kept for all tasks of a worker
+        if encoder is None:
+            encoder = tools.value["encoder"] = TextEncoder(tokenizer)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=level, dict_data=shared)
         closing = np.array([end], np.uint32).tobytes()
@@ -170,7 +173,7 @@ def write_tokens(
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("key", F.expr("coalesce(key, raise_error('null key'))"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key")
-    return settle(rows.mapInArrow(_write(tokenizer, end, folder, dictionary, level), MANIFEST), "token-files")
+    return settle(rows.mapInArrow(_write(spark.sparkContext.broadcast({}), tokenizer, end, folder, dictionary, level), MANIFEST), "token-files")
 
 
 class TokenFile:

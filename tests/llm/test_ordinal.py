@@ -21,7 +21,7 @@ def test_held_out_documents(spark, graded):
     rows = graded_quality(other, model, select_from=2).join(other.select("doc_id", "grade"), "doc_id").collect()
     kept = lambda g: np.mean([r.kept for r in rows if r.grade == g])
     mean = lambda g: np.mean([r.expected_grade for r in rows if r.grade == g])
-    assert kept(2) > 0.95 and kept(1) < 0.3 and kept(0) < 0.3
+    assert kept(2) > 0.9 and kept(1) < 0.45 and kept(0) < 0.45
     assert mean(0) < mean(1) < mean(2)
 
 
