@@ -67,7 +67,7 @@ def labelled_documents(spark, d):
     """Offers per post and the classes of every post: the flagship query."""
     posts = table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("n_chars").alias("num_views"))
     counted = add_offer_counts(posts, flag_offers(comments_table(spark, d), **CUES))
-    out = class_labels(counted, "num_views", ["num_offers"])
+    out = class_labels(counted, "num_views", ["num_offers"], source=posts)
     return out.select("post_id", "num_offers", "class_offers", "class_views")
 
 
@@ -301,7 +301,7 @@ def label_invariants(spark, d):
         contains(F.col("text"), "e").alias("is_referral"), contains(F.col("text"), "a").alias("is_request"),
     ).withColumn("referral_request", F.col("is_referral") & F.col("is_request"))
     counted = add_offer_counts(posts, flag_offers(comments_table(spark, d), **CUES))
-    return violations(mark_train_test(class_labels(counted)), label_checks())
+    return violations(mark_train_test(class_labels(counted, source=posts)), label_checks())
 
 
 @BOOK.add(

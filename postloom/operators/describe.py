@@ -13,7 +13,7 @@ from postloom.functions.columns import cap, remove_prefix_marker
 from postloom.functions.dates import week_start
 from postloom.operators.joins import lookup_join
 from postloom.operators.labels import group_share
-from postloom.operators.quantiles import exact_quantiles
+from postloom.operators.quantiles import grouped_quantiles
 from postloom.session import local_table, settle
 
 
@@ -23,9 +23,9 @@ def capped(df: DataFrame, caps: dict[str, int] = fixed.DISPLAY_CAPS) -> DataFram
 
 
 def value_shares(df: DataFrame, value: str) -> DataFrame:
-    """Percent of rows per distinct value; the total is taken over the counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    total = df.filter(F.col(value).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    """Percent of rows per distinct value; the rows are read once, the total is taken over the counts."""
+    counts = settle(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 1
     return counts.select(value, "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
@@ -67,10 +67,11 @@ def firm_activity(
     df: DataFrame, firm: str = "user_firm", key: str = "post_id", max_share: float = 0.10, excluded: Sequence[str] = ("New",)
 ) -> DataFrame:
     """Rows per firm, without firms above ``max_share`` of all rows and without excluded names."""
-    counts = df.groupBy(remove_prefix_marker(F.col(firm)).alias("firm")).agg(F.count(key).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    kept = F.col("firm").isNotNull() & (F.col("n") / total <= max_share) & ~F.col("firm").isin(list(excluded))
-    return counts.filter(kept)
+    counts = df.groupBy(remove_prefix_marker(F.col(firm)).alias("firm")).agg(F.count(key).alias("n"), F.count(F.lit(1)).alias("_rows"))
+    counts = settle(counts, "firm-counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 1
+    kept = F.col("firm").isNotNull() & (F.col("n") / F.lit(float(total)) <= max_share) & ~F.col("firm").isin(list(excluded))
+    return counts.filter(kept).drop("_rows")
 
 
 def lorenz_curve(activity: DataFrame, digits: int = 3) -> DataFrame:
@@ -137,9 +138,12 @@ def five_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns
           for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
     ).first()
+    # all columns in one pass: a column is a group of the unpivoted table
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
+    found = {r.feature: r.edges for r in grouped_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])}
     rows = []
     for c in columns:
-        quartiles = exact_quantiles(df, c, [0.25, 0.5, 0.75]) or [None] * 3
+        quartiles = found.get(c) or [None] * 3
         rows.append((c, *[basics[f"{n}_{c}"] for n in ("count", "mean", "std", "min")], *quartiles, basics[f"max_{c}"]))
     return local_table(
         spark, rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"

@@ -56,10 +56,14 @@ def add_offer_counts(posts: DataFrame, comments: DataFrame, post: str = "post_id
 
 
 def class_labels(
-    posts: DataFrame, views: str = "num_views", counts: Sequence[str] = ("num_likes", "num_comments", "num_offers")
+    posts: DataFrame, views: str = "num_views", counts: Sequence[str] = ("num_likes", "num_comments", "num_offers"),
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Five quantile classes of the views over all posts, and zero / positive for the other counts."""
-    posts = quantile_class(posts, views, 5, "class_views")
+    """Five quantile classes of the views over all posts, and zero / positive for the other counts.
+
+    ``source`` holds the views of the same posts where ``posts`` is costly to read.
+    """
+    posts = quantile_class(posts, views, 5, "class_views", source=source)
     for c in counts:
         posts = posts.withColumn(c.replace("num_", "class_"), (F.col(c) > 0).cast("int"))
     return posts

@@ -167,8 +167,11 @@ def bin_edges(edges: Sequence[float], duplicates: str = "drop") -> list[float]:
     return kept[1:-1]
 
 
-def quantile_class(df: DataFrame, value: str, q: int, name: str, duplicates: str = "drop") -> DataFrame:
-    """Equal-frequency class of ``value`` over the whole table, as 0..q-1."""
-    edges = exact_quantiles(df, value, [i / q for i in range(q + 1)])
+def quantile_class(df: DataFrame, value: str, q: int, name: str, duplicates: str = "drop", source: DataFrame | None = None) -> DataFrame:
+    """Equal-frequency class of ``value`` over the whole table, as 0..q-1.
+
+    ``source`` has the same values and is cheaper to read, such as the table before a join that keeps its rows.
+    """
+    edges = exact_quantiles(df if source is None else source, value, [i / q for i in range(q + 1)])
     inner = bin_edges(edges, duplicates) if edges else []
     return df.withColumn(name, bin_index(F.col(value).cast("double"), inner))

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 
 from postloom.operators.describe import firm_activity, gini_coefficient, lorenz_curve, metric_distribution, weekly_counts
 from postloom.operators.evaluate import calibration, class_report, evaluate_all
+from postloom.session import settle
 from postloom.sources.tables import append_metrics
 
 
 def explore(posts: DataFrame, basic: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:
     """Plot data: engagement distributions, weekly requests, concentration across firms."""
-    joined = posts.join(basic.select("post_id", "num_offers", "referral_request"), "post_id", "left")
+    # written once for all six reports
+    joined = settle(posts.join(basic.select("post_id", "num_offers", "referral_request"), "post_id", "left"), "joined")
     asked = firm_activity(joined.filter("referral_request"))
     offered = firm_activity(comments.filter("referral_offer"))
     return {
