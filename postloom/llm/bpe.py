@@ -8,17 +8,19 @@ whether they can stand side by side. The encoding follows from the back-pointers
 The work is linear in the word for a given vocabulary.
 
 Words are cut by the tokenizer's own rule inside pieces without white space.
-Pieces are encoded once per task while the store of known pieces is not full.
+Pieces and words are looked up among those met lately (see ``Recent``).
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,28 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
+class Recent:
+    """A store of bounded size: when the newer half is full, the older half goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = max(1, limit // 2), {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, known_pieces: int = KNOWN_PIECES):
         import ahocorasick
         import regex
 
@@ -79,6 +101,7 @@ class Encoder:
         self.length = [0] * n
         self.automaton = ahocorasick.Automaton()
         self.known: dict[int, bool] = {}
+        self.met, self.pieces_met = Recent(known_pieces), Recent(known_pieces)
         self.size = n
         whole = []
         for token, text in spelled.items():
@@ -149,10 +172,23 @@ class Encoder:
         return out[::-1]
 
     def piece(self, piece: str) -> list[int]:
+        if piece.isascii():
+            if piece.isalpha():
+                return self.known_word(piece)
+            if piece[:-1].isalpha():  # one mark after a word, which never starts with it
+                return self.known_word(piece[:-1]) + self.known_word(piece[-1])
         ids: list[int] = []
         for w in self.words.findall(piece):
-            w = w.encode().decode("latin-1").translate(self.to_letters)
-            ids += self.word(w[:-1] + chr(END + ord(w[-1])))
+            ids += self.known_word(w)
+        return ids
+
+    def known_word(self, w: str) -> list[int]:
+        ids = self.met.get(w)
+        if ids is None:
+            letters = w.encode().decode("latin-1").translate(self.to_letters)
+            ids = self.word(letters[:-1] + chr(END + ord(letters[-1])))
+            if len(w) < 50:
+                self.met.put(w, ids)
         return ids
 
     def pieces(self, text: str) -> list[str]:
@@ -167,16 +203,19 @@ class Encoder:
 
 def _encode(text: str, spec, known_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
-        held: dict[str, bytes] = {s: np.array([i], np.uint32).tobytes() for s, i in encoder.special.items()}
+        shared = spec.value  # one object for all tasks of a worker, so the encoder is built once
+        encoder = shared.get("encoder")
+        if encoder is None:
+            encoder = shared["encoder"] = Encoder(shared, known_pieces)
+        special = {s: array("I", [i]).tobytes() for s, i in encoder.special.items()}
+        met = encoder.pieces_met
 
         def ids_of(piece: str) -> bytes:
-            if len(held) > known_pieces:
-                held.clear()
-                held.update({s: np.array([i], np.uint32).tobytes() for s, i in encoder.special.items()})
-            ids = np.array(encoder.piece(piece), np.uint32).tobytes()
-            if len(piece) < 100:
-                held[piece] = ids
+            ids = met.get(piece)
+            if ids is None:
+                ids = array("I", encoder.piece(piece)).tobytes()
+                if len(piece) < 50:
+                    met.put(piece, ids)
             return ids
 
         for part in blocks(batches, text):
@@ -184,11 +223,11 @@ def _encode(text: str, spec, known_pieces: int):
             for t in part.column(text).to_pylist():
                 parts = []
                 for span in encoder.cut_special.split(t or "") if t and "<|" in t and encoder.cut_special else [t or ""]:
-                    if span in encoder.special:
-                        parts.append(held[span])
+                    if span in special:
+                        parts.append(special[span])
                     else:
-                        for p in encoder.pieces(span):
-                            parts.append(held.get(p) or ids_of(p))
+                        new = met.new.get
+                        parts += [new(p) or ids_of(p) for p in encoder.pieces(span)]
                 got = b"".join(parts)
                 out.append(got)
                 counts.append(len(got) // 4)
@@ -223,7 +262,13 @@ def _decode(names):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [" ".join([tokens[i] for i in ids]) if ids is not None else None for ids in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                ids, ends = lists.flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
+                shown = [tokens[i] for i in ids]
+                texts, start = [], 0
+                for end, held in zip(ends, lists.is_valid().to_pylist(), strict=True):
+                    texts.append(" ".join(shown[start:end]) if held else None)
+                    start = end
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return run
@@ -236,7 +281,8 @@ def decoded(rows: DataFrame, vocabulary: str, name: str = "decoded") -> DataFram
     shown. Null ids give a null text, no ids an empty one.
     """
     spec = read_vocabulary(vocabulary)
-    names = {i: t for t, i in [*spec["vocab"].items(), *spec["special"].items()]}
+    ids = {i: t for t, i in [*spec["vocab"].items(), *spec["special"].items()]}
+    names = [ids.get(i, "") for i in range(max(ids) + 1)]
     shared = rows.sparkSession.sparkContext.broadcast(names)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_decode(shared), f"{kinds}, decoded string").withColumnRenamed("decoded", name)
