@@ -125,8 +125,9 @@ def mixture(
     upto = F.sum("held").over(Window.partitionBy("leaf").orderBy("bin"))
     ends = bins.withColumn("upto", upto).filter("upto > rest and upto - held <= rest")
     ends = ends.select("leaf", F.col("bin").alias("end_bin"), (F.col("upto") - F.col("held")).alias("before"))
-    placed = placed.join(ends, "leaf", "left")
-    inside = placed.filter("bin = end_bin")
+    # by leaf and bin: only the rows of the bins where budgets end meet in a window
+    inside = placed.join(ends.withColumnRenamed("end_bin", "bin"), ["leaf", "bin"])
+    placed = placed.join(ends.select("leaf", "end_bin"), "leaf", "left")
     run = F.sum("tokens").over(Window.partitionBy("leaf").orderBy("draw", "key"))
     inside = inside.withColumn("run", run + F.col("before"))
     inside = inside.withColumn("more", F.expr("if(tokens > 0 and run <= rest, 1, 0)")).drop("run")
