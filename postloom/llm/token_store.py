@@ -34,6 +34,7 @@ TRAIN_DOC_BYTES = 8 << 10
 DICTIONARY_BYTES = 64 << 10
 KNOWN_PIECES = 200_000
 LEVEL = 1
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 INDEX = np.dtype([("key", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("before", "<u8"), ("n", "<u4")])
 MANIFEST = "path string, first bigint, last bigint, n_docs bigint, n_tokens bigint, size bigint"
 
@@ -44,7 +45,9 @@ class TextEncoder:
     The pattern of this vocabulary always cuts before a single space between two
     other characters, so texts are cut there, and a piece is encoded once while
     the store of known pieces is not full. Texts with other white space beside a
-    space, or with a special token, go to the library whole.
+    space, or with a special token, go to the library whole. The pattern also
+    cuts between letters and the marks after them, so words and marks are
+    encoded apart.
     """
 
     def __init__(self, path: str, known_pieces: int = KNOWN_PIECES):
@@ -57,6 +60,7 @@ class TextEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.limit = known_pieces
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -69,6 +73,20 @@ class TextEncoder:
         new = list(pieces)
         store.update(zip(new, self._raw([lead + p for p in new]), strict=True))
 
+    def _learn_pieces(self, new: set[str]) -> None:
+        marked = {}
+        for p in new:
+            word = p.rstrip(MARKS)
+            if word != p and word.isalpha():
+                marked[p] = word
+        words = {w for w in marked.values() if w not in self.known}
+        self._learn(self.known, words | (new - marked.keys()), " ")
+        marks = {p[len(w) :] for p, w in marked.items()}
+        self._learn(self.marks, {m for m in marks if m not in self.marks}, "")
+        for p, w in marked.items():
+            if w in self.known and p[len(w) :] in self.marks:
+                self.known[p] = self.known[w] + self.marks[p[len(w) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for t in texts:
@@ -80,7 +98,7 @@ class TextEncoder:
             if parts and len(parts) > 1 and (not parts[0] or parts[0][-1:].isspace() or (odd and not odd.isdisjoint(parts[1:]))):
                 cut[i] = None
         used = [p for p in cut if p]
-        self._learn(self.known, {p for parts in used for p in parts[1:] if p not in self.known and p not in odd}, " ")
+        self._learn_pieces(new - odd)
         missing = {p for parts in used for p in parts[1:] if p not in self.known}
         if missing:  # the store was emptied meanwhile
             self.known.update(zip(missing, self._raw([" " + p for p in missing]), strict=True))
