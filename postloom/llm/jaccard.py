@@ -1,19 +1,23 @@
 """Exact Jaccard join of word-shingle sets, with adaptive multi-match prefixes.
 
 Shingles get one global order: rare before frequent, by counts in a fixed number
-of hash buckets, then by hash. Two sets that reach the threshold share at least
-``l`` tokens within their ``l``-prefixes, for every ``l``. Each document picks
-its own ``l``: a longer prefix costs more rows, but a pair must share more prefix
-tokens before it is verified, which pays where the prefix holds frequent tokens.
-For two documents the smaller of their ``l`` counts.
+of hash buckets, then by hash. If two sets need an overlap of ``o``, they share
+at least ``l`` tokens among the first ``size - o + l`` of each, for every ``l``.
+With ``l = 1`` this gives candidates: documents that share one token at places
+that their sizes allow. Each document also picks an ``l`` of its own: a longer
+prefix is longer to compare, but more of its tokens must be shared before a pair
+is verified, which pays where the prefix holds frequent tokens. For two
+documents the smaller of their ``l`` counts. Before any pair is made, the
+longest ``l`` is asked of each document alone: with fewer prefix tokens that
+stand in another prefix at all, it has no partner.
 
 Equal word sequences are one class and travel once. A group of documents that
-share a prefix token is never turned into all its pairs: its members meet one
-leader, links are joined to components, members of one component need no more
-comparing, and the next leader meets only members of other components. When few
-pairs of different components are left they are compared in one go. So no link
-between components is missed, and a large group of near copies costs rows in
-proportion to its size.
+share a prefix token is not turned into all its pairs while these are many: its
+members meet one leader, links are joined to components, members of one
+component need no more comparing, and the next leader meets only members of
+other components. When few pairs of different components are left they are
+compared in one go. So no link between components is missed, and a large group
+of near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -31,9 +35,16 @@ from postloom.session import settle
 
 SHINGLE = 5
 PERCENT = 80
-LONGEST = 4
+LONGEST = 16
 VERIFY_COST = 8.0
-BUCKET_BITS = 22
+BUCKET_BITS = 26
+MOST_BUCKETS = 1 << 21  # frequent buckets that are told apart at most
+PAIRS_PER_ROW = 2  # pairs left that are compared in one go, for each row of the prefix groups
+
+
+def overlap(n: str, m: str, percent: int) -> str:
+    """The overlap that sets of two sizes need."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
 
 
 def shingle_sets(block: Block, hashes: Hashes, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,45 +64,46 @@ def shingle_sets(block: Block, hashes: Hashes, size: int) -> tuple[np.ndarray, n
 
 
 def _bucket_counts(text: str, size: int, bits: int):
-    """Buckets that stand out in this task, and the number of shingles as bucket -1.
+    """Buckets that a task has met twice or more, and the number of shingles as bucket -1.
 
     Only the order of shingles hangs on these counts, not the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), np.zeros(1 << bits, np.int32)
+        hashes, counts, total = Hashes(), np.zeros(1 << bits, np.uint8), 0
         for part in blocks(batches, text):
             _, h = shingle_sets(Block(part.column(text), lower=True), hashes, size)
             at, c = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            counts[at] += c.astype(np.int32)
-        total = int(counts.sum(dtype=np.int64))
-        large = np.flatnonzero(counts >= max(3, 3 * total / len(counts)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(large, -1), pa.int64()), pa.array(np.append(counts[large], total), pa.int64())], ["bucket", "c"]
-        )
+            counts[at] = np.minimum(counts[at] + c, 255)
+            total += len(h)
+        large = np.flatnonzero(counts >= 2)
+        for at in range(0, len(large), 1 << 17):
+            part = large[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["bucket", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["bucket", "c"])
 
     return run
 
 
-def bucket_levels(texts: DataFrame, text: str, size: int = SHINGLE, bits: int = BUCKET_BITS) -> np.ndarray:
-    """How far each bucket stands above the mean, as a power of two; 0 for the others.
-
-    At most a quarter of the buckets reach four times the mean, so what comes to the driver is bounded.
-    """
+def frequent_buckets(texts: DataFrame, text: str, size: int = SHINGLE, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that stand out, at most ``MOST_BUCKETS``, and their counts as powers of two."""
     sums = settle(texts.mapInArrow(_bucket_counts(text, size, bits), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")), "buckets")
     total = sums.filter("bucket = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     least = max(6, 4 * total / (1 << bits))
-    levels = np.zeros(1 << bits, np.uint8)
-    large = sums.filter((F.col("bucket") >= 0) & (F.col("c") >= least)).toArrow()
-    if large.num_rows:
-        levels[large["bucket"].to_numpy()] = np.log2(large["c"].to_numpy()).astype(np.uint8)
-    return levels
+    known = sums.filter("bucket >= 0")
+    while known.filter(F.col("c") >= least).count() > MOST_BUCKETS:
+        least *= 2
+    large = known.filter(F.col("c") >= least).toArrow()
+    if not large.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.uint8)
+    return large["bucket"].to_numpy(), np.log2(large["c"].to_numpy()).astype(np.uint8)
 
 
 def _prefixes(text: str, size: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, level = Hashes(), Hashes(second=True), levels.value
-        shift = np.uint64(65 - len(level).bit_length())
+        one, two = Hashes(), Hashes(second=True)
+        level, shift = np.zeros(1 << BUCKET_BITS, np.uint8), np.uint64(64 - BUCKET_BITS)
+        level[levels.value[0]] = levels.value[1]
         for part in blocks(batches, text):
             block = Block(part.column(text), lower=True)
             doc, h = shingle_sets(block, one, size)
@@ -110,7 +122,7 @@ def _prefixes(text: str, size: int, percent: int, levels):
                 this = np.where(may, end + VERIFY_COST * (cost[stop] - cost[base]) / l, np.inf)
                 chosen = np.where(this < best, l, chosen)
                 best = np.minimum(best, this)
-            length = np.where(n > 0, n - least + chosen, 0)
+            length = np.where(n > 0, n - least + np.minimum(LONGEST, least), 0)
             place = np.arange(len(h)) - np.repeat(base, n)
             keep = place < np.repeat(length, n)
             sums = [f.word_ranges(f.of_bytes(block.data, block.starts, block.ends), block.first[:-1], block.first[1:]) for f in (one, two)]
@@ -156,35 +168,51 @@ def jaccard_components(
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    levels = spark.sparkContext.broadcast(bucket_levels(texts, "text", size))
+    levels = spark.sparkContext.broadcast(frequent_buckets(texts, "text", size))
     sets = settle(
         texts.mapInArrow(_prefixes("text", size, percent, levels), f"key {kind}, n bigint, d1 bigint, d2 bigint, l int, prefix array<bigint>"), "prefixes"
     )
     classes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("node"))
     members = settle(sets.filter("n > 0").select("key", "d1", "d2").join(classes, ["d1", "d2"]).select("key", "node"), "members")
     single = sets.filter("n > 0").join(members.filter("key <> node").select("key"), "key", "left_anti")
-    tokens = single.select(F.explode("prefix").alias("token"), F.col("key").alias("node"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    groups = settle(tokens.join(shared, "token"), "groups")
-
-    side = sets.select("key", "n", "l", "prefix")
+    tokens = single.select(F.posexplode("prefix").alias("pos", "token"), F.col("key").alias("node"), F.col("n").cast("int"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("smallest")).filter("low < high")
+    # of tokens beyond the places for l = 1 it is only asked whether they are shared at all
+    held = settle(tokens.join(shared.select("token", "smallest"), "token").filter(f"{overlap('n', 'smallest', percent)} - {LONGEST - 1} <= n - pos"), "shared-tokens")
+    share = f"({percent} * n + 99) div 100"
+    # a partner has at least that share of this size, so its own longest l is at least this
+    asks = F.expr(f"least({LONGEST}, ({percent} * ({share}) + 99) div 100)")
+    active = held.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= asks).select("node")
+    active = settle(active, "nodes")
+    groups = held.join(active, "node").filter(f"{overlap('n', 'smallest', percent)} <= n - pos")
+    groups = settle(groups.select("token", "node", "n", "pos"), "groups")
+    most = PAIRS_PER_ROW * groups.count()
+    # texts that can be asked for, so that a round does not shuffle all of them
+    nodes = active.withColumnRenamed("node", "key")
+    asked = settle(texts.join(nodes, "key", "left_semi"), "asked-texts")
+    asked_sets = settle(sets.join(nodes, "key", "left_semi").select("key", "n", "l", "prefix"), "asked-sets")
+
+    needs = overlap("a.n", "b.n", percent)
+    may = f"{needs} <= a.n - a.pos and {needs} <= b.n - b.pos"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
-        near = pairs.join(a, F.col("a") == F.col("key_a")).join(b, F.col("b") == F.col("key_b"))
-        near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        near = near.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("l_a", "l_b")).select("a", "b")
-        near = settle(near, "candidates")
-        whole = near.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        whole = whole.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+        """Links among pairs ``(a, b)``: first by shared prefix tokens, then by whole sets."""
+        a, b = (asked_sets.select(*[F.col(c).alias(f"{c}_{x}") for c in asked_sets.columns]) for x in "ab")
+        near = pairs.distinct().join(a, F.col("a") == F.col("key_a")).join(b, F.col("b") == F.col("key_b"))
+        near = near.withColumn("need", F.expr(overlap("n_a", "n_b", percent))).withColumn("l", F.least("l_a", "l_b", "need"))
+        parts = [F.slice(f"prefix_{x}", F.lit(1), (F.col(f"n_{x}") - F.col("need") + F.col("l")).cast("int")) for x in "ab"]
+        near = settle(near.filter(F.size(F.array_intersect(*parts)) >= F.col("l")).select("a", "b"), "candidates")
+        whole = near.join(asked.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        whole = whole.join(asked.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         return settle(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, percent), f"a {kind}, b {kind}"), "links")
 
-    links = verified(groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    found = settle(components(links), "components")
+    links: DataFrame | None = None
+    found: DataFrame | None = None
     while True:
-        # Who has led has met all others of its group.
-        left = groups.filter("node <> leader").select("token", "node").join(found, "node", "left")
-        left = left.select("token", "node", F.coalesce("component", "node").alias("component"))
+        if found is None:
+            left = groups.withColumn("component", F.col("node"))
+        else:
+            left = groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         open_ = sizes.groupBy("token").agg(
             F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "component")).alias("most")
@@ -193,22 +221,28 @@ def jaccard_components(
         rows, pairs = open_.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0))).first()
         if not rows:
             break
-        left = left.join(open_.select("token", "most"), "token")
-        if pairs <= max(50_000, rows):
-            left = settle(left, "left")
-            minor = left.filter("component <> most").select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-            pairs_left = minor.join(left.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), "most"), "token")
-            pairs_left = pairs_left.filter("ca <> cb and (a < b or cb = most)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            links = links.union(verified(pairs_left.distinct()))
-            found = settle(components(links), "components")
-            break
-        first = left.groupBy("token").agg(F.min(F.struct("node", "component")).alias("first"))
-        groups = settle(left.join(first, "token").select("token", "node", "component", "first"), "groups")
-        groups = groups.select("token", "node", "component", F.col("first.node").alias("leader"), F.col("first.component").alias("leading"))
-        met = groups.filter("component <> leading").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.union(verified(met))
+        left = settle(left.join(open_.select("token", "most"), "token"), "left")
+        last = found is not None and pairs <= most  # leaders come first, as most pairs then lie inside components
+        if last:
+            # one of two components is not the largest of the group
+            minor = left.filter("component <> most")
+            met = minor.alias("a").join(left.alias("b"), F.expr(f"a.token = b.token and a.component <> b.component and (a.node < b.node or b.component = b.most) and {may}"))
+            met = met.select(F.expr("least(a.node, b.node)").alias("a"), F.expr("greatest(a.node, b.node)").alias("b"))
+        else:
+            # the leader has the token earliest, so it has the fewest rare tokens of its own
+            first = left.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "component")).alias("first")).select("token", "first.*")
+            met = left.alias("b").join(first.alias("a"), F.expr(f"a.token = b.token and a.component <> b.component and {may}"))
+            met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            rest = left.join(first.select("token", F.col("node").alias("leader")), "token").filter("node <> leader")
+            groups = settle(rest.select("token", "node", "n", "pos"), "groups")
+        more = verified(met)
+        links = more if links is None else links.union(more)
         found = settle(components(links), "components")
+        if last:
+            break
 
+    if found is None:
+        found = members.select("node", F.col("node").alias("component")).limit(0)
     out = sets.select("key", F.col("n").alias("n_shingles")).join(members, "key", "left")
     out = out.join(found, "node", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "node", "key").alias("component"))
