@@ -4,7 +4,9 @@ The language references are counted on all documents: shares of character
 classes, and shares of the words that make up at least ``COMMON_SHARE`` of a
 language (at most ``1 / COMMON_SHARE`` of them). A document is compared by the
 Jensen-Shannon distance (base 2, 0 to 1) of its histograms to those of its
-language. Short documents have rough histograms, so each comparison has a guard
+language. A text without any common word has a distance that follows from the
+language alone; the bound of the words is ``WORD_SHARE`` of that, so that such
+texts go. Short documents have rough histograms, so each comparison has a guard
 of its own length; below it, and for languages without a reference of
 ``REFERENCE_WORDS`` words, the comparison passes.
 """
@@ -28,7 +30,8 @@ REFERENCE_WORDS = 5000
 CHAR_GUARD = 200  # code points
 WORD_GUARD = 80  # words
 CHAR_DISTANCE = 0.25
-WORD_DISTANCE = 0.45
+WORD_SHARE = 0.9  # of the distance of a text without a common word
+WORD_LEAST = 0.25  # bound of languages whose common words are too few to tell
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "other")
 FLUSH = 1 << 20
@@ -139,7 +142,7 @@ def _reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def references(texts: DataFrame) -> dict:
-    """Per language: shares of classes, sorted common words and their shares (the rest last)."""
+    """Per language: shares of classes, sorted common words and their shares (the rest last), and the bound of the word distance."""
     counts = settle(texts.mapInArrow(_reference_counts, "kind tinyint, lang string, code bigint, n bigint").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n")), "references")
     words = counts.filter("kind = 0 and lang is not null")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
@@ -156,6 +159,7 @@ def references(texts: DataFrame) -> dict:
         shares = np.array([s for _, s in ref["words"]])
         order = np.argsort(codes)
         ref["words"] = codes[order], np.append(shares[order], max(0.0, 1 - shares.sum()))
+        ref["word_bound"] = word_bound(ref["words"][1])
     return out
 
 
@@ -170,6 +174,13 @@ def distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(0, (left + right) / 2)), 0.0)
 
 
+def word_bound(shares: np.ndarray) -> float:
+    """Bound of the word distance, from the shares of common words and the rest (last)."""
+    none = np.zeros((1, len(shares)))
+    none[0, -1] = 1
+    return max(WORD_LEAST, WORD_SHARE * float(distance(none, shares)[0]))
+
+
 def _rules(found):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, refs = Hashes(), class_table(), found.value
@@ -184,6 +195,7 @@ def _rules(found):
             lowered = Block(part.column("text"), lower=True)
             h = hashes.of_bytes(lowered.data, lowered.starts, lowered.ends)
             char_far, word_far = np.full(block.n_texts, np.nan), np.full(block.n_texts, np.nan)
+            bound = np.full(block.n_texts, np.inf)
             langs = part.column("lang").to_pylist()
             for lang in set(langs) & set(refs):
                 of = np.array([x == lang for x in langs])
@@ -194,9 +206,10 @@ def _rules(found):
                 width = len(shares)
                 hist = np.bincount(block.doc[mine] * width + at, minlength=block.n_texts * width).reshape(block.n_texts, width)[of]
                 char_far[of] = np.where(classes[of].sum(axis=1) >= CHAR_GUARD, distance(classes[of], refs[lang]["classes"]), np.nan)
+                bound[of] = refs[lang]["word_bound"]
                 word_far[of] = np.where(n[of] >= WORD_GUARD, distance(hist, shares), np.nan)
             base = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
-            far = (np.nan_to_num(char_far) > CHAR_DISTANCE) | (np.nan_to_num(word_far) > WORD_DISTANCE)
+            far = (np.nan_to_num(char_far) > CHAR_DISTANCE) | (np.nan_to_num(word_far) > bound)
             out = [n, chars, classes[:, CLASSES.index("symbol")], repeated_lines(block, hashes), repeats, base, ~base & ~far]
             arrays = [pa.array(x) for x in out] + [pa.array(x, mask=np.isnan(x)) for x in (char_far, word_far)]
             kept = [c for c in part.schema.names if c not in ("key", "text", "lang")]

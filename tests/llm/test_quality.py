@@ -59,6 +59,21 @@ def test_labelled_documents(spark):
     assert sum(marked) <= 0.1 * len(marked)
 
 
+def test_texts_of_another_language_and_gibberish_go(spark):
+    """German texts labelled as English, and lower-case words that no language has, beside the references of all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    odd = [(-1 - i, " ".join("".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(150)), "en") for i in range(5)]
+    wrong = docs.filter("lang = 'de' and doc_id % 5 = 0").withColumn("lang", F.lit("en"))
+    others = docs.filter("not (lang = 'de' and doc_id % 5 = 0)")
+    rows = quality_rules(others.union(wrong).union(spark.createDataFrame(odd, docs.schema)), keep=["lang"]).collect()
+    moved = {r.doc_id for r in wrong.collect()}
+    judged = [r.kept for r in rows if r.doc_id in moved and not r.base_failed and r.word_distance is not None]
+    assert len(judged) > 10 and sum(judged) <= 0.05 * len(judged)
+    assert not any(r.kept for r in rows if r.doc_id < 0)
+    assert sum(r.kept for r in rows if r.doc_id not in moved) > 0.8 * sum(not r.base_failed for r in rows if r.doc_id not in moved)
+
+
 @pytest.mark.parametrize("text", [None, "", "a"])
 def test_repeated_rows_are_judged_each(spark, text):
     docs = table(spark, [text]).withColumn("lang", F.lit("en"))
