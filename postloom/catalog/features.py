@@ -216,7 +216,7 @@ def l1_logit_scores(spark, d):
 @BOOK.add()
 def penalty_search(spark, d):
     rows = _vectors(spark, d).filter("train").cache()
-    best, scores = search_l1_penalty(rows, "class_offers", "post_id", grid=[0.01, 0.1, 1.0, 10.0], folds=5, max_iter=50)
+    best, scores = search_l1_penalty(rows, "class_offers", "post_id", folds=5)
     return scores.withColumn("chosen", F.col("c") == F.lit(best))
 
 

@@ -1,0 +1,19 @@
+"""The model queries use the operators' whole grids."""
+
+import inspect
+
+from postloom.catalog import features
+
+
+def test_penalty_search_uses_the_whole_grid(spark, sf, monkeypatch):
+    taken = {}
+
+    def search(*args, **options):
+        bound = inspect.signature(original).bind(*args, **options)
+        taken.update(bound.arguments)
+        return 1.0, spark.createDataFrame([(1.0, 0.5)], "c double, auroc double")
+
+    original = features.search_l1_penalty
+    monkeypatch.setattr(features, "search_l1_penalty", search)
+    assert features.penalty_search(spark, sf).collect()[0].chosen
+    assert "grid" not in taken and "max_iter" not in taken
