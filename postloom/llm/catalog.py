@@ -1,4 +1,4 @@
-"""The ten queries over the shared test tables, and SQL where it can say the same."""
+"""The queries over the shared test tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.catalog.common import Book
-from postloom.llm import bpe, jaccard, mixing, ordinal, quality, substrings, suffix_tree, token_store, vectors, warc
+from postloom.llm import bpe, jaccard, mixing, ordinal, quality, repair, substrings, suffix_tree, token_store, vectors, warc
 
 BOOK = Book()
 
@@ -165,3 +165,9 @@ def with_grades(spark: SparkSession, folder: str) -> DataFrame:
 def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = ordinal.fit(with_grades(spark, folder), n_grades=3)
     return ordinal.graded_quality(documents(spark, folder), model, select_from=2)
+
+
+@BOOK.add()
+def op12_run_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return repair.repair_digest(conversations, *repair.repaired(repair.damaged(conversations), n="n"))
