@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.catalog.common import Book
-from postloom.llm import bpe, jaccard, mixing, ordinal, quality, repair, substrings, suffix_tree, token_store, vectors, warc
+from postloom.llm import bpe, jaccard, mixing, ordinal, quality, repair, substrings, suffix_tree, token_store, vectors, warc, whitening
 
 BOOK = Book()
 
@@ -171,3 +171,8 @@ def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op12_run_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = spark.read.parquet(f"{folder}/conversations.parquet")
     return repair.repair_digest(conversations, *repair.repaired(repair.damaged(conversations), n="n"))
+
+
+@BOOK.add()
+def op11_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
