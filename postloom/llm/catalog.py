@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.catalog.common import Book
-from postloom.llm import bpe, jaccard, mixing, ordinal, quality, repair, substrings, suffix_tree, token_store, vectors, warc, whitening
+from postloom.llm import bpe, jaccard, mixing, ordinal, quality, repair, substrings, suffix_tree, token_store, toxicity, vectors, warc, whitening
 
 BOOK = Book()
 
@@ -176,3 +176,21 @@ def op12_run_repair(spark: SparkSession, folder: str) -> DataFrame:
 @BOOK.add()
 def op11_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def fold(doc_id: Column) -> Column:
+    """Remainder that names a document's fold; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+def with_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents outside the held-out fold."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    return documents(spark, folder).select("doc_id", "text").join(labels.filter(fold(F.col("doc_id")) != 0), "doc_id")
+
+
+@BOOK.add()
+def op13_attention_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    model = toxicity.fit(with_toxicity(spark, folder))
+    out = toxicity.toxicity(documents(spark, folder), model)
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
