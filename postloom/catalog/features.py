@@ -9,7 +9,7 @@ from postloom.catalog.common import PLAIN_DOCUMENTS, Book, plain_documents, r, s
 from postloom.functions.vectors import l2_norm
 from postloom.operators.coefficients import first_and_last, nonzero_coefficients, wald_table
 from postloom.operators.evaluate import performance
-from postloom.operators.features import assemble, balanced_weights, encode_text, one_hot, prepare_features, standard_scale
+from postloom.operators.features import assemble, balanced_weights, encode_text, one_hot, one_hot_vectors, prepare_features, standard_scale, vector_parts
 from postloom.operators.models import (
     Registry,
     fit_l1_logit,
@@ -54,6 +54,20 @@ def one_hot_columns(spark, d):
     return sums.unpivot([], [F.col(f"`{c}`") for c in names], "name", "n_rows")
 
 
+@BOOK.add(
+    """WITH c AS (SELECT o_custkey::VARCHAR AS term, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+       top AS (SELECT term FROM c ORDER BY n DESC, term LIMIT 1), kept AS (SELECT term FROM c WHERE term NOT IN (SELECT term FROM top)),
+       i AS (SELECT term, (row_number() OVER (ORDER BY md5(term), term) - 1)::INTEGER AS idx FROM kept)
+       SELECT o_orderkey, (SELECT count(*) FROM kept)::INTEGER AS size, CASE WHEN idx IS NULL THEN [] ELSE [idx] END AS indices,
+         CASE WHEN idx IS NULL THEN [] ELSE [1.0::DOUBLE] END AS weights FROM orders LEFT JOIN i ON i.term = o_custkey::VARCHAR"""
+)
+def one_hot_sparse(spark, d):
+    """A category of thousands of values as one sparse vector."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").alias("train"))
+    parts = vector_parts(one_hot_vectors(rows, "o_custkey", "o_orderkey"))
+    return parts.select("o_orderkey", "features.size", "features.indices", F.col("features.values").alias("weights"))
+
+
 @BOOK.add(
     """WITH n AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT quality) AS k FROM labels), c AS (SELECT quality, count(*) AS nc FROM labels GROUP BY 1)
        SELECT doc_id, labels.quality, round(n / (k * nc), 6) AS w FROM labels JOIN c USING (quality), n"""
@@ -175,12 +189,9 @@ def tfidf_sparse_vectors(spark, d):
     counts = settle(_counts(spark, d), "term-counts")
     vocabulary = _fitted(spark, d, counts, indexed=True)
     vectors = tfidf_vectors(tfidf_weights(counts, vocabulary, "post_id"), vocabulary, "post_id", plain_documents(spark, d))
-    filled = vectors.select("post_id", vector_to_array("features").alias("x"))
-    entries = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
-    filled = filled.select("post_id", entries.alias("e"), F.size("x").alias("size"))
-    return filled.select(
-        "post_id", F.array_join(F.col("e.i").cast("array<string>"), ",").alias("indices"),
-        F.transform("e.v", lambda v: F.round(v, 6)).alias("weights"), "size",
+    return vector_parts(vectors).select(
+        "post_id", F.array_join(F.col("features.indices").cast("array<string>"), ",").alias("indices"),
+        F.transform("features.values", lambda v: F.round(v, 6)).alias("weights"), "features.size",
     )
 
 

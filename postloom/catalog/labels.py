@@ -38,6 +38,7 @@ from postloom.operators.labels import (
     mark_train_test,
     nontext_features,
     rule_counts,
+    stratified_folds,
     stratified_split,
     target_encoding,
 )
@@ -314,6 +315,17 @@ def stratified_rows(spark, d):
     return out.select("doc_id", "quality", "fit")
 
 
+@BOOK.add(
+    """WITH o AS (SELECT o_orderkey, o_custkey, md5('42:' || o_orderkey) AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42:' || o_orderkey)) AS place,
+         count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+       SELECT o_orderkey, o_custkey, (place > round_even(0.2 * n, 0))::INTEGER + (place > round_even(0.4 * n, 0))::INTEGER
+         + (place > round_even(0.6 * n, 0))::INTEGER + (place > round_even(0.8 * n, 0))::INTEGER AS fold FROM o"""
+)
+def stratified_fold_rows(spark, d):
+    """Five folds of the orders, even within every customer."""
+    return stratified_folds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+
+
 @BOOK.add(f"WITH {COMMENTS} SELECT post_id, comment_id, {CUE_FLAG} AS referral_offer FROM comments")
 def streamed_offer_flags(spark, d):
     """The offer flags on a stream over the conversations file."""

@@ -13,7 +13,7 @@ from postloom.functions.columns import cap, remove_prefix_marker
 from postloom.functions.dates import week_start
 from postloom.operators.joins import lookup_join
 from postloom.operators.labels import group_share
-from postloom.operators.quantiles import grouped_quantiles
+from postloom.operators.selection import group_quantiles
 from postloom.session import local_table, settle
 
 
@@ -140,7 +140,7 @@ def five_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).first()
     # all columns in one pass: a column is a group of the unpivoted table
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    found = {r.feature: r.edges for r in grouped_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])}
+    found = {r.feature: r.edges for r in group_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75]).collect()}
     rows = []
     for c in columns:
         quartiles = found.get(c) or [None] * 3

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postloom.functions.columns import floor_to
-from postloom.operators.quantiles import bin_edges, grouped_quantiles
-from postloom.session import local_table
+from postloom.operators.joins import lookup_join
+from postloom.operators.selection import group_key, group_quantiles
 
 CONFUSION = ["tp", "fp", "fn", "tn"]
 
@@ -126,15 +126,13 @@ def calibration(scores: DataFrame, by: Sequence[str] = ("model", "split"), bins:
     Rows whose probability is NaN or null are in no bin; a group of them alone has no row.
     """
     scores = scores.filter(F.col("p").isNotNull() & ~F.isnan("p"))
-    edges = grouped_quantiles(scores, by, "p", [i / bins for i in range(bins + 1)])
-    # one row per report group, as counted by grouped_quantiles
-    rows = [tuple(r[c] for c in by) + (bin_edges(r.edges),) for r in edges if r.edges]
-    kinds = dict(scores.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", inner array<double>"
-    table = local_table(scores.sparkSession, rows, schema)
+    edges = group_quantiles(scores, by, "p", [i / bins for i in range(bins + 1)])
+    kept = F.array_sort(F.array_distinct("edges"))
+    # equal edges are one; the outer two are no edges of classes
+    inner = edges.select(group_key(by).alias("_g"), F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 2, F.lit(0))).alias("inner"))
     index = F.size(F.filter("inner", lambda e: e < F.col("p").cast("double")))
     return (
-        scores.join(F.broadcast(table), list(by))
+        lookup_join(scores.withColumn("_g", group_key(by)), inner, "_g", "inner")
         .withColumn("bin", index)
         .groupBy(*by, "bin")
         .agg(F.avg("p").alias("model_prob"), F.avg("y").alias("true_label"), F.count(F.lit(1)).alias("n"))

@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom.functions.columns import words
 from postloom.functions.vectors import unit
 from postloom.operators.joins import lookup_join
-from postloom.session import settle
+from postloom.operators.selection import dense_index
+from postloom.session import scratch_path, settle
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], train: str = "train") -> DataFrame:
@@ -32,19 +35,76 @@ def standard_scale(df: DataFrame, columns: Sequence[str], train: str = "train")
     return df.withColumns({c: scaled(c) for c in columns})
 
 
-def category_counts(df: DataFrame, column: str) -> list[tuple[str, int]]:
-    """Categories with counts, most frequent first; for columns that are to become one column per category."""
-    rows = df.filter(F.col(column).isNotNull()).groupBy(column).count().collect()
-    return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))
+MAX_COLUMNS = 1_000
+
+
+def category_index(df: DataFrame, column: str, train: str = "train") -> DataFrame:
+    """``category, idx`` of the categories of train rows but the most frequent one, as a table.
+
+    The first in order wins among equally frequent ones; ``idx`` runs from 0 without gaps.
+    """
+    known = df.filter(F.col(train) & F.col(f"`{column}`").isNotNull())
+    counts = settle(known.groupBy(F.col(f"`{column}`").cast("string").alias("term")).agg(F.count(F.lit(1)).alias("df")), "categories")
+    top = counts.orderBy(F.desc("df"), "term").limit(1)
+    kept = counts.join(F.broadcast(top.select("term")), "term", "left_anti").withColumn("idf", F.lit(0.0))
+    return dense_index(kept).select(F.col("term").alias("category"), "idx")
 
 
 def one_hot(df: DataFrame, column: str, train: str = "train") -> DataFrame:
-    """Indicator columns for train categories, without the most frequent one."""
-    kept = sorted(c for c, _ in category_counts(df.filter(F.col(train)), column)[1:])
-    flags = {f"{column}_{c}": F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0)) for c in kept}
+    """Indicator columns for train categories, without the most frequent one.
+
+    For categories that can be columns, ``MAX_COLUMNS`` at most; any number of them is one sparse vector by
+    :func:`one_hot_vectors`.
+    """
+    index = category_index(df, column, train)
+    n = index.count()
+    if n > MAX_COLUMNS:
+        raise ValueError(f"{column} has {n + 1} categories; use one_hot_vectors")
+    kept = sorted(r.category for r in index.select("category").collect())
+    flags = {f"{column}_{c}": F.coalesce((F.col(f"`{column}`").cast("string") == F.lit(c)).cast("int"), F.lit(0)) for c in kept}
     return df.withColumns(flags).drop(column)
 
 
+def one_hot_entries(df: DataFrame, column: str, key: str, train: str = "train") -> DataFrame:
+    """``key, features`` where ``features`` holds size, indices and values of a sparse vector; other categories have no entry."""
+    index = category_index(df, column, train)
+    rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").cast("string").alias("category"))
+    met = lookup_join(rows, index, "category", "left", [key], materialise=False)
+    known = F.col("idx").isNotNull()
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(index.count()).cast("int").alias("size"),
+        F.when(known, F.array(F.col("idx").cast("int"))).otherwise(F.expr("cast(array() as array<int>)")).alias("indices"),
+        F.when(known, F.array(F.lit(1.0))).otherwise(F.expr("cast(array() as array<double>)")).alias("values"),
+    )
+    return met.select(key, parts.alias("features"))
+
+
+def one_hot_vectors(df: DataFrame, column: str, key: str, train: str = "train") -> DataFrame:
+    """One sparse ML vector per row for any number of categories, read back from its storage layout."""
+    return as_vectors(one_hot_entries(df, column, key, train))
+
+
+PARTS = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
+    """A column of vector parts as ML vectors: written out, and read back as what it is stored as."""
+    return _stored(df, column, VectorUDT())
+
+
+def vector_parts(df: DataFrame, column: str = "features") -> DataFrame:
+    """ML vectors as their parts: type (0 sparse, 1 dense), size, indices and values; nothing is filled with zeros."""
+    return _stored(df, column, T.StructType.fromDDL(f"x {PARTS}")["x"].dataType)
+
+
+def _stored(df: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+    path = scratch_path(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    fields = [T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
 def balanced_weights(df: DataFrame, label: str, name: str = "w") -> DataFrame:
     """Row weights ``n / (k * n_class)``; they sum to the number of rows."""
     counts = settle(df.filter(F.col(label).isNotNull()).groupBy(label).count(), "class-sizes")

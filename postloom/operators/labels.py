@@ -14,6 +14,7 @@ from postloom.functions.rules import offer_flag, offer_label, referral_flag, req
 from postloom.functions.text import hashtag_count
 from postloom.operators.joins import lookup_join
 from postloom.operators.quantiles import exact_quantiles, quantile_class
+from postloom.operators.selection import PICK_ROWS, fold_shares, stratified_cuts, with_cuts
 from postloom.session import settle
 
 
@@ -182,39 +183,24 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
 
 
-SLICE_ROWS = 100_000
-
-
 def stratified_split(
-    df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 95, slice_rows: int = SLICE_ROWS
+    df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 95, slice_rows: int = PICK_ROWS
 ) -> DataFrame:
     """Exact ``share`` of every label class in a reproducible random order, as boolean ``fit``.
 
-    Digests are uniform, so their leading characters cut every class into equal
-    slices. Slices are counted until the one that holds the cut is small, and
-    only that one is ordered; every other row is decided by comparing its digest
-    with the cut. The table itself is never shuffled. Null is a class of its own.
+    Digests are uniform. The cut of every class is found for all classes at once,
+    and a row is decided by comparing its digest with the cut of its class. The
+    table itself is not ordered. Null is a class of its own.
     """
     order = hash_order(F.col(key), seed)
-    rows = df.select(F.col(label).alias("c"), order.alias("h"))
-    cut = F.lit(None).cast("string")
-    for c, n in rows.groupBy("c").count().collect():
-        need = round(share * n)
-        last = _digest_at(rows.filter(F.col("c").eqNullSafe(F.lit(c))), need, n, slice_rows) if need else ""
-        cut = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(last)).otherwise(cut)
-    return df.withColumn("fit", order <= cut)
-
-
-def _digest_at(rows: DataFrame, need: int, n: int, slice_rows: int) -> str:
-    """The ``need``-th smallest digest, found by lengthening the prefix of its slice."""
-    start, step = "", 3
-    while n > slice_rows:
-        width = len(start) + step
-        counts = rows.groupBy(F.substring("h", 1, width).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-        for r in sorted(counts.collect()):  # at most 16 ** 3 slices
-            if need <= r.n:
-                start, n = r.s, r.n
-                break
-            need -= r.n
-        rows = rows.filter(F.col("h").startswith(start))
-    return rows.orderBy("h").limit(need).agg(F.max("h")).first()[0]
+    cuts = stratified_cuts(df, order, label, [share], slice_rows)
+    return with_cuts(df, cuts, label, key, "fit", lambda c: order <= F.get(c, F.lit(0)))
+
+
+def stratified_folds(
+    df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, name: str = "fold", slice_rows: int = PICK_ROWS
+) -> DataFrame:
+    """Fold of each row, 0 to ``folds - 1``: every class is dealt evenly, its folds differ by one row at most."""
+    order = hash_order(F.col(key), seed)
+    cuts = stratified_cuts(df, order, label, fold_shares(folds), slice_rows)
+    return with_cuts(df, cuts, label, key, name, lambda c: F.size(F.filter(c, lambda x: x < order)))

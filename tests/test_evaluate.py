@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import describe, evaluate, similarity
-from postloom.operators.quantiles import grouped_quantiles
+from postloom.operators.selection import group_quantiles
 
 
 def scores(spark, rows, model="m", split="test"):
@@ -97,9 +97,9 @@ def test_bootstrap_ignores_partitions(spark):
 
 @pytest.mark.parametrize("limit", [200_000, 5])
 def test_calibration(spark, limit, monkeypatch):
-    from postloom.operators import quantiles
+    from postloom.operators import selection
 
-    monkeypatch.setattr(quantiles.grouped_quantiles, "__defaults__", (limit,))
+    monkeypatch.setattr(selection.group_quantiles, "__defaults__", (limit,))
     got = evaluate.calibration(scores(spark, RANDOM), ["model"]).orderBy("bin").collect()
     df = pd.DataFrame(RANDOM, columns=["y", "p"])
     df["bin"] = pd.qcut(df.p, 20, labels=False, duplicates="drop")
@@ -178,7 +178,7 @@ def test_quantiles_of_groups_do_not_hang_on_size(spark, limit):
     """NaN and null are left aside, and groups of them alone have no row, at any size."""
     rows = [("a", float(i % 7)) for i in range(50)] + [("a", math.nan), ("a", None), ("b", None), ("c", math.nan), (None, 2.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, p double")
-    found = {r.g: r.edges for r in grouped_quantiles(df, ["g"], "p", [0.0, 0.5, 1.0], distinct_limit=limit)}
+    found = {r.g: r.edges for r in group_quantiles(df, ["g"], "p", [0.0, 0.5, 1.0], pick_rows=limit).collect()}
     assert found == {"a": [0.0, 3.0, 6.0], None: [2.0, 3.0, 4.0]}
 
 

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import joins, labels, quantiles
-from postloom.operators.features import balanced_weights, one_hot, standard_scale
+from postloom.operators import joins, labels, quantiles, selection
+from postloom.operators.features import balanced_weights, one_hot, one_hot_vectors, standard_scale
 
 
 def frame(spark, values):
@@ -171,3 +171,65 @@ def test_group_share_without_windows(spark):
     out = labels.group_share(df, "firm", "post_id")
     assert {r.firm: r.pct_activity for r in out.collect()} == {"a": 0.75, "b": 0.25}
     assert "Window" not in out._jdf.queryExecution().toString()
+
+
+def _jobs(spark, name, make):
+    """How many jobs a computation starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        make()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_folds_are_even_in_every_class(spark, rows):
+    kinds = [0] * 50 + [1] * 7 + [None] * 11 + [2]
+    df = spark.createDataFrame(list(enumerate(kinds)), "id int, y int")
+    out = labels.stratified_folds(df, "id", "y", 5, slice_rows=rows)
+    sizes = {}
+    for r in out.collect():
+        sizes.setdefault(r.y, [0] * 5)[r.fold] += 1
+    assert {k: sum(v) for k, v in sizes.items()} == {0: 50, 1: 7, None: 11, 2: 1}
+    assert all(max(v) - min(v) <= 1 for v in sizes.values())
+
+
+def test_many_classes_take_no_more_jobs_than_few(spark):
+    """A split of 100,000 classes, none of which passes through the driver."""
+    df = spark.range(300_000).select("id", (F.col("id") % 100_000).alias("many"), (F.col("id") % 3).alias("few"))
+    found = {}
+
+    def split(label):
+        found[label] = labels.stratified_split(df, "id", label, 0.5, slice_rows=1_000_000).groupBy(label, "fit").count().collect()
+
+    few, many = (_jobs(spark, f"split-{c}", lambda c=c: split(c)) for c in ("few", "many"))
+    assert many <= few + 2
+    assert {(r["few"], r.fit): r["count"] for r in found["few"]} == {(c, f): 50_000 for c in range(3) for f in (True, False)}
+    assert len(found["many"]) == 200_000 and {r["count"] for r in found["many"] if r.fit} == {2}
+
+
+@pytest.mark.parametrize("pick", [2, 40, 10_000])
+def test_quantiles_of_groups_against_numpy(spark, pick):
+    rng = np.random.default_rng(pick)
+    values = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 300).astype(float), "c": np.array([7.0]), None: np.r_[np.zeros(200), 1e300, -1e300], "d": rng.geometric(0.01, 400) ** 3.0}
+    df = spark.createDataFrame([(g, float(v)) for g, all_ in values.items() for v in all_], "g string, v double")
+    probs = [0.0, 0.13, 0.5, 0.77, 1.0]
+    found = {r.g: r.edges for r in selection.group_quantiles(df, ["g"], "v", probs, pick).collect()}
+    assert found.keys() == values.keys()
+    for g, all_ in values.items():
+        assert found[g] == pytest.approx(np.quantile(all_, probs).tolist(), rel=1e-12)
+    assert selection.group_quantiles(df.limit(0), ["g"], "v", probs, pick).count() == 0
+
+
+def test_one_hot_of_any_number_of_categories(spark):
+    rows = [(i, f"c{i % 1500}", True) for i in range(3000)] + [(3000, "c0", True), (3001, None, True), (3002, "new", False)]
+    df = spark.createDataFrame(rows, "id int, c string, train boolean")
+    with pytest.raises(ValueError):
+        one_hot(df, "c")
+    out = {r.id: r.features for r in one_hot_vectors(df, "c", "id").collect()}
+    assert {v.size for v in out.values()} == {1499} and len(out) == 3003
+    places = {f"c{i}": out[i].indices.tolist() for i in range(1500)}
+    assert places["c0"] == [] and sorted(sum(places.values(), [])) == list(range(1499))
+    assert out[1507].indices.tolist() == places["c7"] and not len(out[3001].indices) and not len(out[3002].indices)
