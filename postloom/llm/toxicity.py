@@ -349,7 +349,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     flat = packed(start(n_words))
     for epoch in range(min(12, max(3, -(-VISITS // max(1, n)))) if n else 0):
         state = spark.sparkContext.broadcast((flat, n_words, places))
-        turn = sample.repartition(PARTS, F.xxhash64("key", F.lit(epoch))).sortWithinPartitions(F.xxhash64("key", F.lit(epoch)), "text", "label")
+        # dealt without a key, so that no setting makes more partitions, each with a network for the driver
+        turn = sample.repartition(PARTS).sortWithinPartitions(F.xxhash64("key", F.lit(epoch)), "text", "label")
         parts = turn.mapInArrow(_epoch(state), "n bigint, state binary").collect()
         flat = sum(np.frombuffer(p.state, np.float32) * np.float32(p.n / n) for p in sorted(parts, key=lambda p: (p.n, p.state)))
         state.unpersist()
