@@ -6,6 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from postloom.catalog.common import PLAIN_DOCUMENTS, Book, plain_documents, r, sql_text, table
+from postloom.functions import fixed_values as fixed
+from postloom.functions.columns import log_grid
 from postloom.functions.vectors import l2_norm
 from postloom.operators.coefficients import first_and_last, nonzero_coefficients, wald_table
 from postloom.operators.evaluate import performance
@@ -17,9 +19,9 @@ from postloom.operators.models import (
     random_baseline,
     score,
     score_table,
-    search_l1_penalty,
     train_grid,
 )
+from postloom.operators.penalty import TOLERANCE, search
 from postloom.operators.similarity import most_similar
 from postloom.operators.tfidf import fit_vocabulary, term_counts, tfidf_vectors, tfidf_weights
 from postloom.session import scratch_path, settle, spread
@@ -209,26 +211,116 @@ def _vectors(spark, d):
 
 def _scored(model, rows):
     split = F.when(F.col("train"), "train").otherwise("test")
-    return score(model, rows.withColumn("split", split), ["post_id", "split", F.col("class_offers").alias("y")])
+    out = score(model, rows.withColumn("split", split), ["post_id", "split", F.col("class_offers").alias("y")])
+    return out.withColumn("p", r("p", 4))
 
 
-@BOOK.add()
+_TRAIN_SIZES = "n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (yes) AS n1, count(*) FILTER (NOT yes) AS n0 FROM v WHERE train)"
+_PLACES = " + ".join(f"(place > round_even({i / 5} * m, 0))::INTEGER" for i in range(1, 5))
+
+
+def _vector_sql(embedding: str = "embedding") -> str:
+    """Vectors with an entry of one, balanced weights and stratified folds, as relation ``v`` and, for train rows, ``t``."""
+    return f"""v AS (SELECT vec_id AS id, label < 5 AS yes, list_append({embedding}::DOUBLE[], 1.0) AS x, md5(vec_id::VARCHAR) < 'cc' AS train FROM embeddings),
+ {_TRAIN_SIZES},
+ p AS (SELECT id, yes, x, row_number() OVER (PARTITION BY yes ORDER BY md5('42:' || id)) AS place, count(*) OVER (PARTITION BY yes) AS m FROM v WHERE train),
+ t AS MATERIALIZED (SELECT id, yes::INTEGER::DOUBLE AS y, x, n.n / (2 * CASE WHEN yes THEN n1 ELSE n0 END) AS w, {_PLACES} AS fold, len(x) - 1 AS d FROM p, n)"""
+
+
+def _descent_sql(models: str, steps: int, momentum: float) -> str:
+    """Models ``(c, fold)`` fitted by accelerated proximal descent in a recursion, as relation ``fit(c, fold, b)``; a null c has no penalty.
+
+    Half of the curvature's bound goes to the intercept and half to the features, whose bound is the Frobenius norm.
+    """
+    return f"""models AS ({models}),
+ e AS (SELECT id, w, unnest(list_slice(x, 1, d)) AS v, unnest(range(d)) AS j FROM t),
+ gram AS (SELECT sum(a.w * a.v * b.v) AS s FROM e a JOIN e b USING (id) GROUP BY a.j, b.j),
+ bound AS (SELECT sqrt(sum(s * s)) / 2 AS l, (SELECT sum(w) FROM t) / 2 AS l0, (SELECT any_value(d) FROM t) AS d FROM gram),
+ it AS (SELECT 0 AS k, c, fold, list_transform(range(d + 1), lambda i: 0.0::DOUBLE) AS now, list_transform(range(d + 1), lambda i: 0.0::DOUBLE) AS ahead FROM models, bound
+  UNION ALL
+  SELECT k + 1, c, fold, new, list_transform(list_zip(new, now), lambda z: z[1] + {momentum} * (z[1] - z[2]))
+  FROM (SELECT k, c, fold, now, list_transform(list_zip(ahead, g, range(d + 1)), lambda z: CASE WHEN z[3] = d THEN z[1] - z[2] / l0
+      ELSE sign(z[1] - z[2] / l) * greatest(abs(z[1] - z[2] / l) - coalesce(1 / (c * l), 0), 0) END) AS new
+    FROM (SELECT k, c, fold, any_value(now) AS now, any_value(ahead) AS ahead, list(s ORDER BY j) AS g
+      FROM (SELECT k, c, fold, any_value(now) AS now, any_value(ahead) AS ahead, j, sum(e * xj) AS s
+        FROM (SELECT it.k, it.c, it.fold, it.now, it.ahead, w * (1 / (1 + exp(-list_dot_product(x, ahead))) - y) AS e, unnest(x) AS xj, unnest(range(d + 1)) AS j
+          FROM it JOIN t ON t.fold <> it.fold WHERE k < {steps})
+        GROUP BY k, c, fold, j) GROUP BY k, c, fold), bound)),
+ fit AS MATERIALIZED (SELECT c, fold, now AS b FROM it WHERE k = {steps})"""
+
+
+def _scores_sql(models: str, steps: int, momentum: float, embedding: str = "embedding") -> str:
+    return f"""WITH RECURSIVE {_vector_sql(embedding)}, {_descent_sql(models, steps, momentum)},
+ s AS (SELECT id, train, yes, list_dot_product(x, b) AS z FROM v, fit)
+SELECT id AS post_id, CASE WHEN train THEN 'train' ELSE 'test' END AS split, yes::INTEGER AS y, round(1 / (1 + exp(-z)), 4) AS p, (z > 0)::INTEGER AS pred FROM s"""
+
+
+@BOOK.add(_scores_sql("SELECT NULL::DOUBLE AS c, -1 AS fold", 1500, 0.93))
 def plain_logit_scores(spark, d):
     rows = _vectors(spark, d)
     return _scored(fit_plain_logit(rows.filter("train").cache(), "class_offers"), rows)
 
 
-@BOOK.add()
+@BOOK.add(_scores_sql("SELECT 1.0::DOUBLE AS c, -1 AS fold", 400, 0.85))
 def l1_logit_scores(spark, d):
     rows = _vectors(spark, d)
     return _scored(fit_l1_logit(rows.filter("train").cache(), "class_offers", c=1.0), rows)
 
 
-@BOOK.add()
+@BOOK.add(
+    f"""WITH {_vector_sql()}, f AS (SELECT unnest(range(5))::INTEGER AS fold),
+ share AS (SELECT f.fold, sum(w * y) / sum(w) AS p0 FROM f JOIN t ON t.fold <> f.fold GROUP BY 1),
+ e AS (SELECT fold, unnest(list_slice(x, 1, d)) AS x, unnest(range(d)) AS j, w, y FROM t),
+ g AS (SELECT share.fold, j, abs(sum(w * (p0 - y) * x)) AS g FROM share JOIN e ON e.fold <> share.fold GROUP BY ALL),
+ most AS (SELECT fold, max(g) AS g FROM g GROUP BY 1),
+ held AS (SELECT fold, count(*) AS held_out, count(*) FILTER (y = 1) AS positive FROM t GROUP BY 1),
+ grid AS (SELECT {fixed.C_GRID[0]} * pow({fixed.C_GRID[1]} / {fixed.C_GRID[0]}, i / {fixed.C_GRID[2] - 1}.0::DOUBLE) AS c FROM range({fixed.C_GRID[2]}) r(i))
+SELECT round(c, 8) AS c, fold, held_out, positive, 1 / c >= g AS empty, CASE WHEN 1 / c >= g THEN 0.5::DOUBLE END AS chance, true AS settled, true AS at_most_chosen
+FROM grid, held JOIN most USING (fold)"""
+)
 def penalty_search(spark, d):
+    """The whole path of penalties in five stratified folds.
+
+    Models that keep no feature, their score, the optimality bound, and that no mean score is above the chosen one.
+    """
+    rows = _vectors(spark, d).filter("train").cache()
+    best, facts, _, found = search(rows, "class_offers", "post_id", log_grid(*fixed.C_GRID))
+    sizes = found.rows.groupBy("fold").agg(F.count(F.lit(1)).alias("held_out"), F.count_if(F.col("y") == 1).alias("positive"))
+    means = facts.groupBy("c").agg(F.avg("auroc").alias("mean"))
+    top = means.filter(F.col("c") == F.lit(best)).select(F.col("mean").alias("top"))
+    out = facts.join(sizes, "fold").join(means, "c").crossJoin(F.broadcast(top))
+    empty = F.col("n_features") == 0
+    return out.select(
+        F.round("c", 8).alias("c"), "fold", "held_out", "positive", empty.alias("empty"), F.when(empty, F.col("auroc")).alias("chance"),
+        (F.col("violation") <= TOLERANCE).alias("settled"), (F.col("mean") <= F.col("top")).alias("at_most_chosen"),
+    )
+
+
+@BOOK.add(
+    f"""WITH RECURSIVE {_vector_sql()}, {_descent_sql("SELECT c, fold::INTEGER AS fold FROM (SELECT unnest([0.4, 0.8]::DOUBLE[]) AS c), range(5) AS f(fold)", 240, 0.8)},
+ s AS (SELECT c, fit.fold, y, list_dot_product(x, b) AS z FROM fit JOIN t ON t.fold = fit.fold),
+ a AS (SELECT p.c, p.fold, avg((p.z > q.z)::INTEGER + (p.z = q.z)::INTEGER / 2) AS auroc FROM s p JOIN s q ON p.c = q.c AND p.fold = q.fold AND p.y = 1 AND q.y = 0 GROUP BY 1, 2),
+ l AS (SELECT c, fold, sum(w * (ln(1 + exp(list_dot_product(x, b))) - y * list_dot_product(x, b))) AS loss FROM (SELECT fit.c, fit.fold, b, w, x, y FROM fit JOIN t ON t.fold <> fit.fold) GROUP BY 1, 2)
+SELECT c, fold, len(list_filter(list_slice(b, 1, -2), lambda v: v <> 0))::INTEGER AS n_features, round(auroc, 6) AS auroc,
+  round(list_sum(list_transform(list_slice(b, 1, -2), lambda v: abs(v))) + c * loss, 4) AS objective, c = max_by(c, mean) OVER () AS chosen
+FROM fit JOIN a USING (c, fold) JOIN l USING (c, fold) JOIN (SELECT c, avg(auroc) AS mean FROM a GROUP BY 1) USING (c)"""
+)
+def penalty_scores(spark, d):
+    """Two penalties in five folds: features kept, score on the fold held out, and the value that was minimised."""
     rows = _vectors(spark, d).filter("train").cache()
-    best, scores = search_l1_penalty(rows, "class_offers", "post_id", folds=5)
-    return scores.withColumn("chosen", F.col("c") == F.lit(best))
+    grid = [0.4, 0.8]
+    best, facts, path, found = search(rows, "class_offers", "post_id", grid, tolerance=1e-9)
+    coefs = settle(path.coefficients(spark), "coefficients")
+    others = found.rows.select(F.col("fold").alias("own"), "key", "y", "w", F.posexplode(F.concat("values", F.array(F.lit(1.0)))).alias("place", "x"))
+    wide = F.lit(found.width)
+    entries = others.withColumn("idx", F.when(F.col("place") < wide, F.col("place")).otherwise(-1))
+    met = entries.join(F.broadcast(coefs), "idx").filter(F.col("own") != F.col("fold"))
+    z = met.groupBy("c", "fold", "key", "y", "w").agg(F.sum(F.col("x") * F.col("coef")).alias("z"))
+    loss = z.groupBy("c", "fold").agg(F.sum(F.col("w") * (F.log1p(F.exp("z")) - F.col("y") * F.col("z"))).alias("loss"))
+    norm = coefs.groupBy("c", "fold").agg(F.sum(F.when(F.col("idx") >= 0, F.abs("coef")).otherwise(0.0)).alias("norm"))
+    out = facts.join(loss, ["c", "fold"]).join(norm, ["c", "fold"])
+    objective = F.col("norm") + F.col("c") * F.col("loss")
+    return out.select("c", "fold", "n_features", r("auroc").alias("auroc"), r(objective, 4).alias("objective"), (F.col("c") == F.lit(best)).alias("chosen"))
 
 
 @BOOK.add()

@@ -8,19 +8,19 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import hash_unit, log_grid
 from postloom.operators.features import balanced_weights
+from postloom.operators.penalty import search
 from postloom.session import local_table
 
 
 MAX_ITER = 5_000  # the fits stop before by their tolerance
+TOLERANCE = 1e-10
 
 
 def iterations(model: PipelineModel) -> int | None:
@@ -31,7 +31,7 @@ def iterations(model: PipelineModel) -> int | None:
 
 def _logit(label: str, max_iter: int, **params) -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="w", standardization=False, maxIter=max_iter, **params
+        featuresCol="features", labelCol=label, weightCol="w", standardization=False, maxIter=max_iter, tol=TOLERANCE, **params
     )
 
 
@@ -68,34 +68,17 @@ def _as_pipeline(model) -> PipelineModel:
     return PipelineModel(stages=[model])
 
 
-def fold_column(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Fold of each row by a uniform hash of its key: every label spreads evenly over the folds."""
-    return df.withColumn("fold", F.floor(hash_unit(F.lit(seed), F.col(key)) * folds).cast("int"))
-
-
 def search_l1_penalty(
-    train: DataFrame,
-    label: str,
-    key: str,
-    grid: Sequence[float] | None = None,
-    folds: int = 5,
-    parallelism: int = 4,
-    max_iter: int = MAX_ITER,
-) -> tuple[float, DataFrame]:
-    """Best inverse penalty by mean AUROC over the folds, and the score of each value."""
+    train: DataFrame, label: str, key: str, grid: Sequence[float] | None = None, folds: int = 5
+) -> tuple[float | None, DataFrame]:
+    """Best inverse penalty by mean AUROC over stratified folds, and the mean of each value.
+
+    The whole path is solved at once. A mean with ``slack`` 0 is exact; others, which cannot be the largest, are
+    within their slack.
+    """
     values = list(grid) if grid is not None else log_grid(*fixed.C_GRID)
-    rows = fold_column(_weighted(train, label), key, folds)
-    n = rows.count()
-    base = _logit(label, max_iter, elasticNetParam=1.0)
-    params = ParamGridBuilder().addGrid(base.regParam, [1.0 / (c * n) for c in values]).build()
-    judge = BinaryClassificationEvaluator(labelCol=label, numBins=0)
-    search = CrossValidator(
-        estimator=base, estimatorParamMaps=params, evaluator=judge, numFolds=folds, foldCol="fold",
-        parallelism=parallelism,
-    ).fit(rows)
-    scored = [(float(c), float(s)) for c, s in zip(values, search.avgMetrics)]
-    table = local_table(train.sparkSession, scored, "c double, auroc double")
-    return max(scored, key=lambda x: x[1])[0], table
+    best, facts, _, _ = search(train, label, key, values, folds)
+    return best, facts.groupBy("c").agg(F.avg("auroc").alias("auroc"), F.avg("slack").alias("slack"))
 
 
 def best_of_grid(fold_scores: DataFrame, value: str, score: str) -> DataFrame:

@@ -5,7 +5,7 @@ from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-SLOW = {"model_grid_metrics", "penalty_search"}
+SLOW = {"model_grid_metrics"}
 
 
 @pytest.fixture(scope="module")
