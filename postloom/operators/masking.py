@@ -1,11 +1,12 @@
 """Masking of phrases and numbers.
 
-Phrases are not matched by one regex over the whole lexicon: a text is cut into
-pieces, and runs of pieces meet the lexicon on equality, so the cost grows with
-the text and not with the lexicon. A lexicon that fits a broadcast is looked up
-inside the row, in Arrow batches, without a shuffle. A larger one is joined: runs
-become rows. Overlaps are resolved per text from the left, best priority first,
-and the text is rebuilt from its pieces, in time linear in the text.
+Phrases are not matched by one regex over the whole lexicon. A lexicon that fits
+a broadcast becomes an automaton with failure links, built once in each worker;
+one walk over a text finds every phrase in it, whatever the size of the lexicon,
+without a shuffle. A larger one is joined: a text is cut into pieces, runs of
+pieces become rows, a Bloom filter of bounded size drops those that cannot be a
+phrase, and the rest meets the lexicon on equality. Overlaps are resolved per
+text from the left, best priority first, in time linear in the text.
 """
 
 from __future__ import annotations
@@ -107,27 +108,83 @@ def _edges_hold() -> Column:
     return (F.col("word_first") | before) & (F.col("word_last") | after)
 
 
+FOUND = "start int, len int, phrase string, tag string, priority bigint"
+
+
 def phrase_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Every place of every text where a lexicon phrase stands, overlaps included."""
+    """Every place of every text where a lexicon phrase stands, overlaps included.
+
+    ``start`` and ``len`` count characters; ``key`` is unique.
+    """
     lex = _prepared(lexicon)
-    kind = docs.schema[key].dataType.simpleString()
-    if not lex.small:
-        return _matches(docs, key, text, lex).select(key, "start", "len", F.col("gram").alias("phrase"), "tag", "priority")
-    fields = f"key {kind}, start int, len int, phrase string, tag string, priority bigint"
-    lowered = docs.select(F.col(key).alias("key"), pieces(F.lower(text_or_empty(F.col(text)))).alias("p"))
-    return lowered.mapInArrow(_found_rows(_shared_phrases(docs, lex)), fields).withColumnRenamed("key", key)
+    fields = f"key {docs.schema[key].dataType.simpleString()}, {FOUND}"
+    body = text_or_empty(F.col(text))
+    if lex.small:
+        rows = docs.select(F.col(key).alias("key"), body.alias("own"), F.lower(body).alias("low"))
+        return rows.mapInArrow(_found_rows(_shared_phrases(docs, lex)), fields).withColumnRenamed("key", key)
+    docs = settle(docs.select(key, text), "unmatched")
+    span = F.struct("start", "len", F.col("gram").alias("phrase"), "tag", "priority")
+    spans = _matches(docs, key, text, lex).groupBy(key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    rows = docs.join(spans, key).select(F.col(key).alias("key"), pieces(body).alias("own"), "spans")
+    return rows.mapInArrow(_placed_rows, fields).withColumnRenamed("key", key)
 
 
-def _matches(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
-    """Matches with a lexicon of any size: runs of pieces joined with the phrases, with a salt."""
+def _candidates(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
+    """Runs of pieces that may be phrases: those that the lexicon's Bloom filter lets through."""
     runs = _grams(F.lower(text_or_empty(F.col(text))), lex.lengths, lex.firsts)
     grams = docs.select(key, F.explode(runs).alias("g")).select(key, "g.*")
+    return grams.filter(_may_hold(lex.table, F.col("gram")))
+
+
+def _matches(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
+    """Matches with a lexicon of any size: candidate runs joined with the phrases, with a salt."""
+    grams = _candidates(docs, key, text, lex)
     salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     met = grams.withColumn("_salt", salt).join(lex.table.withColumn("_salt", copies), ["gram", "_salt"])
     return met.filter(_edges_hold())
 
 
+# A Bloom filter has at least BLOOM_BITS per phrase, a power of two, and never more than BLOOM_MOST (8 MB) in all:
+# beyond some 4 million phrases it lets more through, and loses nothing.
+BLOOM_BITS = 16
+BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 26
+BLOOM_HASHES = 4
+
+
+def _bits_of(value: Column, size: int) -> list[Column]:
+    """Places of a value in a filter of ``size`` bits, each from a hash of its own."""
+    return [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(size)) for i in range(BLOOM_HASHES)]
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def bloom_filter(table: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """One row with the words of a Bloom filter over a column, and its size in bits."""
+    n = max(1, table.count())
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_BITS * n - 1).bit_length()))
+    bit = table.select(F.explode(F.array(*_bits_of(F.col(column), size))).alias("bit"))
+    mask = _bit(F.col("bit"))
+    held = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("i")).agg(F.bit_or(mask).alias("mask"))
+    # all words, the empty ones too, so that a word is found by its place
+    words_ = table.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("i")).join(held, "i", "left")
+    ordered = words_.agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("w"))
+    return settle(ordered.select(F.col("w.mask").alias("words")), "bloom"), size
+
+
+def _may_hold(table: DataFrame, value: Column) -> Column:
+    """False only where a value is surely not in ``table.gram``; the filter comes as a scalar, read once per query."""
+    held, size = bloom_filter(table, "gram")
+    words_ = held.scalar()
+    tests = [F.get(words_, F.shiftright(bit, 6).cast("int")).bitwiseAND(_bit(bit)) != 0 for bit in _bits_of(value, size)]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``docs(key, text)`` with lexicon phrases replaced by their tags; ``key`` is unique.
 
@@ -141,7 +198,7 @@ def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
         return docs.select(key, body.alias(text))
     kind = docs.schema[key].dataType.simpleString()
     if lex.small:
-        rows = docs.select(F.col(key).alias("key"), pieces(body).alias("own"), pieces(F.lower(body)).alias("p"))
+        rows = docs.select(F.col(key).alias("key"), body.alias("own"), F.lower(body).alias("low"))
         out = rows.mapInArrow(_masked_rows(_shared_phrases(docs, lex)), f"key {kind}, body string")
     else:
         docs = settle(docs.select(key, text), "unmasked")
@@ -156,91 +213,152 @@ def mask_phrases(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
 
 
 def _shared_phrases(docs: DataFrame, lex: _Lexicon):
-    """A small lexicon for the tasks: phrases, and the lengths of those that begin with a piece."""
-    columns = ["gram", "tag", "priority", "word_first", "word_last", F.get(pieces(F.col("gram")), 0).alias("first"), F.size(pieces(F.col("gram"))).alias("n")]
-    phrases, lengths = {}, {}
-    for r in lex.table.select(*columns).collect():  # measured: at most BROADCAST_ROWS and BROADCAST_BYTES
-        phrases[r.gram] = (r.priority, r.n, r.tag, r.word_first, r.word_last)
-        lengths.setdefault(r["first"], set()).add(r.n)
-    return docs.sparkSession.sparkContext.broadcast((phrases, {k: sorted(v) for k, v in lengths.items()}))
-
-
-def _is_word(piece: str | None, seen: dict[str, bool]) -> bool:
-    """Whether a piece is a run of word characters, by the rules of the patterns that cut it."""
-    if not piece or piece.isspace():
-        return False
-    if len(piece) > 1:
-        return True
-    if piece not in seen:
-        code, kind = ord(piece), unicodedata.category(piece)
+    """A small lexicon for the tasks, as Arrow columns; measured: at most BROADCAST_ROWS and BROADCAST_BYTES."""
+    import pyarrow as pa
+
+    columns = ["gram", "tag", "priority", "word_first", "word_last", F.size(pieces(F.col("gram"))).cast("long").alias("n")]
+    sink = pa.BufferOutputStream()
+    held = lex.table.select(*columns).toArrow()
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    return docs.sparkSession.sparkContext.broadcast({"phrases": sink.getvalue().to_pybytes()})
+
+
+def automaton(shared: dict):
+    """The automaton of a shared lexicon, built once in a worker.
+
+    A phrase's value is what orders it (priority, pieces, tag, phrase), its length, and whether it begins and ends
+    with a word character.
+    """
+    import ahocorasick
+    import pyarrow as pa
+
+    if "built" not in shared:
+        built = ahocorasick.Automaton()
+        table = pa.ipc.open_stream(shared["phrases"]).read_all()
+        columns = [table[c].to_pylist() for c in ("gram", "priority", "n", "tag", "word_first", "word_last")]
+        for gram, priority, n, tag, first, last in zip(*columns, strict=True):
+            built.add_word(gram, ((priority, n, tag, gram), len(gram), first, last))
+        if len(built):
+            built.make_automaton()
+        shared["built"] = built if len(built) else None
+    return shared["built"]
+
+
+class _WordCharacters(dict):
+    """Whether a character is a word character, by the rules of the patterns that cut pieces; the empty text is none."""
+
+    def __missing__(self, c: str) -> bool:
+        code, kind = ord(c) if c else 0, unicodedata.category(c) if c else "Cc"
         circled = 0x24B6 <= code <= 0x24E9 or 0x1F130 <= code <= 0x1F149 or 0x1F150 <= code <= 0x1F169 or 0x1F170 <= code <= 0x1F189
-        seen[piece] = kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or code in (0x200C, 0x200D) or circled
-    return seen[piece]
+        self[c] = kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or code in (0x200C, 0x200D) or circled
+        return self[c]
+
+
+def _spans(low: str, found, word: _WordCharacters) -> list[tuple]:
+    """Phrases with word boundaries at both ends: (start, order, length)."""
+    out = []
+    for end, (order, size, first, last) in found.iter(low):
+        start = end + 1 - size
+        # a boundary lies between a word character and another, or none
+        if word[low[start - 1 : start]] != first and word[low[end + 1 : end + 2]] != last:
+            out.append((start, order, size))
+    out.sort()
+    return out
+
+
+def _places(own: str, low: str) -> list[int] | None:
+    """Where the characters of the lower-case text stand in the text, if their numbers differ."""
+    if len(own) == len(low):
+        return None
+    out: list[int] = []
+    for i, c in enumerate(own):
+        out += [i] * len(c.lower())
+    return [*out, len(own)]
 
 
-def _at_place(p: list[str], i: int, phrases: dict, lengths: dict, seen: dict[str, bool]) -> Iterator[tuple]:
-    """Phrases that stand at one place: (priority, length, tag, phrase)."""
-    for n in lengths.get(p[i], ()):
-        if i + n > len(p):
-            break
-        gram = p[i] if n == 1 else "".join(p[i : i + n])
-        found = phrases.get(gram)
-        if found is None:
-            continue
-        priority, _, tag, word_first, word_last = found
-        before, after = p[i - 1] if i else None, p[i + n] if i + n < len(p) else None
-        if (word_first or _is_word(before, seen)) and (word_last or _is_word(after, seen)):
-            yield priority, n, tag, gram
+def byte_slices(batch, column: str, size: int = 1 << 20) -> Iterator:
+    """Parts of a batch whose texts have about ``size`` bytes, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def _masked_rows(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        phrases, lengths = shared.value
-        seen: dict[str, bool] = {}
+        found, word = automaton(shared.value), _WordCharacters()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for own, p in zip(part.column("own").to_pylist(), part.column("p").to_pylist(), strict=True):
-                    stop = 0
-                    for i, piece in enumerate(p):
-                        if i < stop or piece not in lengths:
-                            continue
-                        best = min(_at_place(p, i, phrases, lengths, seen), default=None)
-                        if best:
-                            stop = i + best[1]
-                            own[i:stop] = [best[2]] + [""] * (len(own[i:stop]) - 1)
-                    out.append("".join(own))
+            for part in byte_slices(batch, "own"):
+                out = []
+                for own, low in zip(part.column("own").to_pylist(), part.column("low").to_pylist(), strict=True):
+                    spans = _spans(low, found, word) if found else ()
+                    at, kept, stop = _places(own, low) if spans else None, [], 0
+                    last = 0
+                    for start, order, size in spans:
+                        if start >= stop:
+                            stop = start + size
+                            a, b = (start, stop) if at is None else (at[start], at[stop])
+                            kept += [own[last:a], order[2]]
+                            last = b
+                    out.append("".join([*kept, own[last:]]) if kept else own)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "body"])
 
     return run
 
 
+def _found_table(part, row: list[int], out: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    columns = zip(*out, strict=True) if out else [()] * 5
+    arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+    keys = part.column("key").take(pa.array(row, pa.int64()))
+    return pa.RecordBatch.from_arrays([keys, *arrays], ["key", "start", "len", "phrase", "tag", "priority"])
+
+
 def _found_rows(shared):
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        phrases, lengths = shared.value
-        seen: dict[str, bool] = {}
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        found, word = automaton(shared.value), _WordCharacters()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, row, out = batch.slice(at, 256), [], []
-                for k, p in enumerate(part.column("p").to_pylist()):
-                    for i, piece in enumerate(p):
-                        if piece in lengths:
-                            for priority, n, tag, gram in _at_place(p, i, phrases, lengths, seen):
-                                row.append(k)
-                                out.append((i, n, gram, tag, priority))
-                columns = zip(*out, strict=True) if out else [()] * 5
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                keys = part.column("key").take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *arrays], ["key", "start", "len", "phrase", "tag", "priority"])
+            for part in byte_slices(batch, "own"):
+                row, out = [], []
+                texts = zip(part.column("own").to_pylist(), part.column("low").to_pylist(), strict=True)
+                for k, (own, low) in enumerate(texts):
+                    spans = _spans(low, found, word) if found else ()
+                    at = _places(own, low) if spans else None
+                    for start, (priority, _, tag, gram), size in spans:
+                        a, b = (start, start + size) if at is None else (at[start], at[start + size])
+                        row.append(k)
+                        out.append((a, b - a, gram, tag, priority))
+                yield _found_table(part, row, out)
 
     return run
 
 
+def _placed_rows(batches: Iterator) -> Iterator:
+    """Spans of pieces as spans of characters."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, row, out = batch.slice(at, 256), [], []
+            for k, (own, spans) in enumerate(zip(part.column("own").to_pylist(), part.column("spans").to_pylist(), strict=True)):
+                begin = [0]
+                for piece in own:
+                    begin.append(begin[-1] + len(piece))
+                for s in spans:
+                    first, stop = begin[s["start"]], begin[s["start"] + s["len"]]
+                    row.append(k)
+                    out.append((first, stop - first, s["phrase"], s["tag"], s["priority"]))
+            yield _found_table(part, row, out)
+
+
 def _spanned_rows(batches: Iterator) -> Iterator:
     """Texts with their sorted spans resolved: leftmost first, best priority first."""
     import pyarrow as pa

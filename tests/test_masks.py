@@ -39,6 +39,47 @@ def test_phrase_mask_is_the_alternation(spark, monkeypatch, limit):
     assert got == {i: by_regex(t, PHRASES, "[X]") for i, t in enumerate(TEXTS)}
 
 
+HARD = [*TEXTS, "İstanbul data İ engineer at", "ΣΑΣ data", "ｄata data\u0301 data", "the \U0001f642data data\U0001f642", "c++c++ c++", "data\u200dengineer data\u00a0engineer"]
+
+
+@pytest.mark.parametrize("firsts", [0, 2_000])
+def test_matches_are_the_same_by_automaton_and_by_join(spark, monkeypatch, firsts):
+    """Places and masks of a lexicon that fits a broadcast, and of the same one joined behind its Bloom filter."""
+    docs = spark.createDataFrame(list(enumerate(HARD)), "post_id int, t string").repartition(3)
+    lexicon = lexicons.ordered_lexicon(spark, [*PHRASES, "istanbul", "i̇ engineer", "σας"], "[X]")
+    run = lambda: (
+        sorted(map(tuple, masking.phrase_matches(docs, "post_id", "t", lexicon).collect())),
+        sorted(map(tuple, masking.mask_phrases(docs, "post_id", "t", lexicon).collect())),
+    )
+    small = run()
+    monkeypatch.setattr(masking, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(masking, "MAX_FIRSTS", firsts)
+    assert run() == small
+    texts = dict(enumerate(HARD))
+    assert all(texts[k][a : a + n].lower() == phrase for k, a, n, phrase, _, _ in small[0] if "\u0130" not in texts[k])
+    assert any(k == len(TEXTS) for k, *_ in small[0])
+
+
+def test_few_runs_are_shuffled(spark, monkeypatch):
+    """Runs that cannot be a phrase are dropped before the exchange: what is joined is little more than what matches."""
+    monkeypatch.setattr(masking, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(masking, "MAX_FIRSTS", 0)
+    texts = [" ".join(f"w{(i * 31 + j * 17) % 5000}" for j in range(200)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "post_id int, t string")
+    lex = masking._prepared(lexicons.ordered_lexicon(spark, [f"w{i} w{i + 17}" for i in range(0, 4900, 50)] + ["w3 w9 w1"], "[X]"))
+    sent, met = masking._candidates(docs, "post_id", "t", lex), masking._matches(docs, "post_id", "t", lex)
+    assert 100 < met.count() <= sent.count() <= 2 * met.count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("Generate") and "scalar-subquery" in plan.lower() or "subquery" in plan.lower()
+
+
+def test_filter_loses_nothing(spark):
+    values = spark.range(5000).selectExpr("concat('p', id) gram")
+    assert values.filter(masking._may_hold(values, F.col("gram"))).count() == 5000
+    others = spark.range(20000).selectExpr("concat('q', id) gram")
+    assert others.filter(masking._may_hold(values, F.col("gram"))).count() < 1000
+
+
 def test_mask_does_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)] + f" {i}") for i in range(60)], "post_id int, t string")
     lexicon = lexicons.ordered_lexicon(spark, PHRASES, "[X]")
