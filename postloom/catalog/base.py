@@ -463,7 +463,7 @@ def salted_lookup(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
     out = lookup_join(
         lines, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "inner",
-        ["l_orderkey", "l_linenumber"], salts=8, max_rows=1,
+        ["l_orderkey", "l_linenumber"], tasks=8, max_rows=1,
     )
     return out.select("l_orderkey", "l_linenumber", F.col("s_suppkey").alias("l_suppkey"), "s_name")
 

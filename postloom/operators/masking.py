@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import UNICODE, UNICODE_NOCASE, any_pattern, contains, let, text_or_empty, words
 from postloom.functions.text import sentence_case
-from postloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, lookup_join
+from postloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, spread_join
 from postloom.operators.lexicons import lexicon_of, trimmed, without_phrases
 from postloom.session import settle
 
@@ -137,12 +137,9 @@ def _candidates(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFram
 
 
 def _matches(docs: DataFrame, key: str, text: str, lex: _Lexicon) -> DataFrame:
-    """Matches with a lexicon of any size: candidate runs joined with the phrases, with a salt."""
-    grams = _candidates(docs, key, text, lex)
-    salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    met = grams.withColumn("_salt", salt).join(lex.table.withColumn("_salt", copies), ["gram", "_salt"])
-    return met.filter(_edges_hold())
+    """Matches with a lexicon of any size: candidate runs joined with the phrases, frequent ones spread."""
+    grams = settle(_candidates(docs, key, text, lex), "runs")
+    return spread_join(grams, lex.table, ["gram"], "inner", [key, "start"]).filter(_edges_hold())
 
 
 # A Bloom filter has at least BLOOM_BITS per phrase, a power of two, and never more than BLOOM_MOST (8 MB) in all:

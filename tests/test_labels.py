@@ -113,7 +113,7 @@ def test_salted_lookup_equals_plain_join(spark, how):
     right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
     for rows in (1, 1000):
-        out = joins.lookup_join(left, right, "k", how, ["row"], salts=4, max_rows=rows)
+        out = joins.lookup_join(left, right, "k", how, ["row"], tasks=4, max_rows=rows)
         assert sorted(map(tuple, out.collect()), key=str) == plain
 
 
@@ -123,7 +123,7 @@ def test_salt_spreads_a_hot_key(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = joins.lookup_join(left, right, "k", "left", ["id"], salts=16, max_rows=0, materialise=False)
+        out = joins.lookup_join(left, right, "k", "left", ["id"], tasks=16, max_rows=0, materialise=False)
         sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -233,3 +233,28 @@ def test_one_hot_of_any_number_of_categories(spark):
     places = {f"c{i}": out[i].indices.tolist() for i in range(1500)}
     assert places["c0"] == [] and sorted(sum(places.values(), [])) == list(range(1499))
     assert out[1507].indices.tolist() == places["c7"] and not len(out[3001].indices) and not len(out[3002].indices)
+
+
+def test_salts_follow_the_share_of_a_key(spark):
+    """A key with a third of the rows gets many salts, one with a thousandth none, and only the first is copied."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 1000 == 1, -2).otherwise(F.col("id")).alias("k"))
+    hot = {r._key: r._salts for r in joins.hot_keys(rows, ["k"], 60).collect()}
+    first, second = spark.sql("SELECT xxhash64(-1L), xxhash64(-2L)").first()
+    assert hot[first] == 20 and second not in hot and len(hot) == 1
+    right = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    out = joins.spread_join(rows, right, ["k"], "left", ["id"], tasks=60)
+    assert out.count() == 30_000 and out.filter("v is null or v <> k * 2").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_of_odd_keys(spark, how):
+    """Null keys, keys of another type on the other side, several keys, and columns named like the join's own."""
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3, "a" if i % 2 else None, i) for i in range(400)], "id int, k int, j string, n int")
+    right = spark.createDataFrame([(k, j, float(k)) for k in (0, 1, 5_000_000_000) for j in ("a", "b")], "k long, j string, v double")
+    want = sorted(map(tuple, left.join(right, ["k", "j"], how).select("id", "v").collect()), key=str)
+    for by in ([], ["id"]):
+        got = joins.spread_join(left, right, ["k", "j"], how, by, tasks=16)
+        assert sorted(map(tuple, got.select("id", "v").collect()), key=str) == want
+    assert joins.spread_join(left.limit(0), right, ["k", "j"], how).count() == 0
