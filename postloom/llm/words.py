@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -35,8 +36,16 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
+# Sums modulo 2 ** 64 meet for certain different sequences of 2 ** 10 values, whatever the step; shorter ones do not.
+LONG = 64
+
+
 class Rolling:
-    """Hashes of all ranges of a sequence of 64-bit values: sums of value times a power of an odd step, modulo 2**64."""
+    """Hashes of all ranges of a sequence of 64-bit values.
+
+    Ranges of up to ``LONG`` values are sums of value times a power of an odd step, modulo 2**64, spread afterwards.
+    Longer ones, for which such sums can be made to meet, are hashed by xxhash over their values, with a seed of the step.
+    """
 
     def __init__(self, step: np.uint64):
         self.step, self.back = step, np.uint64(_inverse(int(step)))
@@ -48,11 +57,16 @@ class Rolling:
             self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.step, np.uint64)]))
             self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.back, np.uint64)]))
 
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray | None = None) -> np.ndarray:
+        """``raw`` is a shorter form of the values for long ranges, such as the bytes they stand for."""
+        raw = np.ascontiguousarray(values if raw is None else raw)
         self._powers(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.up[: len(values)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        out = mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], int(self.step) & 0xFFFFFFFF)
+        return out
 
 
 class Hashes:
@@ -64,7 +78,7 @@ class Hashes:
         self.bytes_, self.words_ = Rolling(step), Rolling(mixed(np.array([step], np.uint64))[0] | np.uint64(1))
 
     def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.bytes_.ranges(self.table[data], starts, ends)
+        return self.bytes_.ranges(self.table[data], starts, ends, data)
 
     def windows(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of the ``k`` words from each word on, for as many starts as there are."""
