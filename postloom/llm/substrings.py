@@ -237,12 +237,14 @@ def repeated_spans(
     dealt = packed(cold.filter("differ and key = first")).repartition("mini").sortWithinPartitions("mini")
     spans = dealt.mapInArrow(_repeated(window), f"key {kind}, begin bigint, end bigint")
     if any_hot:
+        # one branch after another, so that not all their workers are alive at once
+        spans = settle(spans, "cold-spans")
         rows = settle(places.join(often, "mini"), "hot-super-k-mers")
         strings = settle(rows.groupBy("mini", "whole").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first")), "hot-strings")
         rows = settle(rows.join(strings, ["mini", "whole"]).drop("whole"), "hot-places")
         several = several.union(ranges(rows))
-        # not written out: all branches of the query read one exchange of the texts
         single = packed(rows.filter("key = first")).mapInArrow(_single_windows(window), f"key {kind}, begin bigint, one bigint, two bigint")
+        single = settle(single, "hot-windows")
         twice = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("one", "two")
         twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         single = single.withColumn("salt", F.pmod(F.xxhash64("key", "begin"), F.lit(SALTS)).cast("int"))
