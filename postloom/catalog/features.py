@@ -14,6 +14,7 @@ from postloom.operators.evaluate import performance
 from postloom.operators.features import assemble, balanced_weights, encode_text, one_hot, one_hot_vectors, prepare_features, standard_scale, vector_parts
 from postloom.operators.models import (
     Registry,
+    fit_boosted,
     fit_l1_logit,
     fit_plain_logit,
     random_baseline,
@@ -328,14 +329,56 @@ def model_grid_metrics(spark, d):
     """Both classifiers on two feature sets, saved, loaded again and evaluated on both splits."""
     registry = Registry(spark, scratch_path(spark, "models"))
     rows = _vectors(spark, d)
-    short = table(spark, d, "embeddings").select(F.col("vec_id").alias("post_id"), F.slice("embedding", 1, 8).alias("e"))
-    small = assemble(rows.drop("features").join(short, "post_id"), ["e"]).drop("e")
-    names = train_grid(
-        registry, {"vectors": rows, "short_vectors": small}, "class_offers", ["logit", "xgb"], xgb={"trees": 10}
-    )
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), (F.col("n_chars") / 1000.0).alias("size"))
+    entries = table(spark, d, "embeddings").select(F.col("vec_id").alias("post_id"), "embedding")
+    both = rows.drop("features").join(entries, "post_id").join(sizes, "post_id", "left")
+    mixed = assemble(both, ["embedding", "size"]).drop("embedding", "size")
+    names = train_grid(registry, {"vectors": rows, "mixed_vectors": mixed}, "class_offers", ["logit", "xgb"])
     return performance(score_table(registry, names, "post_id", "class_offers"))
 
 
+@BOOK.add(_scores_sql("SELECT 1.0::DOUBLE AS c, -1 AS fold", 400, 0.85).replace("SELECT id AS post_id", "SELECT 'vectors_logit' AS model, id AS post_id"))
+def saved_model_scores(spark, d):
+    """Scores of a model that was saved with its features, found by its name in the index, and loaded again."""
+    registry = Registry(spark, scratch_path(spark, "models"))
+    names = train_grid(registry, {"vectors": _vectors(spark, d)}, "class_offers", ["logit"])
+    out = score_table(registry, names, "post_id", "class_offers")
+    return out.select("model", "post_id", "split", "y", r("p", 4).alias("p"), "pred")
+
+
+_SOFT = "sign({0}) * greatest(abs({0}) - 0.1, 0)"
+_WORTH = "pow(greatest(abs({0}) - 0.1, 0), 2) / ({1} + 1)"
+
+
+def _cut_sql(name: str, rows: str, by: str) -> str:
+    """The best cut of every node of ``rows(node, x, g, h)``, as relation ``name(node, f, edge)``."""
+    return f"""{name}_e AS (SELECT {by} AS node, unnest(x[1:64]) AS v, unnest(range(64)) AS f, g, h FROM {rows}),
+ {name}_s AS (SELECT a.node, a.f, e.edge, sum(g) FILTER (v <= edge) AS gl, sum(h) FILTER (v <= edge) AS hl, sum(g) AS g, sum(h) AS h FROM {name}_e a JOIN edges e USING (f) GROUP BY ALL),
+ {name}_g AS (SELECT *, round(({_WORTH.format('gl', 'hl')} + {_WORTH.format('(g - gl)', '(h - hl)')} - {_WORTH.format('g', 'h')}) / 2, 10) AS gain FROM {name}_s WHERE hl >= 5 AND h - hl >= 5),
+ {name} AS (SELECT node, f, edge FROM {name}_g WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, edge) = 1)"""
+
+
+@BOOK.add(
+    f"""WITH {_vector_sql()}, r AS (SELECT t.id, x, w * (0.5 - y) AS g, w * 0.25 AS h, 1 AS node FROM t),
+ ee AS (SELECT unnest(x[1:64]) AS v, unnest(range(64)) AS f FROM r),
+ edges AS (SELECT DISTINCT f, unnest(q) AS edge FROM (SELECT f, quantile_disc(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM ee GROUP BY f)),
+ {_cut_sql("one", "r", "node")},
+ a AS (SELECT r.id, r.x, r.g, r.h, 2 + (x[one.f + 1] > one.edge)::INTEGER AS node FROM r, one),
+ {_cut_sql("two", "a", "node")},
+ b AS (SELECT a.*, CASE WHEN two.f IS NULL THEN a.node ELSE 2 * a.node + (a.x[two.f + 1] > two.edge)::INTEGER END AS leaf FROM a LEFT JOIN two USING (node)),
+ leaf AS (SELECT leaf, -0.5 * {_SOFT.format('sum(g)')} / (sum(h) + 1) AS value FROM b GROUP BY leaf),
+ placed AS (SELECT v.id, 2 + (v.x[one.f + 1] > one.edge)::INTEGER AS node, v.x FROM v, one),
+ q AS (SELECT s.id, CASE WHEN two.f IS NULL THEN s.node ELSE 2 * s.node + (s.x[two.f + 1] > two.edge)::INTEGER END AS leaf FROM placed s LEFT JOIN two USING (node))
+SELECT id AS post_id, round(value, 6) AS margin, (value > 0)::INTEGER AS pred FROM q JOIN leaf USING (leaf)"""
+)
+def boosted_leaves(spark, d):
+    """One tree of two levels on bins between eighths: the leaf of every vector."""
+    rows = _vectors(spark, d)
+    model = fit_boosted(rows.filter("train"), "class_offers", trees=1, depth=2, rate=0.5, rows=1.0, columns=1.0, bins=8)
+    out = score(model, rows, ["post_id"])
+    return out.select("post_id", r(F.log(F.col("p") / (1 - F.col("p")))).alias("margin"), "pred")
+
+
 @BOOK.add(
     """WITH b AS (SELECT doc_id, quality, lang = 'en' AS train FROM documents JOIN labels USING (doc_id)), p AS (SELECT avg(quality) AS r FROM b WHERE train)
        SELECT doc_id, quality, (('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < r)::INTEGER AS prediction FROM b, p"""

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import hash_unit, log_grid
+from postloom.operators.boosting import BoostedModel, Settings, fit_trees
 from postloom.operators.features import balanced_weights
 from postloom.operators.penalty import search
 from postloom.session import local_table
@@ -23,8 +24,10 @@ MAX_ITER = 5_000  # the fits stop before by their tolerance
 TOLERANCE = 1e-10
 
 
-def iterations(model: PipelineModel) -> int | None:
+def iterations(model: PipelineModel | BoostedModel) -> int | None:
     """Iterations a fit has used; None for trees and for models read back from disk."""
+    if isinstance(model, BoostedModel):
+        return None
     last = model.stages[-1]
     return last.summary.totalIterations if getattr(last, "hasSummary", False) else None
 
@@ -51,13 +54,9 @@ def fit_l1_logit(train: DataFrame, label: str, c: float = 1.0, max_iter: int = M
     return _as_pipeline(model.fit(_weighted(train, label)))
 
 
-def fit_boosted(train: DataFrame, label: str, trees: int = 100, seed: int = 42) -> PipelineModel:
-    """Balanced boosted trees of depth 4 with row and column subsampling."""
-    model = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="w", maxIter=trees, maxDepth=4, stepSize=0.01,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed,
-    )
-    return _as_pipeline(model.fit(_weighted(train, label)))
+def fit_boosted(train: DataFrame, label: str, trees: int = 100, seed: int = 42, key: str = "post_id", **settings) -> BoostedModel:
+    """Balanced boosted trees of depth 4 with row and column sampling, L1 and L2 on leaves and Hessian child weights."""
+    return fit_trees(train, label, key, Settings(trees=trees, seed=seed, **settings))
 
 
 def _weighted(train: DataFrame, label: str) -> DataFrame:
@@ -95,8 +94,14 @@ def random_baseline(df: DataFrame, key: str, label: str, train: str = "train", s
     return df.withColumn("prediction", (hash_unit(F.lit(seed), F.col(key)) < rate).cast("int"))
 
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Positive-class probability and prediction for new rows, batch or streaming."""
+def score(model: PipelineModel | BoostedModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Positive-class probability and prediction for new rows; those of linear models may be a stream."""
+    if isinstance(model, BoostedModel):
+        names = [f"_{i}" for i in range(len(keep))]
+        named = df.select(*[(F.col(k) if isinstance(k, str) else k) for k in keep])
+        kept = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keep, names, strict=True)], "features")
+        out = model.scores(kept, names)
+        return out.select(*[F.col(n).alias(k) for n, k in zip(names, named.columns, strict=True)], "p", "pred")
     out = model.transform(df)
     return out.select(*keep, vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("pred"))
 
@@ -125,20 +130,26 @@ class Registry:
     def features(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._at("features", name))
 
-    def save_model(self, name: str, feature_set: str, model: PipelineModel) -> None:
-        model.write().overwrite().save(self._at("models", name))
-        entry = local_table(self.spark, [(name, feature_set)], "model string, feature_set string")
+    def save_model(self, name: str, feature_set: str, model: PipelineModel | BoostedModel) -> None:
+        if isinstance(model, BoostedModel):
+            model.save(self.spark, self._at("models", name))
+        else:
+            model.write().overwrite().save(self._at("models", name))
+        kind = "trees" if isinstance(model, BoostedModel) else "pipeline"
+        entry = local_table(self.spark, [(name, feature_set, kind)], "model string, feature_set string, kind string")
         entry.write.mode("overwrite").parquet(self._at("index", f"model={name}"))
 
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("index")).select("model", "feature_set")
+        return self.spark.read.parquet(self._at("index")).select("model", "feature_set", "kind")
 
-    def load(self, name: str) -> tuple[PipelineModel, DataFrame]:
+    def load(self, name: str) -> tuple[PipelineModel | BoostedModel, DataFrame]:
         """The model and the features it was trained on."""
         found = self.index().filter(F.col("model") == name).first()
         if found is None:
             raise KeyError(name)
-        return PipelineModel.load(self._at("models", name)), self.features(found.feature_set)
+        path = self._at("models", name)
+        model = BoostedModel.load(self.spark, path) if found.kind == "trees" else PipelineModel.load(path)
+        return model, self.features(found.feature_set)
 
 
 def train_grid(
