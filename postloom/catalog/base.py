@@ -532,10 +532,10 @@ def lexicon_priority(spark, d):
 
 
 @BOOK.add(
-    """SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS enc1, round(embedding[2]::DOUBLE, 6) AS enc2, round(embedding[3]::DOUBLE, 6) AS enc3,
+    f"""SELECT vec_id, {", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS enc{i}" for i in range(1, 65))},
        round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self_product FROM embeddings"""
 )
 def vector_entries(spark, d):
     rows = table(spark, d, "embeddings")
-    out = rows.select("vec_id", *vector_columns(F.col("embedding"), 3), dot(F.col("embedding"), F.col("embedding")).alias("self_product"))
+    out = rows.select("vec_id", *vector_columns(F.col("embedding"), 64), dot(F.col("embedding"), F.col("embedding")).alias("self_product"))
     return out.select("vec_id", *[r(F.col(c).cast("double")).alias(c) for c in out.columns[1:]])

@@ -285,14 +285,27 @@ def table_checks(spark, d):
     )
 
 
-_names = """num_views_range num_likes_range num_comments_range num_offers_range class_views_range class_likes_agrees
-class_comments_agrees class_offers_agrees request_is_both one_split requests_are_split""".split()
-_checks = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0::BIGINT AS n_bad" for c in _names)
+# Rows of the labelled table that are broken on purpose, by the remainder of their number.
+_BROKEN = {"num_views": 11, "class_offers": 13, "train": 17, "referral_request": 19}
 
 
-@BOOK.add(f"SELECT * FROM ({_checks}) t WHERE (SELECT count(*) FROM documents) > 0")
+def _some(name: str):
+    return F.col("post_id") % _BROKEN[name] == 0
+
+
+_SOME = {name: f"doc_id % {by} = 0" for name, by in _BROKEN.items()}
+
+
+@BOOK.add(
+    f"""WITH d AS (SELECT doc_id, n_chars, coalesce(regexp_matches(text, '(?i)e') AND regexp_matches(text, '(?i)a'), false) AS both_ FROM documents),
+       n AS (SELECT count(*) FILTER ({_SOME["num_views"]}) AS views, count(*) FILTER ({_SOME["class_offers"]}) AS offers,
+         count(*) FILTER ({_SOME["referral_request"]}) AS request, count(*) FILTER ({_SOME["train"]}) AS split,
+         count(*) FILTER ((both_ OR {_SOME["train"]}) <> (both_ <> ({_SOME["referral_request"]}))) AS requests FROM d)
+       SELECT unnest(['num_views_range', 'num_likes_range', 'num_comments_range', 'num_offers_range', 'class_views_range', 'class_likes_agrees', 'class_comments_agrees',
+         'class_offers_agrees', 'request_is_both', 'one_split', 'requests_are_split']) AS "check", unnest([views, 0, 0, 0, 0, 0, 0, offers, request, split, requests]) AS n_bad FROM n"""
+)
 def label_invariants(spark, d):
-    """The checks of the labelled table on the documents; none may be broken."""
+    """The checks of the labelled table on the documents: the rows broken on purpose are found, and no others."""
     from postloom.functions.columns import contains
 
     posts = table(spark, d, "documents").select(
@@ -302,7 +315,17 @@ def label_invariants(spark, d):
         contains(F.col("text"), "e").alias("is_referral"), contains(F.col("text"), "a").alias("is_request"),
     ).withColumn("referral_request", F.col("is_referral") & F.col("is_request"))
     counted = add_offer_counts(posts, flag_offers(comments_table(spark, d), **CUES))
-    return violations(mark_train_test(class_labels(counted, source=posts)), label_checks())
+    labelled = mark_train_test(class_labels(counted, source=posts))
+    broken = labelled.withColumns(
+        {
+            "num_views": F.when(_some("num_views"), F.lit(-1)).otherwise(F.col("num_views")),
+            "class_offers": F.when(_some("class_offers"), 1 - F.col("class_offers")).otherwise(F.col("class_offers")),
+            "train": F.col("train") | _some("train"),
+            "test": F.col("test") | _some("train"),
+            "referral_request": F.col("referral_request") != _some("referral_request"),
+        }
+    )
+    return violations(broken, label_checks())
 
 
 @BOOK.add(

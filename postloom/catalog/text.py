@@ -23,12 +23,15 @@ from postloom.functions.columns import (
     capitalised,
     contains,
     floor_to,
+    SPELT,
     log_grid,
     without_accents,
 )
 from postloom.functions.dates import day_name, day_text, relative_date, week_start
 from postloom.functions.rules import literature_flags, platform_flags
 from postloom.functions.text import (
+    CONTENT_MARK,
+    TITLE_MARK,
     collapse_spaces,
     combined_text,
     hashtag_count,
@@ -42,6 +45,7 @@ from postloom.functions.vectors import l2_norm, positive_probability, predicted,
 from postloom.operators.describe import flag_shares
 from postloom.operators.linguistic import semantic_features, unknown_words
 from postloom.session import spread
+from postloom.sources.pages import attach_text
 
 BOOK = Book()
 
@@ -87,9 +91,14 @@ def string_columns(spark, d):
     )
 
 
-@BOOK.add("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents WHERE lang <> 'de'")
+_spelt = "strip_accents(text)"
+for _letter, _plain in {**SPELT, "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ı": "i"}.items():
+    _spelt = f"replace({_spelt}, '{_letter}', '{_plain}')"
+
+
+@BOOK.add(f"SELECT doc_id, md5({_spelt}) AS folded FROM documents")
 def folded_accents(spark, d):
-    docs = spread(table(spark, d, "documents")).filter(F.col("lang") != "de")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(without_accents(F.col("text"))).alias("folded"))
 
 
@@ -97,14 +106,19 @@ _TAG_SOURCE = rf"regexp_replace({ASCII.format('text')}, '\b(of|de|la|the)\b', '#
 _EDGE = "' ' || chr(10) || chr(9) || '.,!?-:;'"
 
 
-@BOOK.add(
-    f"""WITH a AS (SELECT conv_id, turn, {_TAG_SOURCE} AS tagged FROM conversations),
-        b AS (SELECT conv_id, turn, tagged, replace(replace(trim(tagged, {_EDGE}), chr(10), ' ' || chr(10) || ' '), '  ', ' ') AS s FROM a),
-        c AS (SELECT conv_id, turn, tagged, string_split(replace(replace(s, '#', ' #'), '  ', ' '), ' ') AS raw FROM b),
-        e AS (SELECT conv_id, turn, tagged, list_transform(raw, lambda t: CASE WHEN starts_with(t, '#') THEN trim(t, {_EDGE}) ELSE t END) AS tok FROM c),
+def _split_sql(keys: str) -> str:
+    """From ``a(keys, tagged)`` to ``g``: tokens, and how many of them are content."""
+    return f"""b AS (SELECT {keys}, tagged, replace(replace(trim(tagged, {_EDGE}), chr(10), ' ' || chr(10) || ' '), '  ', ' ') AS s FROM a),
+        c AS (SELECT {keys}, tagged, string_split(replace(replace(s, '#', ' #'), '  ', ' '), ' ') AS raw FROM b),
+        e AS (SELECT {keys}, tagged, list_transform(raw, lambda t: CASE WHEN starts_with(t, '#') THEN trim(t, {_EDGE}) ELSE t END) AS tok FROM c),
         f AS (SELECT *, list_transform(tok, lambda t: starts_with(trim(t, {_EDGE}), '#')) AS tag FROM e),
         g AS (SELECT *, coalesce(list_max(list_filter(range(1, len(tok) + 1), lambda i: NOT tag[i] AND NOT
-              (i > 1 AND coalesce(tag[i - 1], false) AND coalesce(tag[i + 1], false)))), 0) AS n FROM f)
+              (i > 1 AND coalesce(tag[i - 1], false) AND coalesce(tag[i + 1], false)))), 0) AS n FROM f)"""
+
+
+@BOOK.add(
+    f"""WITH a AS (SELECT conv_id, turn, {_TAG_SOURCE} AS tagged FROM conversations),
+        {_split_sql('conv_id, turn')}
         SELECT conv_id, turn, len(regexp_extract_all(tagged, '#[A-Za-z0-9_]+'))::INTEGER AS n_tags,
           md5(replace(replace(replace(array_to_string(tok[1:n], ' '), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10)), '#', '')) AS content,
           trim(replace(replace(array_to_string(tok[n + 1:], ' '), chr(10), ''), '  ', ' '), ' ') AS hashtags FROM g"""
@@ -116,6 +130,27 @@ def hashtag_split(spark, d):
     return out.select("conv_id", "turn", "n_tags", F.md5("s.content").alias("content"), F.col("s.hashtags").alias("hashtags"))
 
 
+_JOINED_TAGS = rf"regexp_replace({ASCII.format('full_text')}, '\b(of|de|la|the)\b', '#\1', 'g')"
+
+
+@BOOK.add(
+    f"""WITH o AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 60) ELSE text END AS full_text FROM documents),
+        a AS (SELECT doc_id, source, {_JOINED_TAGS} AS tagged FROM o),
+        {_split_sql('doc_id, source')},
+        h AS (SELECT doc_id, source, replace(replace(replace(array_to_string(tok[1:n], ' '), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10)), '#', '') AS content,
+          trim(replace(replace(array_to_string(tok[n + 1:], ' '), chr(10), ''), '  ', ' '), ' ') AS hashtags FROM g)
+        SELECT doc_id, hashtags, md5('{TITLE_MARK}' || chr(10) || chr(10) || coalesce(source, '') || chr(10) || chr(10) || chr(10) || '{CONTENT_MARK}' || chr(10) || chr(10) || content) AS combined FROM h"""
+)
+def attached_texts(spark, d):
+    """Full texts joined to their posts; every seventh is missing and comes from the preview of the same post."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    tagged = lambda c: F.regexp_replace(ascii_text(c), r"\b(of|de|la|the)\b", "#$1")
+    posts = docs.select("doc_id", F.col("source").alias("title"), tagged(F.substring("text", 1, 60)).alias("post_preview"))
+    full = docs.select("doc_id", F.when(F.col("doc_id") % 7 != 0, tagged(F.col("text"))).alias("full_text"))
+    out = attach_text(posts, full, key="doc_id")
+    return out.select("doc_id", "hashtags", F.md5("combined").alias("combined"))
+
+
 _REF = dt.date(2024, 2, 1)
 
 
@@ -150,21 +185,21 @@ def calendar_columns(spark, d):
     )
 
 
-_grid = ", ".join(repr(c) for c in log_grid(0.0001, 20.0, 5))
+_grid = ", ".join(repr(c) for c in log_grid(*fixed.C_GRID))
 
 
 @BOOK.add(
     f"""SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_discount / 3, 3)::DOUBLE AS third, round(floor(l_tax / 0.05) * 0.05, 6) AS floored,
         round(1 / (1 + exp(-(l_quantity - 25) / 10)), 6) AS p, (1 / (1 + exp(-(l_quantity - 25) / 10)) >= 0.5)::INTEGER AS pred,
-        round(([{_grid}])[1 + (l_linenumber % 5)], 9) AS c FROM lineitem"""
+        round(([{_grid}])[1 + (l_partkey % 500)], 9) AS c FROM lineitem"""
 )
 def numeric_columns(spark, d):
     p = positive_probability((F.col("l_quantity") - 25) / 10)
-    grid = F.array(*[F.lit(c) for c in log_grid(0.0001, 20.0, 5)])
+    grid = F.array(*[F.lit(c) for c in log_grid(*fixed.C_GRID)])
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.bround(F.col("l_discount") / 3, 3).alias("third"),
         r(floor_to(F.col("l_tax"), 0.05)).alias("floored"), r(p).alias("p"), predicted(p).alias("pred"),
-        F.round(F.get(grid, F.col("l_linenumber") % 5), 9).alias("c"),
+        F.round(F.get(grid, (F.col("l_partkey") % 500).cast("int")), 9).alias("c"),
     )
 
 

@@ -65,14 +65,20 @@ def remove_prefix_marker(name: Column, marker: str = "ex-") -> Column:
 
 
 def without_accents(text: Column) -> Column:
-    """Fold Latin letters with diacritics to their base letters."""
-    return F.translate(text, ACCENTED, PLAIN)
+    """Fold Latin letters with diacritics to their base letters, and letters without a base letter to their usual spelling."""
+    out = F.translate(text, ACCENTED, PLAIN)
+    for letter, spelt in SPELT.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelt))
+    return out
 
 
 # Latin letters with diacritics and their base letters.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÇçÑñÝýÿŠšŽžĆćČčŁłŃńŚśŹźŻżĄąĘęĀāĒēĪīŌōŪūĞğİıŞş"
 PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuCcNnYyySsZzCcCcLlNnSsZzZzAaEeAaEeIiOoUuGgIiSs"
 
+# Latin letters without a base letter, as they are spelt.
+SPELT = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th"}
+
 
 def hash_unit(*key: Column) -> Column:
     """A uniform number in [0, 1) that depends only on the key, not on the partitioning."""

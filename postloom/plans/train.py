@@ -50,17 +50,23 @@ def mixed_features(requests: DataFrame, embeddings: DataFrame) -> DataFrame:
     return assemble(table, columns).select("post_id", *KEEP, "features")
 
 
-def feature_sets(basic: DataFrame, masked: DataFrame, linguistic: DataFrame, encoder: Encoder | None = None) -> dict[str, DataFrame]:
-    """All feature sets of the requests, by name."""
+def feature_sets(
+    basic: DataFrame, masked: DataFrame, linguistic: DataFrame, encoder: Encoder | dict[str, Encoder | DataFrame | None] | None = None
+) -> dict[str, DataFrame]:
+    """All feature sets of the requests, by name.
+
+    ``encoder`` may name several encoders (a base one, and those tuned on soft and hard pairs), or tables of vectors
+    made elsewhere; each gives a set of its vectors alone and a set mixed with other columns.
+    """
     requests = basic.filter("referral_request")
     texts = masked.join(requests.select("post_id"), "post_id", "left_semi")
-    embeddings = settle(encode_text(texts, "post_id", "combined_mask", encoder), "embeddings")
-    return {
-        "domain_full": domain_features(requests, linguistic),
-        "ngram": ngram_features(requests, masked)[0],
-        "bert_sent_base": embedding_features(requests, embeddings),
-        "bertmix_sent_base": mixed_features(requests, embeddings),
-    }
+    out = {"domain_full": domain_features(requests, linguistic), "ngram": ngram_features(requests, masked)[0]}
+    for name, made in (encoder if isinstance(encoder, dict) else {"base": encoder}).items():
+        vectors = made if isinstance(made, DataFrame) else encode_text(texts, "post_id", "combined_mask", made)
+        vectors = settle(vectors.select("post_id", "embedding"), "embeddings")
+        out[f"bert_sent_{name}"] = embedding_features(requests, vectors)
+        out[f"bertmix_sent_{name}"] = mixed_features(requests, vectors)
+    return out
 
 
 def train(registry: Registry, sets: dict[str, DataFrame], classifiers: Sequence[str] = ("logit", "xgb"), **options) -> DataFrame:
