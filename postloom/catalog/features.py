@@ -388,11 +388,33 @@ def random_baseline_rows(spark, d):
     return random_baseline(rows, "doc_id", "quality").select("doc_id", "quality", "prediction")
 
 
-@BOOK.add()
+# Features with little variance are left out; a few entries of the vectors are below this.
+_LEAST_VARIANCE = 0.0145
+
+
+@BOOK.add(
+    f"""WITH RECURSIVE {_vector_sql()}, {_descent_sql("SELECT NULL::DOUBLE AS c, -1 AS fold", 1500, 0.93)},
+ vars AS (SELECT j, var_pop(v) AS var FROM e GROUP BY j),
+ used AS (SELECT j, row_number() OVER (ORDER BY j) AS place FROM (SELECT j FROM vars WHERE var > {_LEAST_VARIANCE} UNION ALL SELECT 64)),
+ q AS (SELECT id, x, w / (1 + exp(-list_dot_product(x, b))) * (1 - 1 / (1 + exp(-list_dot_product(x, b)))) AS v FROM t, fit),
+ u AS (SELECT id, v, unnest(x) AS xv, unnest(range(65)) AS j FROM q),
+ cells AS (SELECT a.place AS i, c.place AS k, s FROM (SELECT l.j AS j1, r.j AS j2, sum(l.v * l.xv * r.xv) AS s FROM u l JOIN u r USING (id) GROUP BY ALL) JOIN used a ON a.j = j1 JOIN used c ON c.j = j2),
+ lines AS (SELECT i, list(s ORDER BY k) AS line FROM cells GROUP BY i),
+ m AS (SELECT count(*) AS m FROM lines),
+ wide AS (SELECT list(list_concat(line, list_transform(range(1, m + 1), lambda k: (k = i)::INTEGER::DOUBLE)) ORDER BY i) AS rows FROM lines, m),
+ solve AS (SELECT 1 AS step, rows FROM wide UNION ALL
+   SELECT step + 1, list_transform(rows, lambda row, i: CASE WHEN i = step THEN list_transform(row, lambda z: z / rows[step][step])
+     ELSE list_transform(list_zip(row, rows[step]), lambda z: z[1] - row[step] / rows[step][step] * z[2]) END) FROM solve, m WHERE step <= m),
+ errors AS (SELECT used.j, b[used.j + 1] AS coef, sqrt(rows[place][m + place]) AS error FROM solve, m, used, fit WHERE step = m + 1 AND used.j < 64),
+ z AS (SELECT *, abs(coef / error) / sqrt(2) AS z FROM errors),
+ pv AS (SELECT *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(80), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln(z) - lgamma(n + 1)) / (2 * n + 1))) AS pval FROM z)
+SELECT 'enc' || (j + 1) AS names, round(coef, 3) AS coefs, round(error, 4) AS sterr, pval < 0.05 AS statsig, round(pval, 4) AS pvals FROM pv"""
+)
 def wald_coefficients(spark, d):
     rows = balanced_weights(_vectors(spark, d).filter("train"), "class_offers").cache()
     model = fit_plain_logit(rows.drop("w"), "class_offers")
-    return wald_table(rows, model, [f"enc{i + 1}" for i in range(64)])
+    out = wald_table(rows, model, [f"enc{i + 1}" for i in range(64)], var_thresh=_LEAST_VARIANCE)
+    return out.select("names", r("coefs", 3).alias("coefs"), r("sterr", 4).alias("sterr"), "statsig", r("pvals", 4).alias("pvals"))
 
 
 @BOOK.add()

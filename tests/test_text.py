@@ -108,6 +108,7 @@ def test_ratios_and_counts(spark):
 
 def test_small_columns(spark):
     assert one(spark, "São Tomé", columns.without_accents) == "Sao Tome"
+    assert one(spark, "Straße Æsir œuvre Đà Þór ð", columns.without_accents) == "Strasse AEsir oeuvre Da Thor d"
     assert one(spark, "hELLO wORLD", columns.capitalised) == "Hello world"
     assert one(spark, "ex-Meta", columns.remove_prefix_marker) == "Meta"
     assert [one(spark, v, lambda c: columns.cap(c, 6), "int") for v in (9, 3, None)] == [6, 3, None]
