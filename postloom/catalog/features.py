@@ -10,7 +10,7 @@ from postloom.functions import fixed_values as fixed
 from postloom.functions.columns import log_grid
 from postloom.functions.vectors import l2_norm
 from postloom.operators.coefficients import first_and_last, nonzero_coefficients, wald_table
-from postloom.operators.evaluate import performance
+from postloom.operators.evaluate import auroc, performance
 from postloom.operators.features import assemble, balanced_weights, encode_text, one_hot, one_hot_vectors, prepare_features, standard_scale, vector_parts
 from postloom.operators.models import (
     Registry,
@@ -22,7 +22,7 @@ from postloom.operators.models import (
     score_table,
     train_grid,
 )
-from postloom.operators.penalty import TOLERANCE, search
+from postloom.operators.penalty import TOLERANCE, held_out_scores, search
 from postloom.operators.similarity import most_similar
 from postloom.operators.tfidf import fit_vocabulary, term_counts, tfidf_vectors, tfidf_weights
 from postloom.session import scratch_path, settle, spread
@@ -299,7 +299,7 @@ def penalty_search(spark, d):
 
 @BOOK.add(
     f"""WITH RECURSIVE {_vector_sql()}, {_descent_sql("SELECT c, fold::INTEGER AS fold FROM (SELECT unnest([0.4, 0.8]::DOUBLE[]) AS c), range(5) AS f(fold)", 240, 0.8)},
- s AS (SELECT c, fit.fold, y, list_dot_product(x, b) AS z FROM fit JOIN t ON t.fold = fit.fold),
+ s AS (SELECT c, fit.fold, y, round(list_dot_product(x, b), 9) AS z FROM fit JOIN t ON t.fold = fit.fold),
  a AS (SELECT p.c, p.fold, avg((p.z > q.z)::INTEGER + (p.z = q.z)::INTEGER / 2) AS auroc FROM s p JOIN s q ON p.c = q.c AND p.fold = q.fold AND p.y = 1 AND q.y = 0 GROUP BY 1, 2),
  l AS (SELECT c, fold, sum(w * (ln(1 + exp(list_dot_product(x, b))) - y * list_dot_product(x, b))) AS loss FROM (SELECT fit.c, fit.fold, b, w, x, y FROM fit JOIN t ON t.fold <> fit.fold) GROUP BY 1, 2)
 SELECT c, fold, len(list_filter(list_slice(b, 1, -2), lambda v: v <> 0))::INTEGER AS n_features, round(auroc, 6) AS auroc,
@@ -319,7 +319,9 @@ def penalty_scores(spark, d):
     z = met.groupBy("c", "fold", "key", "y", "w").agg(F.sum(F.col("x") * F.col("coef")).alias("z"))
     loss = z.groupBy("c", "fold").agg(F.sum(F.col("w") * (F.log1p(F.exp("z")) - F.col("y") * F.col("z"))).alias("loss"))
     norm = coefs.groupBy("c", "fold").agg(F.sum(F.when(F.col("idx") >= 0, F.abs("coef")).otherwise(0.0)).alias("norm"))
-    out = facts.join(loss, ["c", "fold"]).join(norm, ["c", "fold"])
+    # exact scores of both values; the search takes exactly only those that can be the largest
+    exact = auroc(held_out_scores(found, coefs, 5), ["c", "fold"], "y", "z").withColumnRenamed("roc_auc", "auroc")
+    out = facts.drop("auroc").join(exact, ["c", "fold"]).join(loss, ["c", "fold"]).join(norm, ["c", "fold"])
     objective = F.col("norm") + F.col("c") * F.col("loss")
     return out.select("c", "fold", "n_features", r("auroc").alias("auroc"), r(objective, 4).alias("objective"), (F.col("c") == F.lit(best)).alias("chosen"))
 
