@@ -351,9 +351,10 @@ def stratified_fold_rows(spark, d):
 
 @BOOK.add(f"WITH {COMMENTS} SELECT post_id, comment_id, {CUE_FLAG} AS referral_offer FROM comments")
 def streamed_offer_flags(spark, d):
-    """The offer flags on a stream over the conversations file."""
+    """The offer flags on a stream over the conversations table."""
     schema = table(spark, d, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    # a pattern, as a stream takes no path of a single file; the table may be a file or a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
     comments = stream.select(
         F.col("conv_id").alias("post_id"), F.concat_ws("-", "conv_id", "turn").alias("comment_id"),
         ascii_text(F.col("text")).alias("text"),

@@ -152,6 +152,21 @@ def test_request_flags_on_a_stream(spark, tmp_path):
     assert out == {"a": True, "b": False}
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_table_is_a_file_or_a_folder(spark, sf, tmp_path, files):
+    """A table of one file and one of several give the same flags."""
+    import shutil
+
+    from __spark_entry__ import queries
+
+    if files:
+        tables.read_table(spark, sf, "conversations").repartition(files).write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        shutil.copy(f"{sf}/conversations.parquet", tmp_path / "conversations.parquet")
+    out = queries()["streamed_offer_flags"](spark, str(tmp_path))
+    assert out.count() == out.select("comment_id").distinct().count() == tables.read_table(spark, sf, "conversations").count()
+
+
 def test_flags_are_one_projection(spark, sf):
     """No shuffle and no Python for the flags; only needed columns are read."""
     turns = tables.read_table(spark, sf, "conversations")
