@@ -68,6 +68,13 @@ def split_hashtags(text: Column) -> Column:
     return let(tokens, parts)
 
 
+def capital(c: Column) -> Column:
+    """One character as one capital; a ligature that only upper-cases to several letters stays as it is."""
+    upper, title = F.upper(c), F.initcap(c)
+    single = lambda x: F.length(x) <= 1
+    return F.when(c == "ß", "ẞ").when(single(upper), upper).when(single(title), title).otherwise(c)
+
+
 def sentence_case(text: Column) -> Column:
     """Lower-case the text, then give every sentence a capital.
 
@@ -81,7 +88,7 @@ def sentence_case(text: Column) -> Column:
     def shaped(s: Column) -> Column:
         lead = F.regexp_extract(s, r"^(?U)\s*", 0)
         start = F.length(lead) + 1
-        first = F.upper(s.substr(start, F.lit(1)))
+        first = let(s.substr(start, F.lit(1)), capital)
         rest = s.substr(start + 1, F.length(s))
         return F.when(s.rlike(r"\[(?:title|content)\]"), F.upper(s)).otherwise(F.trim(F.concat(lead, first, rest)))
 

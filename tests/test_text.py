@@ -119,3 +119,9 @@ def test_small_columns(spark):
 def test_java_line_ends_follow_the_rules(spark):
     assert one(spark, "please dm\n", lambda c: columns.contains(c, r"dm$"))
     assert not one(spark, "please dm\r", lambda c: columns.contains(c, r"dm$"))
+
+
+@pytest.mark.parametrize("said, cased", [("ßen da. ßo\nça va", "ẞen da. ẞo\nÇa va"), ("ﬁn. ŉa. ǆ. ᾳ", "ﬁn. ŉa. Ǆ. ᾼ"), ("[title] aß", "[TITLE] Aß"), ("", "")])
+def test_a_sentence_gets_one_capital(spark, said, cased):
+    """Letters that upper-case to several letters, such as ß, give one capital or stay."""
+    assert one(spark, said, text.sentence_case) == cased
