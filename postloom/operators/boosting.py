@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from postloom.operators.features import balanced_weights, vector_parts
 from postloom.operators.penalty import Table, sigmoid
+from postloom.operators.selection import value_ranks
 from postloom.session import local_table, settle
 
 BINS = 64
 KEEP_TREES = 10
 ROWS = 2048
 LEAST_GAIN = 1e-6
-ACCURACY = 10_000
 # entries that one task may hold to grow all trees in one job
 SMALL = 4_000_000
 ROW_FIELDS = "h bigint, y int, w double, margin double, indices array<int>, bins array<smallint>"
@@ -84,17 +84,19 @@ def drawn_columns(width: int, tree: int, seed: int, share: float) -> np.ndarray:
 
 
 def quantile_edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
-    """Sorted different edges of every feature: quantiles of its entries, and zero where entries are absent."""
+    """Sorted different edges of every feature: exact quantiles of its entries, and zero where entries are absent."""
     places = F.when(F.col("features.type") == 1, F.sequence(F.lit(0), F.size("features.values") - 1)).otherwise(F.col("features.indices"))
     entry = F.explode(F.arrays_zip(places.alias("i"), F.col("features.values").alias("v"))).alias("e")
-    entries = rows.filter(F.size("features.values") > 0).select(entry).select("e.i", "e.v")
-    grid = [k / bins for k in range(1, bins)]
-    found = entries.groupBy("i").agg(F.percentile_approx("v", grid, ACCURACY).alias("edges"), F.count(F.lit(1)).alias("n"))
+    entries = rows.filter(F.size("features.values") > 0).select(entry).select(F.col("e.i").alias("g"), F.col("e.v").alias("v"))
+    sizes = settle(entries.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.isnan("v")).alias("inside")), "feature-sizes")
+    wanted = sizes.filter("inside > 0").select("g", "inside", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("k"))
+    wanted = wanted.select("g", "inside", F.expr(f"(k * inside + {bins - 1}) div {bins} - 1").alias("rank")).distinct()
+    found = value_ranks(entries.filter(~F.isnan("v")), wanted).groupBy("g").agg(F.collect_set("value").alias("edges"))
     n = rows.count()
     out = [np.zeros(1)] * width
-    for r in found.toLocalIterator():
-        edges = np.unique(np.array(r.edges, float))
-        out[r.i] = np.unique(np.append(edges, 0.0)) if r.n < n else edges
+    for r in sizes.join(found, "g", "left").toLocalIterator():
+        edges = np.unique(np.array(r.edges or [], float))
+        out[r.g] = np.unique(np.append(edges, 0.0)) if r.n < n else edges
     return out
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import SparseVector, Vectors
+from pyspark.sql import functions as F
 
 from postloom.operators import boosting as b
 from postloom.operators.models import Registry, fit_boosted, score
@@ -127,3 +128,19 @@ def test_samples_have_their_share():
     taken = [b.drawn(h, t, 42, 0.8) for t in range(2)]
     assert all(abs(t.mean() - 0.8) < 0.02 for t in taken) and (taken[0] != taken[1]).any()
     assert b.drawn_columns(10, 1, 42, 0.8).sum() == 8 and b.drawn_columns(1, 1, 42, 0.5).sum() == 1
+
+
+def test_edges_are_exact_quantiles(spark):
+    """Bins of a table beyond the accuracy of a sketch, with a feature that is absent in places."""
+    n, bins = 40_000, 8
+    rows = spark.range(n, numPartitions=8).select(
+        F.expr("pmod(xxhash64(id), 1000003) / 1000d").alias("a"), F.expr("case when id % 3 > 0 then pmod(xxhash64(id, 7), 50021) / 100d end").alias("b")
+    )
+    parts = rows.selectExpr(
+        "named_struct('type', cast(0 as tinyint), 'size', 2, 'indices', if(b is null, array(0), array(0, 1)), 'values', if(b is null, array(a), array(a, b))) as features"
+    )
+    found = b.quantile_edges(parts, 2, bins)
+    for i, name in enumerate("ab"):
+        v = np.sort([r[0] for r in rows.select(name).filter(f"{name} is not null").collect()])
+        exact = [v[-(-k * len(v) // bins) - 1] for k in range(1, bins)]
+        assert list(found[i]) == sorted({*exact, *([0.0] if len(v) < n else [])})
