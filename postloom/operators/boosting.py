@@ -2,14 +2,15 @@
 
 Values become bins between quantiles once. A tree grows level by level: one pass
 over the table gives the sums of gradients and Hessians in every bin of every
-feature for all nodes of the level, added up by Spark, and the driver picks the
-best cut of each node from them. Absent entries of sparse vectors are zeros and
+feature for all nodes of the level, added up by Spark. The tasks that add up a
+stretch of features hand on its best cut for each node, and the driver picks
+among those. Absent entries of sparse vectors are zeros and
 lie in the bin of zero; they are counted as what is missing from a node's sum.
 Margins of finished trees are written with the rows now and then, so a pass
 walks a bounded number of trees.
 
-The driver holds the edges (features by bins) and one level's sums (nodes by
-features by bins), never rows.
+The driver holds the edges (features by bins) and one level's best cuts (nodes
+by stretches of features), never rows.
 """
 
 from __future__ import annotations
@@ -214,21 +215,30 @@ def grow(table: Table, tree_number: int, done: Sequence[Tree], zero: np.ndarray,
             rest = np.repeat(node_sums, width, axis=1) - entries
             at = np.arange(count * width) * most + np.tile(zero, count)
             out[:, at] += rest
-            return {i: out[:, i * STRETCH : (i + 1) * STRETCH] for i in range(-(-out.shape[1] // STRETCH))}
-
-        sums = table.sums(run, (tree, list(done), zero, place, len(nodes)))
-        flat = np.concatenate([sums[i].reshape(2, -1) for i in sorted(sums)], axis=1) if sums else np.zeros((2, len(nodes) * width * most))
-        sums = flat.reshape(2, len(nodes), width, most)
-        totals = sums.sum(axis=3)[:, :, 0]
+            out = out.reshape(2, count, width, most)
+            return {i: out[:, :, at : at + step] for i, at in enumerate(range(0, width, step))}
+
+        def chosen(i, sums, shared):
+            """For every node whether a stretch of features has a cut, and feature, bin, gain, sums to the left and sums of all."""
+            at, count = i * step, shared[4]
+            sums = sums.reshape(2, count, -1, most)
+            best = best_cuts(sums, allowed[at : at + step], n_bins[at : at + step], s)
+            made = [(1, at + c[0], *c[1:], *sums[:, m, c[0], : c[1] + 1].sum(axis=1), *sums[:, m, c[0]].sum(axis=1)) if c else (0,) * 6 + tuple(sums[:, m, 0].sum(axis=1)) for m, c in enumerate(best)]
+            return np.array(made, float)
+
+        step = max(1, STRETCH // (len(nodes) * most))
+        found = table.sums(run, (tree, list(done), zero, place, len(nodes)), chosen)
+        made = np.stack([found[i].reshape(len(nodes), 8) for i in sorted(found)]) if found else np.zeros((1, len(nodes), 8))
         if level == 0:
-            sums_of[1] = tuple(totals[:, 0])
-        for i, (n, cut) in enumerate(zip(nodes, best_cuts(sums, allowed, n_bins, s), strict=True)):
-            if cut is None:
+            sums_of[1] = tuple(made[0, 0, 6:])
+        for i, n in enumerate(nodes):
+            # the first among equals, as within a stretch
+            cuts = made[made[:, i, 0] == 1, i]
+            if not len(cuts):
                 continue
-            f, b, _ = cut
-            tree.feature[n], tree.cut[n] = f, b
-            left = sums[:, i, f, : b + 1].sum(axis=1)
-            sums_of[2 * n], sums_of[2 * n + 1] = tuple(left), tuple(sums[:, i, f].sum(axis=1) - left)
+            _, f, b, _, *left = cuts[int(np.argmax(np.round(cuts[:, 3], 10)))]
+            tree.feature[n], tree.cut[n] = int(f), int(b)
+            sums_of[2 * n], sums_of[2 * n + 1] = tuple(left[:2]), (left[2] - left[0], left[3] - left[1])
     for n, (g, h) in sums_of.items():
         if tree.feature[n] < 0:
             tree.value[n] = -s.rate * float(_soft(np.array(g), s.alpha)) / (h + s.ridge)
@@ -367,8 +377,8 @@ class Held:
     parts: list[pa.RecordBatch]
     width: int
 
-    def sums(self, run, shared) -> dict[int, np.ndarray]:
-        return run(iter(self.parts), shared)
+    def sums(self, run, shared, finish) -> dict[int, np.ndarray]:
+        return {i: finish(i, x, shared) for i, x in run(iter(self.parts), shared).items()}
 
     def advanced(self, trees: list[Tree], zero: np.ndarray) -> Held:
         class Shared:
