@@ -125,3 +125,16 @@ def test_java_line_ends_follow_the_rules(spark):
 def test_a_sentence_gets_one_capital(spark, said, cased):
     """Letters that upper-case to several letters, such as ß, give one capital or stay."""
     assert one(spark, said, text.sentence_case) == cased
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """A text's terms within its row; a key on several rows gets the sums, as do texts without a key."""
+    from postloom.operators.tfidf import term_counts
+
+    one_row = spark.createDataFrame([(1, "aa bb aa bb aa"), (2, ""), (3, None), (4, "cc")], "k long, t string")
+    counts = term_counts(one_row, "k", "t")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(1, "aa", 3), (1, "aa bb", 2), (1, "bb", 2), (1, "bb aa", 2), (4, "cc", 1)]
+    more = one_row.union(spark.createDataFrame([(1, "aa"), (None, "cc cc"), (None, "cc")], "k long, t string"))
+    found = {(r.k, r.term): r.tf for r in term_counts(more, "k", "t").collect()}
+    assert found[1, "aa"] == 4 and found[None, "cc"] == 3 and found[None, "cc cc"] == 1 and found[4, "cc"] == 1
