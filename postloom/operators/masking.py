@@ -624,11 +624,14 @@ def process_tokens(
     """Token text for n-gram models: stop-words out, roots in, mask tokens in capitals.
 
     Roots come from a table ``word, lemma`` when one is given, through a salted
-    lookup; otherwise from plural endings, without a shuffle.
+    lookup; otherwise from plural endings, without a shuffle. Texts are dealt by key
+    first: tokens that meet a broadcast table stay where they are, only texts travel.
     """
     def finished(tokens: Column) -> Column:
         return F.regexp_replace(F.array_join(tokens, " "), r"(?i)\bdatum\b", "data")
 
+    if lemmas is not None:
+        docs = docs.repartition(key)
     listed = docs.withColumn("_tokens", token_list(F.col(text), stop, lower))
     if lemmas is None:
         root = F.transform("_tokens", lambda t: F.when(is_mask(t), F.upper(t)).otherwise(plural_root(t)))

@@ -191,3 +191,15 @@ def test_tokens(spark):
 def test_stopwords_keep_meaningful_words():
     words = set(lexicons.stopwords())
     assert "the" in words and not words & {"again", "should", "only"}
+
+
+def test_tokens_with_looked_up_roots_are_not_shuffled(spark):
+    """Only whole texts are dealt by key; their tokens meet a small table where they are."""
+    from postloom.operators.masking import process_tokens
+
+    docs = spark.createDataFrame([(1, "cats and dogs"), (2, ""), (3, None), (4, "a cat [ORG]")], "post_id long, text string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "word string, lemma string")
+    out = process_tokens(docs, "text", "tokens", ["and"], lemmas)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_COL") > 0
+    assert {r.post_id: r.tokens for r in out.collect()} == {1: "cat dog", 2: "", 3: "", 4: "a cat [ORG]"}
