@@ -144,3 +144,20 @@ def test_edges_are_exact_quantiles(spark):
         v = np.sort([r[0] for r in rows.select(name).filter(f"{name} is not null").collect()])
         exact = [v[-(-k * len(v) // bins) - 1] for k in range(1, bins)]
         assert list(found[i]) == sorted({*exact, *([0.0] if len(v) < n else [])})
+
+
+@pytest.mark.parametrize("stretch", [b.STRETCH, 1])
+def test_only_best_cuts_reach_the_driver(spark, monkeypatch, stretch):
+    """Passes over a large table hand on eight numbers for each node and stretch; the trees are those of one task."""
+    x, y = made()
+    df = table(spark, x, y)
+    model = lambda: fit_boosted(df, "t", trees=2, depth=3)
+    expected = model()
+    sent, sums = [], b.Table.sums
+    monkeypatch.setattr(b, "SMALL", 0)
+    monkeypatch.setattr(b, "STRETCH", stretch)
+    monkeypatch.setattr(b.Table, "sums", lambda *a, **k: sent.append(sums(*a, **k)) or sent[-1])
+    found = model()
+    assert sent and max(v.size for s in sent for v in s.values()) <= 8 * 4
+    for a, c in zip(expected.trees, found.trees, strict=True):
+        assert list(a.feature) == list(c.feature) and list(a.cut) == list(c.cut) and np.allclose(a.value, c.value, atol=1e-12)
