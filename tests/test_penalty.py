@@ -119,3 +119,17 @@ def test_odd_tables(spark):
     ties = table(spark, np.repeat(x, 3, axis=0) * 0 + 1.0, np.repeat(y, 3))
     best, scores = search_l1_penalty(ties, "t", "id", [0.1, 1.0], folds=2)
     assert best == 0.1 and {r.auroc for r in scores.collect()} == {0.5}
+
+
+def test_counts_of_scores_stay_on_the_executors(spark, monkeypatch):
+    """No pass over the table hands an array on that is as long as the bins of a score."""
+    from postloom.operators import penalty
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(v[0] + rng.normal() > 0), Vectors.dense(v)) for i, v in enumerate(rng.normal(size=(200, 3)))]
+    df = spark.createDataFrame(rows, ["post_id", "t", "features"])
+    sent, sums = [], penalty.Table.sums
+    monkeypatch.setattr(penalty.Table, "sums", lambda *a, **k: sent.append(sums(*a, **k)) or sent[-1])
+    found = penalty.penalty_path(penalty.prepared(df, "t", "post_id", 2), [0.1, 1.0], 2)
+    assert len(found.facts) == 4 and all(0.5 < f[4] <= 1 for f in found.facts)
+    assert max(v.size for s in sent for v in s.values()) < penalty.BINS
