@@ -20,20 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postloom.llm.files import make_folder, opened, task_file
-from postloom.llm.words import blocks
+from postloom.llm.words import BLOCK_BYTES, blocks
 from postloom.session import scratch_path, settle
 
 MAGIC = b"TOKZ0001"
 TRAIN_DOCS = 2000
 TRAIN_DOC_BYTES = 8 << 10
 DICTIONARY_BYTES = 64 << 10
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 500_000
 LEVEL = 1
+JOINED = 2000  # pieces that the library gets as one text
+SPACE_LETTER = "\u0120"  # of byte-level vocabularies
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 INDEX = np.dtype([("key", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("before", "<u8"), ("n", "<u4")])
 MANIFEST = "path string, first bigint, last bigint, n_docs bigint, n_tokens bigint, size bigint"
@@ -44,10 +47,11 @@ class TextEncoder:
 
     The pattern of this vocabulary always cuts before a single space between two
     other characters, so texts are cut there, and a piece is encoded once while
-    the store of known pieces is not full. Texts with other white space beside a
-    space, or with a special token, go to the library whole. The pattern also
-    cuts between letters and the marks after them, so words and marks are
-    encoded apart.
+    the store of known pieces is not full. New pieces go to the library as one
+    text: tokens that begin with a space tell where each of them starts. Texts
+    with other white space beside a space, or with a special token, go to the
+    library whole. The pattern also cuts between letters and the marks after
+    them, so words and marks are encoded apart.
     """
 
     def __init__(self, path: str, known_pieces: int = KNOWN_PIECES):
@@ -58,57 +62,126 @@ class TextEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE_LETTER)]] = True
+        self.limit, self.round = known_pieces, 0
+        self.known: dict[str, int] = {}  # a piece after a space, and its place among the stored ids
         self.first: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.limit = known_pieces
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, store: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if len(store) + len(pieces) > self.limit:
-            for old in list(store)[: len(store) // 2 + 1]:  # the half that was learnt first
-                del store[old]
-        new = list(pieces)
-        store.update(zip(new, self._raw([lead + p for p in new]), strict=True))
-
-    def _learn_pieces(self, new: set[str]) -> None:
+        self.marks: dict[str, np.ndarray] = {}
+        self.flat, self.start, self.n, self.used = np.empty(0, np.uint32), *(np.empty(0, np.int64) for _ in range(3))
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of pieces after a space, and their number for each piece."""
+        parts = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        ids = self._raw([" " + " ".join(p) for p in parts])
+        return ids, [np.diff(np.append(np.flatnonzero(self.spaced[i]), len(i))) for i in ids]
+
+    def _store(self, pieces: list[str], ids: list[np.ndarray], n: list[np.ndarray]) -> None:
+        n = np.concatenate(n).astype(np.int64)
+        if len(n) != len(pieces):
+            raise ValueError("a piece has more or less than one space")
+        self.known.update(zip(pieces, range(len(self.n), len(self.n) + len(pieces)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.flat, self.n = np.concatenate([self.flat, *ids]), np.concatenate([self.n, n])
+        self.used = np.concatenate([self.used, np.full(len(pieces), self.round)])
+
+    def _learn(self, new: list[str]) -> None:
         marked = {}
         for p in new:
             word = p.rstrip(MARKS)
             if word != p and word.isalpha():
                 marked[p] = word
-        words = {w for w in marked.values() if w not in self.known}
-        self._learn(self.known, words | (new - marked.keys()), " ")
-        marks = {p[len(w) :] for p, w in marked.items()}
-        self._learn(self.marks, {m for m in marks if m not in self.marks}, "")
-        for p, w in marked.items():
-            if w in self.known and p[len(w) :] in self.marks:
-                self.known[p] = self.known[w] + self.marks[p[len(w) :]]
+        words = list({w: None for w in [*marked.values(), *(p for p in new if p not in marked)] if w not in self.known})
+        if words:
+            self._store(words, *self._spaced_ids(words))
+        if not marked:
+            return
+        ends = [p[len(w) :] for p, w in marked.items()]
+        unknown = list(set(ends).difference(self.marks))
+        self.marks.update(zip(unknown, self._raw(unknown), strict=True))
+        at = np.array([self.known[w] for w in marked.values()])
+        self.used[at] = self.round
+        tails = [self.marks[e] for e in ends]
+        n, more = self.n[at], np.array([len(t) for t in tails])
+        ids = np.empty(int((n + more).sum()), np.uint32)
+        is_tail = np.repeat(np.tile([False, True], len(at)), np.stack([n, more], 1).ravel())
+        ids[~is_tail], ids[is_tail] = taken(self.flat, self.start[at], n), np.concatenate(tails)
+        self._store(list(marked), [ids], [n + more])
+
+    def _forget(self) -> None:
+        """Keep the pieces used last, and none that is long, when the store has grown beyond its limits."""
+        if len(self.known) > self.limit or len(self.flat) > 16 * self.limit:
+            short = np.flatnonzero(self.n <= 64)
+            kept = np.sort(short[np.argsort(self.used[short], kind="stable")][len(short) - min(len(short), self.limit // 2) :])
+            place = np.full(len(self.n), -1)
+            place[kept] = np.arange(len(kept))
+            self.known = {p: i for p, i in zip(self.known, place[list(self.known.values())].tolist(), strict=True) if i >= 0}
+            self.flat, self.n, self.used = taken(self.flat, self.start[kept], self.n[kept]), self.n[kept], self.used[kept]
+            self.start = np.cumsum(self.n) - self.n
+        for store in (self.first, self.marks):
+            if len(store) > self.limit or sum(map(len, store.values())) > 64 * self.limit:
+                store.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            parts = t.split(" ")
-            cut.append(None if any(s in t for s in self.special) else parts)
-        new = {p for parts in cut if parts for p in parts[1:] if p not in self.known}
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        for i, parts in enumerate(cut):
-            if parts and len(parts) > 1 and (not parts[0] or parts[0][-1:].isspace() or (odd and not odd.isdisjoint(parts[1:]))):
-                cut[i] = None
-        used = [p for p in cut if p]
-        self._learn_pieces(new - odd)
-        missing = {p for parts in used for p in parts[1:] if p not in self.known}
-        if missing:  # the store was emptied meanwhile
-            self.known.update(zip(missing, self._raw([" " + p for p in missing]), strict=True))
-        heads = {parts[0] for parts in used}
-        self._learn(self.first, {h for h in heads if h not in self.first}, "")
-        lost = [h for h in heads if h not in self.first]
-        self.first.update(zip(lost, self._raw(lost), strict=True))
-        whole = iter(self._raw([t for t, parts in zip(texts, cut, strict=True) if not parts]))
+        if not texts:
+            return []
+        self.round += 1
+        held = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(held, s).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(held, " ")
+        bounds, pieces = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        later = ~whole[owner]
+        later[bounds[:-1]] = False
+        owner = owner[later]
+        words = pieces.filter(pa.array(later)).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        return [self.first[parts[0]] + b"".join([known[p] for p in parts[1:]]) if parts else next(whole) for parts in cut]
+        slots = np.array([known.get(p, -1) for p in names], np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        odd = np.zeros(len(names), bool)
+        odd[unknown] = [not p or p[0].isspace() or p[-1].isspace() for p in map(names.__getitem__, unknown.tolist())]
+        place = words.indices.to_numpy()
+        whole[owner[odd[place]]] = True
+        heads = pieces.take(pa.array(bounds[:-1])).to_pylist()
+        alone = np.diff(bounds) == 1
+        whole |= np.array([not h or h[-1].isspace() for h in heads]) & ~alone
+
+        still = ~whole[owner]
+        place, owner = place[still], owner[still]
+        seen = np.zeros(len(names), bool)
+        seen[place] = True
+        unknown = unknown[seen[unknown]]
+        if len(unknown):
+            new = [names[i] for i in unknown.tolist()]
+            self._learn(new)
+            slots[unknown] = [known[p] for p in new]
+        self.used[slots[seen]] = self.round
+        at = slots[place]
+        ids = taken(self.flat, self.start[at], self.n[at])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, self.n[at], len(texts)).astype(np.int64))])
+
+        lost = list({h for h, w in zip(heads, whole.tolist(), strict=True) if not w and h not in self.first})
+        self.first.update(zip(lost, (i.tobytes() for i in self._raw(lost)), strict=True))
+        rest = iter(self._raw([t for t, w in zip(texts, whole.tolist(), strict=True) if w]))
+        out = [
+            next(rest).tobytes() if w else self.first[h] + ids[a:b].tobytes()
+            for h, w, a, b in zip(heads, whole.tolist(), ends[:-1], ends[1:], strict=True)
+        ]
+        self._forget()
+        return out
+
+
+def taken(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after another."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _write(tools, tokenizer: str, end: int, folder: str, dictionary: bytes, level: int):
@@ -124,7 +197,7 @@ def _write(tools, tokenizer: str, end: int, folder: str, dictionary: bytes, leve
         out = path = None
         entries: list[np.ndarray] = []
         offset = before = 0
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", 2 * BLOCK_BYTES):
             if out is None:
                 system, path = opened(task_file(folder, ".tokz"))
                 out = system.open_output_stream(path)

@@ -44,3 +44,15 @@ def test_empty_table_and_a_full_store_of_pieces(spark):
     library = Tokenizer.from_file(PATH)
     for got, t in zip(TextEncoder(PATH, known_pieces=5).encode(texts), texts, strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t).ids
+
+
+def test_new_pieces_go_to_the_library_as_one_text():
+    encoder = TextEncoder(PATH)
+    given, raw = [], encoder._raw
+    encoder._raw = lambda texts: given.extend(texts) or raw(texts)
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{'!' * (i % 3)}" for i in range(600)), "oneword", "", "é x z\ty  w"]
+    library = Tokenizer.from_file(PATH)
+    for _ in range(2):  # the second time from the store
+        for got, t in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t).ids
+    assert len(given) < 20
