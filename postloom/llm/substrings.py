@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.words import Block, Hashes, as_long, blocks
+from postloom.llm.words import BLOCK_BYTES, Block, Hashes, as_long, blocks
 from postloom.session import settle
 
 WINDOW = 35
@@ -40,6 +40,7 @@ GRAM = 8
 HOT = 2000
 SALTS = 16
 CHUNK = 1 << 16
+STRINGS = 256  # packed strings whose bytes are hashed at once
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def super_kmers(block: Block, hashes: Hashes, digests: Hashes, window: int, gram
 def _places(key: str, text: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, digests = Hashes(), Hashes(second=True)
-        for part in blocks(batches, text):
+        for part in blocks(batches, text, BLOCK_BYTES // 2):
             doc, start, n, mini, whole = super_kmers(Block(part.column(text)), hashes, digests, window, gram)
             yield pa.RecordBatch.from_arrays(
                 [part.column(key).take(pa.array(doc)), pa.array(start), pa.array(n.astype(np.int32)), as_long(mini), as_long(whole)],
@@ -128,13 +129,22 @@ def _window_keys(packed: pa.Array, n: np.ndarray, window: int, families: tuple[H
     return row, start - block.first[row], one, two
 
 
+def _keys_by_parts(packed: pa.Array, n: np.ndarray, window: int, families: tuple[Hashes, Hashes]):
+    """``_window_keys`` of few strings at a time, so that the arrays by byte stay small beside those by window."""
+    parts = []
+    for at in range(0, len(n), STRINGS):
+        row, *rest = _window_keys(packed.slice(at, STRINGS), n[at : at + STRINGS], window, families)
+        parts.append((row + at, *rest))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def _repeated(window: int):
     """Stretches of windows that occur twice in their bucket; rows arrive sorted by minimiser."""
 
     def found(rows: pa.Table, families) -> pa.RecordBatch:
         n = rows.column("n").to_numpy()
         packed = rows.column("packed").combine_chunks()
-        row, offset, one, two = _window_keys(packed, n, window, families)
+        row, offset, one, two = _keys_by_parts(packed, n, window, families)
         mini = rows.column("mini").to_numpy()[row]
         order = np.lexsort((two, one, mini))
         same = (mini[order][1:] == mini[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
@@ -182,7 +192,7 @@ def _single_windows(window: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                row, offset, one, two = _window_keys(part.column("packed"), part.column("n").to_numpy(), window, families)
+                row, offset, one, two = _keys_by_parts(part.column("packed"), part.column("n").to_numpy(), window, families)
                 begin = part.column("start").to_numpy()[row] + offset
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(row)), pa.array(begin), as_long(one), as_long(two)], ["key", "begin", "one", "two"]

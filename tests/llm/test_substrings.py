@@ -1,9 +1,11 @@
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from texts import hard_texts, table, words
 
-from postloom.llm.substrings import without_repeats
+from postloom.llm.substrings import _repeated, without_repeats
 
 
 def plain(texts, window):
@@ -28,3 +30,20 @@ def test_empty_table_and_kept_columns(spark):
     assert without_repeats(docs.limit(0)).count() == 0
     rows = without_repeats(docs, keep=["key", "n"]).orderBy("doc_id").collect()
     assert [(r.key, r.n, r.kept_text) for r in rows] == [("k", 7, "a b c"), ("k", 7, "")]
+
+
+def test_buckets_are_searched_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    strings = [b" ".join(b"%016d" % w for w in rng.integers(0, 50, 60)) for _ in range(2500)]
+    strings[7] = strings[2400]
+    n = len(strings)
+    columns = [pa.array(range(n)), pa.array([0] * n, pa.int64()), pa.array([26] * n, pa.int32()), pa.array([1] * n, pa.int64()), pa.array(strings, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "start", "n", "mini", "packed"])
+    tracemalloc.start()
+    found = [r for b in _repeated(35)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"key": k, "begin": 0, "end": 60} for k in (7, 2400)]
+    assert peak < 64 << 20
