@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from postloom.llm.words import blocks, ragged
 
 KNOWN_PIECES = 200_000
+DECODED_IDS = 1 << 18  # ids that are decoded at once, or those of one text
 END = 0xE000  # added to the last character of a word, in place of the mark for word ends
 NEVER = 1 << 60
 
@@ -258,18 +259,19 @@ def encoded(
 
 def _decode(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = names.value
+        tokens = pa.array(names.value, pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            n = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + DECODED_IDS, "right")))
+                part = batch.slice(at, to - at)
                 lists = part.column("ids")
-                ids, ends = lists.flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
-                shown = [tokens[i] for i in ids]
-                texts, start = [], 0
-                for end, held in zip(ends, lists.is_valid().to_pylist(), strict=True):
-                    texts.append(" ".join(shown[start:end]) if held else None)
-                    start = end
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                shown = ragged(tokens.take(lists.flatten()), counts)
+                texts = pc.if_else(lists.is_valid(), pc.binary_join(shown, " "), None)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+                at = to
 
     return run
 

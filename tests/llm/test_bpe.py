@@ -1,11 +1,12 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from texts import hard_texts, table
 from tokenizers import Tokenizer
 
-from postloom.llm.bpe import decoded, encoded
+from postloom.llm.bpe import _decode, decoded, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -41,3 +42,23 @@ def test_empty_table(spark):
 def test_null_ids_have_no_text(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
     assert [tuple(r) for r in decoded(rows, PATH).collect()] == [(1, None, None), (2, [], "")]
+
+
+def test_tokens_are_joined_without_a_step_for_each(monkeypatch):
+    class Names(list):
+        asked = 0
+
+        def __getitem__(self, i):
+            Names.asked += 1
+            return super().__getitem__(i)
+
+    class Shared:
+        value = Names(["a</w>", "b", "é</w>"])
+
+    monkeypatch.setattr("postloom.llm.bpe.DECODED_IDS", 4)
+    lists = [[0, 1, 2], [], None, [2] * 9, [1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], ["ids"])
+    out = [t for b in _decode(Shared)(iter([batch, batch.slice(1, 2), batch.slice(0, 0)])) for t in b.column("decoded").to_pylist()]
+    plain = [None if x is None else " ".join(list(Shared.value)[i] for i in x) for x in lists]
+    assert out == plain + plain[1:3]
+    assert Names.asked <= len(Shared.value)
