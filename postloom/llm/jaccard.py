@@ -154,6 +154,19 @@ def _verified(size: int, percent: int):
     return run
 
 
+def shared_tokens(tokens: DataFrame, percent: int) -> DataFrame:
+    """``(token, node, n, pos, smallest)`` of the prefix tokens that stand in several prefixes, with the smallest size of these.
+
+    Most tokens stand in one prefix alone, and all of them are shuffled: rows are
+    kept short, and a token, which a node has once, is only counted.
+    """
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("smallest")).filter("c > 1").select("token", "smallest")
+    sent = tokens.select("token", "node", F.expr(f"cast(n as bigint) * {1 << 32} + pos").alias("place"))
+    held = sent.join(shared, "token").select("token", "node", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr(f"cast(place & {(1 << 32) - 1} as int)").alias("pos"), "smallest")
+    # of tokens beyond the places for l = 1 it is only asked whether they are shared at all
+    return held.filter(f"{overlap('n', 'smallest', percent)} - {LONGEST - 1} <= n - pos")
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -176,9 +189,7 @@ def jaccard_components(
     members = settle(sets.filter("n > 0").select("key", "d1", "d2").join(classes, ["d1", "d2"]).select("key", "node"), "members")
     single = sets.filter("n > 0").join(members.filter("key <> node").select("key"), "key", "left_anti")
     tokens = single.select(F.posexplode("prefix").alias("pos", "token"), F.col("key").alias("node"), F.col("n").cast("int"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("smallest")).filter("low < high")
-    # of tokens beyond the places for l = 1 it is only asked whether they are shared at all
-    held = settle(tokens.join(shared.select("token", "smallest"), "token").filter(f"{overlap('n', 'smallest', percent)} - {LONGEST - 1} <= n - pos"), "shared-tokens")
+    held = settle(shared_tokens(tokens, percent), "shared-tokens")
     share = f"({percent} * n + 99) div 100"
     # a partner has at least that share of this size, so its own longest l is at least this
     asks = F.expr(f"least({LONGEST}, ({percent} * ({share}) + 99) div 100)")

@@ -40,3 +40,11 @@ def test_empty_table_and_blank_texts(spark):
     docs = table(spark, [None, "", " "])
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
     assert sorted(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+
+
+def test_tokens_travel_in_short_rows(spark):
+    tokens = spark.createDataFrame([(0, 5, 1, 10), (3, 5, 2, 9), (9, 5, 3, 1000), (1, 6, 1, 10)], "pos int, token bigint, node bigint, n int")
+    found = jaccard.shared_tokens(tokens, 80)
+    assert sorted((r.token, r.node, r.n, r.pos, r.smallest) for r in found.collect()) == [(5, 1, 10, 0, 9), (5, 2, 9, 3, 9), (5, 3, 1000, 9, 9)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(" not in plan and "place" in plan
