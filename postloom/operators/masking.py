@@ -11,6 +11,7 @@ text from the left, best priority first, in time linear in the text.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -391,19 +392,46 @@ def rewrite_in_order(text: Column, patterns: Sequence[str], tag: str, guard: str
     return let(text, lambda t: F.when(t.rlike(UNICODE_NOCASE + guard), chain(t)).otherwise(t))
 
 
-def rewrite_where(text: Column, passes: Sequence[tuple[str, str]], tag: str, guards: dict[str, str]) -> Column:
-    """Replace in turn the matches of the patterns whose kind can occur in the text.
+def rewrite_where(
+    text: Column, passes: Sequence[tuple[str, Sequence[str], str]], tag: str, guards: dict[str, str], needed: str, alone: Sequence[str] = ()
+) -> Column:
+    """Replace in turn the matches of those patterns that can occur in the text.
 
-    Passes are (kind, pattern); ``guards`` holds one necessary condition per kind.
+    Passes are (kind, words, pattern): every match begins and ends at word boundaries, holds none of the brackets of
+    ``tag``, and has the letters of each of ``words`` somewhere. ``guards`` holds a necessary condition
+    per kind, ``needed`` one for all passes. The guard of a kind in ``alone`` is the alternation of its patterns, of
+    which no two match at one place; these are tested in what it finds only. A replacement makes no room for a match
+    that was not there before, so all of this is looked up once, in the text as it comes: one scan finds the words.
     """
-    rules = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(UNICODE_NOCASE + p).alias("pattern")) for k, p in passes])
+    wanted = sorted({w.lower() for _, ws, _ in passes for w in ws})
+    # a word that begins with another one is found with it
+    keys = [k for k in wanted if not any(k != o and k.startswith(o) for o in wanted)]
+    key_of = {w: next(k for k in keys if w.startswith(k)) for w in wanted}
+
+    def rule(kind: str, words_: Sequence[str], pattern: str) -> Column:
+        needs = [pattern if kind in alone else kind, *dict.fromkeys("=" + key_of[w.lower()] for w in words_)]
+        return F.struct(F.lit(needs).cast("array<string>").alias("needs"), F.lit(UNICODE_NOCASE + pattern).alias("pattern"))
+
+    rules = F.array(*[rule(*p) for p in passes])
+
+    def held(found: Column, tests: dict[str, str]) -> Column:
+        return let(F.array_join(F.array_distinct(found), " "), lambda w: F.array(*[F.when(w.rlike(UNICODE_NOCASE + p), F.lit(k)) for k, p in tests.items()]))
 
     def chain(t: Column) -> Column:
-        present = F.array(*[F.when(t.rlike(UNICODE_NOCASE + g), F.lit(k)) for k, g in guards.items()])
-        chosen = let(present, lambda kinds: F.filter(rules, lambda r: F.array_contains(kinds, r["kind"])))
+        met = [F.array(*[F.when(t.rlike(UNICODE_NOCASE + g), F.lit(k)) for k, g in guards.items() if k not in alone])]
+        if keys:
+            found = F.regexp_extract_all(t, F.lit(UNICODE_NOCASE + f"(?=({_either(keys)}))"), F.lit(1))
+            met.append(held(found, {"=" + k: k for k in keys}))
+        for kind in alone:
+            # matches that overlap are found too
+            found = F.regexp_extract_all(t, F.lit(UNICODE_NOCASE + f"(?=({guards[kind]}))"), F.lit(1))
+            met.append(held(found, {p: p for k, _, p in passes if k == kind}))
+        chosen = let(F.array_compact(F.concat(*met)), lambda m: F.filter(rules, lambda r: F.size(F.array_except(r["needs"], m)) == 0))
         return F.aggregate(chosen, t, lambda acc, r: F.regexp_replace(acc, r["pattern"], F.lit(tag)))
 
-    return let(text, chain)
+    if needed is None:
+        return let(text, chain)
+    return let(text, lambda t: F.when(t.rlike(UNICODE_NOCASE + needed), chain(t)).otherwise(t))
 
 
 def _from_letter(names: Sequence[str]) -> str:
@@ -419,36 +447,59 @@ def _with_commas(terms: Sequence[str]) -> list[str]:
     return [*terms, *[f"{t}," for t in terms]]
 
 
-def _needs(terms: Sequence[str]) -> str:
-    """Guard: a digit and one of the terms."""
-    return rf"(?s)\A(?=.*\d)(?=.*(?:{'|'.join(_literal(t) for t in terms)}))"
+def _beside(text: Column, terms: Sequence[str], leads: Sequence[str], number: str, tag: str) -> Column:
+    """A number before or after a term, the term with one of ``leads`` or without.
+
+    A number begins with a digit after its currency, if it has one, and ends with signs and letters of thousands.
+    """
+    passes = []
+    for comma in ("", ","):
+        for words_ in [*[(a, t) for a in leads for t in terms], *[(t,) for t in terms]]:
+            term = " ".join(words_) + comma
+            t = _literal(term)
+            begin = _from_letter([term]) if _begun([term]) else r"\b"
+            passes.append(("after", _begun(term.split(" ")), rf"{_from_number(number)}\b{number}\s*{t}\b"))
+            passes.append(("before", _begun(term.split(" ")), rf"{begin}{t}\s*[:=]?\s*{number}\b"))
+    either = _either([_literal(t) for t in terms])
+    led = f"(?:(?:{'|'.join(_literal(a) for a in leads)}) )?" if leads else ""
+    begin = _from_letter(terms) if len(_begun(terms)) == len(terms) else ""
+    guards = {"after": rf"\d[+km]*\s*{led}{either}", "before": rf"{begin}{either},?\s*[:=]?\s*{number}"}
+    return rewrite_where(text, passes, tag, guards, "|".join(guards.values()))
+
+
+def _begun(words_: Sequence[str]) -> list[str]:
+    """The letters with which words begin, of those that begin with some."""
+    return [m[0] for m in (re.match("[A-Za-z]+", w) for w in words_) if m]
+
+
+def _either(patterns: Sequence[str]) -> str:
+    """An alternation of patterns that begin with a character of their own, dealt by it, which keeps which one is taken."""
+    dealt: dict[str, list[str]] = {}
+    for p in patterns:
+        dealt.setdefault(p[0].lower() if p[0].isalnum() and p[0].isascii() else "", []).append(p)
+    if "" in dealt:
+        return f"(?:{'|'.join(patterns)})"
+    return f"(?:{'|'.join(f"{c}(?:{'|'.join(p[1:] for p in ps)})" for c, ps in dealt.items())})"
+
+
+def _from_number(number: str) -> str:
+    """One of the characters that the number, or its currency, can begin with; testing it first is cheaper."""
+    return r"(?=[$£€₹dper\d])" if number == fixed.PAY_AMOUNT else r"(?=\d)"
 
 
 def mask_pay(text: Column, leads: Sequence[str] = fixed.PAY_LEADS, terms: Sequence[str] = fixed.PAY_TERMS) -> Column:
     """An amount before or after a pay term."""
-    passes = []
-    for t in _with_commas([f"{a} {t}" for a in leads for t in terms] + list(terms)):
-        passes.append(rf"\b{fixed.PAY_AMOUNT}\s*{_literal(t)}\b")
-        passes.append(rf"\b{_literal(t)}\s*[:=]?\s*{fixed.PAY_AMOUNT}\b")
-    return rewrite_in_order(text, passes, "[SALARY]", _needs(terms))
+    return _beside(text, terms, leads, fixed.PAY_AMOUNT, "[SALARY]")
 
 
 def mask_experience(text: Column, terms: Sequence[str] = fixed.EXPERIENCE_TERMS, tag: str = "[YEARS]") -> Column:
     """A number before or after a term for years of experience."""
-    passes = []
-    for t in _with_commas(terms):
-        passes.append(rf"\b(\d+)\+?\s*{_literal(t)}\b")
-        passes.append(rf"\b{_literal(t)}\s*[:=]?\s*(\d+)\+?\b")
-    return rewrite_in_order(text, passes, tag, _needs(terms))
+    return _beside(text, terms, (), r"(\d+)\+?", tag)
 
 
 def mask_scores(text: Column, terms: Sequence[str] = fixed.SCORE_TERMS) -> Column:
     """A count before or after the name of a coding platform."""
-    passes = []
-    for t in _with_commas(terms):
-        passes.append(rf"\b(\d+)\+?[kK]?\+?\s*{_literal(t)}\b")
-        passes.append(rf"\b{_literal(t)}\s*[:=]?\s*(\d+)\+?[kK]?\+?\b")
-    return rewrite_in_order(text, passes, "[LEETCODE]", _needs(terms))
+    return _beside(text, terms, (), r"(\d+)\+?[kK]?\+?", "[LEETCODE]")
 
 
 def _alternations(names: Sequence[str]) -> list[str]:
@@ -476,41 +527,55 @@ def mask_levels(text: Column) -> Column:
     ladder = (
         [rf"{s} level\s?" for s in fixed.SENIORITIES] + [rf"{s}-level\s?" for s in fixed.SENIORITIES] + fixed.LEVEL_NAMES
     )
-    managers = _from_letter(fixed.MANAGER_LEVELS) + f"(?:{'|'.join(_with_commas(fixed.MANAGER_LEVELS))})"
+    managers = _from_letter(fixed.MANAGER_LEVELS) + _either(_with_commas(fixed.MANAGER_LEVELS))
     decimal, integer, roman = fixed.LEVEL_NUMBERS
     every = fixed.MANAGER_LEVELS + fixed.SENIORITIES + fixed.LEVEL_NAMES
-    named = _from_letter(every) + f"(?:{'|'.join(every)})"
-    for number, first in ((decimal, r"\d+\.\d"), (integer, r"\d")):
-        needed = rf"{named}(?: level| ?-level)?\s?,?\s*{first}"
-        text = rewrite_in_order(text, [rf"{managers}{number}\b"], "[MANAGER]", needed)
-        passes = [f"{group}{number}" + r"\b" for group in _alternations(_with_commas(ladder))]
-        text = rewrite_in_order(text, passes, "[ICLEVEL]", needed)
+    named = _from_letter(every) + _either(every)
+
+    def numbered(t: Column) -> Column:
+        for number, first in ((decimal, r"\d+\.\d"), (integer, r"\d")):
+            needed = rf"{named}(?: level| ?-level)?\s?,?\s*{first}"
+            t = rewrite_in_order(t, [rf"{managers}{number}\b"], "[MANAGER]", needed)
+            passes = [f"{group}{number}" + r"\b" for group in _alternations(_with_commas(ladder))]
+            t = rewrite_in_order(t, passes, "[ICLEVEL]", needed)
+        return t
+
+    # a decimal begins with a digit too, so one look at the text tells whether there is anything to do
+    some = UNICODE_NOCASE + rf"{named}(?: level| ?-level)?\s?,?\s*\d"
+    text = let(text, lambda t: F.when(t.rlike(some), numbered(t)).otherwise(t))
     # a manager name takes its numeral if it has one and is masked without it too
-    either = "|".join(rf"{m}{roman}\b|{m}\b" for m in fixed.MANAGER_LEVELS)
-    text = rewrite_in_order(text, [rf"{_from_letter(fixed.MANAGER_LEVELS)}(?:{either})"], "[MANAGER]")
+    either = _either([x for m in fixed.MANAGER_LEVELS for x in (rf"{m}{roman}\b", rf"{m}\b")])
+    text = rewrite_in_order(text, [f"{_from_letter(fixed.MANAGER_LEVELS)}{either}"], "[MANAGER]")
     passes = []
     # a name longer than two letters is masked bare, so its comma spelling cannot occur afterwards
-    for name in [*ladder, *[f"{n}," for n in ladder if len(n) <= 2]]:
-        first = _from_letter([name])
-        passes.append(("numbered", rf"{first}{name}{roman}\b"))
-        passes.append(("led", rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*{name}\b"))
+    spelled = [*ladder, *[f"{n}," for n in ladder if len(n) <= 2]]
+    # names without a longer word have guards of their own
+    short = {n for n in spelled if not _long_words(n)}
+    for name in spelled:
+        first, kind, held = _from_letter([name]), "short " if name in short else "", _long_words(name)
+        passes.append((kind + "numbered", held, rf"{first}{name}{roman}\b"))
+        passes.append((kind + "led", held, rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*{name}\b"))
         if len(name) > 2:
-            passes.append(("bare", rf"{first}{name}\b"))
-    longer, steps = "|".join(n for n in [*ladder, "IC,"] if len(n) > 2), "|".join(ladder)
-    # a replacement starts and ends at word boundaries, so it never makes room for a kind that was absent
-    guards = {
-        "numbered": _from_letter(ladder) + rf"(?:{steps}),?{roman}\b",
-        "led": rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*(?:{steps})",
-        "bare": _from_letter(ladder) + rf"(?:{longer})\b",
-    }
-    text = rewrite_where(text, passes, "[ICLEVEL]", guards)
-    return rewrite_in_order(text, [fixed.BARE_SENIORITY], "[ICLEVEL]")
+            passes.append((kind + "bare", held, rf"{first}{name}\b"))
+    guards = {}
+    for kind, names in (("", [n for n in spelled if n not in short]), ("short ", [n for n in spelled if n in short])):
+        begin, any_name = _from_letter(names), _either(names)
+        guards[kind + "numbered"] = rf"{begin}{any_name}{roman}\b"
+        guards[kind + "led"] = rf"(?=[js])\b{fixed.LEVEL_LEADS}\s*{any_name}\b"
+        guards[kind + "bare"] = rf"{begin}{_either([n for n in names if len(n) > 2])}\b"
+    # a short name, a comma and a numeral tell each other apart by their next letter
+    text = rewrite_where(text, passes, "[ICLEVEL]", guards, "|".join(guards.values()), ["short numbered"])
+    return rewrite_in_order(text, [r"(?=[mjsp])" + fixed.BARE_SENIORITY], "[ICLEVEL]")
+
+
+def _long_words(name: str) -> list[str]:
+    """The words of a level name that have four letters and more."""
+    return re.findall("[A-Za-z]{4,}", name.replace(r"\s?", ""))
 
 
 def mask_terms(text: Column, terms: Sequence[str], tag: str) -> Column:
     """A short list of terms as one alternation, earlier terms first."""
-    bounded = "|".join(_literal(t) for t in terms)
-    return F.regexp_replace(text, UNICODE_NOCASE + rf"{_from_letter(terms)}(?:{bounded})\b", tag)
+    return F.regexp_replace(text, UNICODE_NOCASE + rf"{_from_letter(terms)}{_either([_literal(t) for t in terms])}\b", tag)
 
 
 def mask_industries(text: Column, terms: Sequence[str] = fixed.INDUSTRIES) -> Column:
@@ -523,10 +588,10 @@ def mask_links(text: Column, compat: bool = False) -> Column:
     ``compat`` drops the marker inside words too and lets any character follow ``www``.
     """
     text = F.regexp_replace(text, UNICODE_NOCASE + r"http\S+", "[URL]")
-    text = F.regexp_replace(text, UNICODE_NOCASE + (r"www.\S+" if compat else r"\bwww\.\S+"), "[URL]")
+    text = F.regexp_replace(text, UNICODE_NOCASE + (r"www.\S+" if compat else r"(?=w)\bwww\.\S+"), "[URL]")
     text = F.regexp_replace(text, UNICODE + r"#(\w+)", "$1")
     text = F.regexp_replace(text, UNICODE + r"@(\w+)", "$1")
-    return F.regexp_replace(text, UNICODE + (r"[eE]x[- ]" if compat else r"\b[eE]x[- ]"), "")
+    return F.regexp_replace(text, UNICODE + (r"[eE]x[- ]" if compat else r"(?=[eE])\b[eE]x[- ]"), "")
 
 
 def fix_capitals(text: Column, terms: Sequence[str] = fixed.CAPITAL_TERMS) -> Column:
@@ -534,7 +599,7 @@ def fix_capitals(text: Column, terms: Sequence[str] = fixed.CAPITAL_TERMS) -> Co
     for old, new in (("i'm", "I'm"), (" i ", " I "), (" ii", " II"), ("ii ", "II ")):
         text = F.replace(text, F.lit(old), F.lit(new))
     for t in terms:
-        text = F.regexp_replace(text, UNICODE_NOCASE + rf"\b{t}\b", t.upper())
+        text = F.regexp_replace(text, UNICODE_NOCASE + rf"{_from_letter([t])}{t}\b", t.upper())
     return text
 
 

@@ -141,6 +141,49 @@ def test_merged_level_passes_equal_single_passes(spark):
     assert not wrong, wrong[:5]
 
 
+def test_level_names_without_blanks_between(spark):
+    import random
+
+    rng = random.Random(11)
+    atoms = "senior staff jr manager level grade e l i ic ict ii iv 3 4.5 new grad tech lead intern , / - x".split(" ")
+    rows = [("".join(rng.choice([*atoms, " "]) for _ in range(rng.randint(1, 9))),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "v string").select("v", masking.single_brackets(masking.mask_levels(F.col("v"))).alias("r"))
+    wrong = [(r.v, r.r, levels_one_by_one(r.v)) for r in df.collect() if r.r != levels_one_by_one(r.v)]
+    assert not wrong, wrong[:5]
+
+
+def beside_one_by_one(text, terms, number, tag):
+    for t in [*terms, *[f"{t}," for t in terms]]:
+        text = re.sub(rf"\b{number}\s*{t}\b", tag, text, flags=re.I)
+        text = re.sub(rf"\b{t}\s*[:=]?\s*{number}\b", tag, text, flags=re.I)
+    return text
+
+
+def test_numbers_beside_terms_equal_single_passes(spark):
+    import random
+
+    rng = random.Random(7)
+    atoms = "salary pay, comp compensation TC: was total curr 150k $200k+ dollars5 = 3 7+ years yrs of experience yoe lc leetcode 90K payer x . , \n \u017falary".split(" ")
+    rows = [(rng.choice(["", " "]).join(rng.choice(atoms) for _ in range(rng.randint(1, 9))),) for _ in range(2000)]
+    pay = [f"{a} {t}" for a in fixed.PAY_LEADS for t in fixed.PAY_TERMS] + fixed.PAY_TERMS
+    masks = {
+        "pay": (masking.mask_pay, pay, fixed.PAY_AMOUNT, "[SALARY]"),
+        "years": (masking.mask_experience, fixed.EXPERIENCE_TERMS, r"(\d+)\+?", "[YEARS]"),
+        "scores": (masking.mask_scores, fixed.SCORE_TERMS, r"(\d+)\+?[kK]?\+?", "[LEETCODE]"),
+    }
+    df = spark.createDataFrame(rows, "v string").select("v", *[fn(F.col("v")).alias(k) for k, (fn, *_) in masks.items()])
+    wrong = [(r.v, k, r[k]) for r in df.collect() for k, (_, *how) in masks.items() if r[k] != beside_one_by_one(r.v, *how)]
+    assert not wrong, wrong[:5]
+
+
+def test_only_passes_that_can_occur_are_applied(spark):
+    """A pattern whose words or kind are absent is not even compiled; this one could not be."""
+    passes = [("pay", ["salary"], r"\bsalary \d+"), ("pay", ["package"], "("), ("rank", [], "(")]
+    guards = {"pay": r"\d", "rank": "rank"}
+    mask = lambda c: masking.rewrite_where(c, passes, "[X]", guards, "|".join(guards.values()))
+    assert masked(spark, mask, "Salary 5, salary 60") == "[X], [X]"
+
+
 def test_company_lexicon(spark):
     comments = spark.createDataFrame([("Google",), ("ex-Big Co",), (None,), ("New",)], "user_firm string")
     names = {r.phrase for r in lexicons.company_lexicon(comments, extra=["xoogle", "visa"]).collect()}
