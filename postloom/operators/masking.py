@@ -173,8 +173,12 @@ def bloom_filter(table: DataFrame, column: str) -> tuple[DataFrame, int]:
 
 
 def _may_hold(table: DataFrame, value: Column) -> Column:
-    """False only where a value is surely not in ``table.gram``; the filter comes as a scalar, read once per query."""
-    held, size = bloom_filter(table, "gram")
+    return may_hold(table, "gram", value)
+
+
+def may_hold(table: DataFrame, column: str, value: Column) -> Column:
+    """False only where a value is surely not in a column of ``table``; the filter comes as a scalar, read once per query."""
+    held, size = bloom_filter(table, column)
     words_ = held.scalar()
     tests = [F.get(words_, F.shiftright(bit, 6).cast("int")).bitwiseAND(_bit(bit)) != 0 for bit in _bits_of(value, size)]
     out = tests[0]
