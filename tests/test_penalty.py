@@ -133,3 +133,17 @@ def test_counts_of_scores_stay_on_the_executors(spark, monkeypatch):
     found = penalty.penalty_path(penalty.prepared(df, "t", "post_id", 2), [0.1, 1.0], 2)
     assert len(found.facts) == 4 and all(0.5 < f[4] <= 1 for f in found.facts)
     assert max(v.size for s in sent for v in s.values()) < penalty.BINS
+
+
+@pytest.mark.parametrize(("kind", "c", "working"), [("dense", 0.2, p.WORKING), ("sparse", 1.0, 20)])
+def test_wide_model_meets_every_condition(spark, kind, c, working):
+    x, y = made(kind, 300, 120)
+    x[:, 7] = x[:, 5]  # equal features
+    found = p.prepared(table(spark, x, y, kind == "sparse"), "t", "id", 0)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    coefs, intercept = p.fit_wide(found, c, working=working)
+    r = w * (1 / (1 + np.exp(-x @ coefs - intercept)) - y)
+    assert p.violation(coefs, x.T @ r, np.full(120, 1 / c)).max() < 2e-8 / c and abs(r.sum()) < 2e-8 / c
+    expected, near = plain(x, y, w, c), np.setdiff1d(np.arange(120), [5, 7])
+    assert np.allclose(coefs[near], expected[near], atol=1e-5)
+    assert np.isclose(coefs[5] + coefs[7], expected[5] + expected[7], atol=1e-5)
