@@ -17,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +91,14 @@ class TextEncoder:
         self.used = np.concatenate([self.used, np.full(len(pieces), self.round)])
 
     def _learn(self, new: list[str]) -> None:
-        marked = {}
-        for p in new:
-            word = p.rstrip(MARKS)
-            if word != p and word.isalpha():
-                marked[p] = word
-        words = list({w: None for w in [*marked.values(), *(p for p in new if p not in marked)] if w not in self.known})
+        held = pa.array(new, pa.large_string())
+        cut = pc.utf8_rtrim(held, MARKS)
+        ended = np.flatnonzero(pc.not_equal(cut, held).to_numpy(zero_copy_only=False))
+        bare = cut.take(pa.array(ended)).to_pylist()
+        marked = {new[i]: w for i, w in zip(ended.tolist(), bare, strict=True) if w.isalpha()}
+        plain = new if not marked else [p for p in new if p not in marked]
+        # the new pieces themselves are not known; a word before marks may be
+        words = list(dict.fromkeys([*(w for w in marked.values() if w not in self.known), *plain]))
         if words:
             self._store(words, *self._spaced_ids(words))
         if not marked:
@@ -143,10 +146,12 @@ class TextEncoder:
         words = pieces.filter(pa.array(later)).dictionary_encode()
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        slots = np.array([known.get(p, -1) for p in names], np.int64)
+        slots = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
         unknown = np.flatnonzero(slots < 0)
         odd = np.zeros(len(names), bool)
-        odd[unknown] = [not p or p[0].isspace() or p[-1].isspace() for p in map(names.__getitem__, unknown.tolist())]
+        fresh = words.dictionary.take(pa.array(unknown))
+        full, trimmed = (pc.binary_length(x).to_numpy() for x in (fresh, pc.utf8_trim_whitespace(fresh)))
+        odd[unknown] = (full == 0) | (trimmed < full)
         place = words.indices.to_numpy()
         whole[owner[odd[place]]] = True
         heads = pieces.take(pa.array(bounds[:-1])).to_pylist()
@@ -161,7 +166,7 @@ class TextEncoder:
         if len(unknown):
             new = [names[i] for i in unknown.tolist()]
             self._learn(new)
-            slots[unknown] = [known[p] for p in new]
+            slots[unknown] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
         self.used[slots[seen]] = self.round
         at = slots[place]
         ids = taken(self.flat, self.start[at], self.n[at])

@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -56,3 +57,21 @@ def test_new_pieces_go_to_the_library_as_one_text():
         for got, t in zip(encoder.encode(texts), texts, strict=True):
             assert np.frombuffer(got, "<u4").tolist() == library.encode(t).ids
     assert len(given) < 20
+
+
+def test_new_pieces_are_checked_in_whole_columns():
+    encoder = TextEncoder(PATH)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    text = "a " + " ".join(words)
+    calls = []
+    sys.setprofile(lambda _, event, what: calls.append(what.__name__) if event == "c_call" else None)
+    try:
+        encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert sum(c in ("isspace", "rstrip", "isalpha", "get") for c in calls) < 100
+    library = Tokenizer.from_file(PATH)
+    for space in "\x1c\x1f\x85\xa0  　​":
+        odd = [f"a b{space} c", f"a {space}b c", f"a {space} c", f"a b!{space}", f"a b{space}!? c?!"]
+        for got, t in zip(encoder.encode(odd), odd, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t).ids
