@@ -138,3 +138,60 @@ def test_terms_are_counted_without_a_shuffle(spark):
     more = one_row.union(spark.createDataFrame([(1, "aa"), (None, "cc cc"), (None, "cc")], "k long, t string"))
     found = {(r.k, r.term): r.tf for r in term_counts(more, "k", "t").collect()}
     assert found[1, "aa"] == 4 and found[None, "cc"] == 3 and found[None, "cc cc"] == 1 and found[4, "cc"] == 1
+
+
+def test_texts_meet_the_vocabulary_within_their_rows(spark):
+    """The rows of the joins, whatever part of the vocabulary is broadcast; terms are not shuffled one by one."""
+    from postloom.operators import tfidf
+
+    texts = [(i, " ".join(f"w{(i * k * k) % 23}" for k in range(1, 12 + i % 5))) for i in range(60)] + [(100, ""), (101, None), (None, "w1 w2 w2")]
+    docs = spark.createDataFrame(texts, "k long, t string").repartition(5).persist()
+    counts = tfidf.term_counts(docs, "k", "t").persist()
+    vocabulary = tfidf.fit_vocabulary(counts, 60, min_df=2)
+    df = {r.term: r.n for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.term: r.df for r in vocabulary.table.collect()} == {t: n for t, n in df.items() if 2 <= n <= 57}
+    joined = {(r.k, r.term): r.weight for r in tfidf.tfidf_weights(counts, vocabulary, "k").collect()}
+    for head in (0, 9, tfidf.HEAD):
+        out = tfidf.text_weights(docs, vocabulary, "k", "t", head=head)
+        assert {(r.k, r.term): r.weight for r in out.collect()} == pytest.approx(joined)
+    assert "Exchange" not in tfidf.text_table(spark.createDataFrame(texts, docs.schema), vocabulary, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    indexed = tfidf.fit_vocabulary(counts, 60, min_df=2, indexed=True)
+    old = {r.k: r.features for r in tfidf.tfidf_vectors(tfidf.tfidf_weights(counts, indexed, "k"), indexed, "k", docs).collect()}
+    for head in (0, 9, tfidf.HEAD):
+        new = {r.k: r.features for r in tfidf.text_vectors(docs, indexed, "k", "t", head=head).collect()}
+        assert len(new) == len(old) == 63
+        assert all(new[k].size == old[k].size and new[k].toArray() == pytest.approx(old[k].toArray()) for k in old)
+    # a key on several rows
+    twice = docs.union(docs.filter("k < 3"))
+    again = {(r.k, r.term) for r in tfidf.text_table(twice, vocabulary, "k", "t").collect()}
+    assert again == set(joined)
+    assert tfidf.text_vectors(twice, indexed, "k", "t").count() == 66
+    none = tfidf.fit_vocabulary(counts, 60, min_df=1000)
+    assert tfidf.text_table(docs, none, "k", "t").count() == 0
+
+
+def test_terms_travel_packed(monkeypatch):
+    """A task hands on a row for each bucket, and again where it holds too many terms; sums are those of all rows."""
+    import pyarrow as pa
+
+    from postloom.operators import tfidf
+
+    said = [f"é{i % 700} x" for i in range(2000)] + ["", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array([len(s) % 3 for s in said], pa.int32()), pa.array(said)], ["bucket", "term"])
+    for flush in (tfidf.FLUSH, 100):
+        monkeypatch.setattr(tfidf, "FLUSH", flush)
+        sent = pa.Table.from_batches(list(tfidf._term_rows(iter([batch, batch]))))
+        assert sent.num_rows <= (3 if flush > 100 else 6)
+        out = pa.Table.from_batches(list(tfidf._term_sums(iter(sent.sort_by("bucket").to_batches()))))
+        assert dict(zip(out["term"].to_pylist(), out["df"].to_pylist(), strict=True)) == {t: 2 * said.count(t) for t in set(said)}
+    assert not list(tfidf._term_rows(iter([]))) and not list(tfidf._term_sums(iter([])))
+
+
+def test_terms_that_share_a_hash_are_told_apart():
+    import numpy as np
+
+    from postloom.operators.tfidf import Codes
+
+    codes = Codes(np.array([5, 1, 5]), np.array([7, 8, 9]), np.array([0.5, 1.5, 2.5]), np.array([0, 1, 2]))
+    at = codes.places(np.array([5, 5, 1, 5, 2]), np.array([9, 7, 8, 8, 8]))
+    assert [codes.idx[i] if i >= 0 else -1 for i in at] == [2, 0, 1, -1, -1]
