@@ -108,13 +108,20 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bins:
-    """Binned entries of a batch; a row without indices is dense."""
+    """Binned entries of a batch; a row without indices is dense.
+
+    Where all rows are dense and whole, ``dense`` holds them as a matrix, and no entry is looked at on its own.
+    """
 
     def __init__(self, part: pa.RecordBatch, zero: np.ndarray):
         bins, indices = part.column("bins"), part.column("indices")
         sizes = np.diff(bins.offsets.to_numpy())
-        self.n, self.zero = part.num_rows, zero
-        self.bin = bins.flatten().to_numpy().astype(np.int64)
+        self.n, self.zero, self.dense = part.num_rows, zero, None
+        flat = bins.flatten().to_numpy()
+        if indices.null_count == self.n and (sizes == len(zero)).all():
+            self.dense = flat.reshape(self.n, len(zero))
+            return
+        self.bin = flat.astype(np.int64)
         self.row = np.repeat(np.arange(self.n), sizes)
         self.column = np.arange(len(self.bin)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         sparse = indices.is_valid().to_numpy(zero_copy_only=False)
@@ -122,6 +129,8 @@ class Bins:
 
     def of(self, features: np.ndarray) -> np.ndarray:
         """Bins of some features, one column each."""
+        if self.dense is not None:
+            return self.dense[:, features].astype(np.int64)
         places = np.full(len(self.zero), -1)
         places[features] = np.arange(len(features))
         out = np.repeat(self.zero[features][None], self.n, axis=0)
@@ -204,6 +213,13 @@ def grow(table: Table, tree_number: int, done: Sequence[Tree], zero: np.ndarray,
                 p = sigmoid(part.column("margin").to_numpy() + margins(held, done))
                 w, y = part.column("w").to_numpy(), part.column("y").to_numpy()
                 take &= node >= 0
+                if held.dense is not None:
+                    # every entry is there, so nothing of the node's sum is missing
+                    rows = np.flatnonzero(take)
+                    at = ((node[rows, None] * width + np.arange(width)) * most + held.dense[rows]).ravel()
+                    for k, v in enumerate((w * (p - y), w * p * (1 - p))):
+                        out[k] += np.bincount(at, weights=np.repeat(v[rows], width), minlength=out.shape[1])
+                    continue
                 for k, v in enumerate((w * (p - y), w * p * (1 - p))):
                     v = np.where(take, v, 0.0)
                     node_sums[k] += np.bincount(node[take], weights=v[take], minlength=count)

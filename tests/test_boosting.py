@@ -1,6 +1,7 @@
 """Boosted trees against a plain version that looks at every cut, and their way to disk and back."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import functions as F
@@ -161,3 +162,28 @@ def test_only_best_cuts_reach_the_driver(spark, monkeypatch, stretch):
     assert sent and max(v.size for s in sent for v in s.values()) <= 8 * 4
     for a, c in zip(expected.trees, found.trees, strict=True):
         assert list(a.feature) == list(c.feature) and list(a.cut) == list(c.cut) and np.allclose(a.value, c.value, atol=1e-12)
+
+
+def test_dense_rows_are_read_as_a_matrix():
+    """Whole dense batches give the trees of the same rows with places, without a look at single entries."""
+    rng = np.random.default_rng(3)
+    n, width, bins = 700, 6, 9
+    held = rng.integers(0, bins, (n, width)).astype(np.int16)
+    y = (held[:, 2] + held[:, 4] + rng.integers(0, 4, n) > 9).astype(np.int32)
+    lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(v, kind))
+    columns = [pa.array(np.arange(n) * 7919), pa.array(y), pa.array(np.ones(n)), pa.array(np.zeros(n))]
+    names = ["h", "y", "w", "margin", "indices", "bins"]
+    dense = pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.list_(pa.int32())), lists(held.ravel(), pa.int16())], names)
+    sparse = pa.RecordBatch.from_arrays([*columns, lists(np.tile(np.arange(width), n), pa.int32()), lists(held.ravel(), pa.int16())], names)
+    zero, n_bins = np.full(width, 3), np.full(width, bins)
+    one, other = b.Bins(dense, zero), b.Bins(sparse, zero)
+    assert one.dense is not None and other.dense is None
+    assert np.array_equal(one.of(np.array([1, 4])), other.of(np.array([1, 4]))) and np.array_equal(one.of(np.array([4])), held[:, [4]])
+    s = b.Settings(trees=12, child_weight=1.0)
+    one, other = (b._boosted(b.Held([x], width), zero, n_bins, s) for x in (dense, sparse))
+    assert any((t.feature >= 0).any() for t in one)
+    for t, u in zip(one, other, strict=True):
+        assert np.array_equal(t.feature, u.feature) and np.array_equal(t.cut, u.cut) and np.allclose(t.value, u.value, rtol=1e-9)
+    # a dense batch with a row that is too short is not a matrix
+    short = pa.RecordBatch.from_arrays([*[c.slice(0, 2) for c in columns], pa.nulls(2, pa.list_(pa.int32())), pa.array([[1] * 6, [1] * 5], pa.list_(pa.int16()))], names)
+    assert b.Bins(short, zero).dense is None
