@@ -147,3 +147,22 @@ def test_wide_model_meets_every_condition(spark, kind, c, working):
     expected, near = plain(x, y, w, c), np.setdiff1d(np.arange(120), [5, 7])
     assert np.allclose(coefs[near], expected[near], atol=1e-5)
     assert np.isclose(coefs[5] + coefs[7], expected[5] + expected[7], atol=1e-5)
+
+
+def test_only_texts_with_a_label_become_vectors(spark, tmp_path, monkeypatch):
+    """The join with the labels drops all others, so their vectors are not made; the vocabulary is that of all English texts."""
+    from postloom.catalog import features
+
+    docs = [(i, f"w{i % 3} common w{i % 5}", "en", "s", 9) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(0, 12)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, made = [], features.text_vectors
+
+    def spied(docs, vocabulary, *rest):
+        seen.append((docs.count(), {r.term: r.df for r in vocabulary.table.collect()}))
+        return made(docs, vocabulary, *rest)
+
+    monkeypatch.setattr(features, "text_vectors", spied)
+    features.ranked_term_coefficients(spark, str(tmp_path)).collect()
+    assert seen[0][0] == 12 and seen[0][1]["w0"] == 14 + 8 - 3
